@@ -18,6 +18,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from silkmill.llm.bpe import encode_decode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.langid import fit, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
