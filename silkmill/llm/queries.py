@@ -35,6 +35,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).taken()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
