@@ -41,6 +41,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).taken()
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
