@@ -6,6 +6,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -100,8 +101,8 @@ class WordBpe:
         return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", real: bool = False) -> DataFrame:
-    """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; with ``real`` also ``token_ids`` and ``decoded``.
+def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: bool = False, decoded: bool = False) -> DataFrame:
+    """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; where asked for, also ``token_ids`` and ``decoded``.
 
     Null and empty texts have no tokens (the digests of the empty text).  Special tokens in a
     text become their ids.  Rows are independent: repeated rows give repeated results, an
@@ -109,10 +110,11 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", real: bool = F
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(load(path))
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    kind += ", token_ids array<int>, decoded string" if real else ""
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    kinds |= {"token_ids": "array<int>"} if token_ids else {}
+    kinds |= {"decoded": "string"} if decoded else {}
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(", ".join(f"{n} {k}" for n, k in kinds.items()))
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = WordBpe(*model.value)
         sha = hashlib.sha256
@@ -121,13 +123,14 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", real: bool = F
             for x in batch:
                 parts = bpe.parts(x)
                 ids = " ".join([p[0] for p in parts])
-                decoded = " ".join([p[1] for p in parts])
-                row = (sum([p[2] for p in parts]), sha(ids.encode()).hexdigest(), sha(decoded.encode("utf-8")).hexdigest())
-                rows.append((*row, [int(i) for i in ids.split()], decoded) if real else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded"]
-            yield pd.DataFrame(rows, columns=names[: 5 if real else 3])
-
-    new = of(F.col(text)).alias("_bpe")
-    names = [x.split()[0] for x in kind.split(", ")]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names and c != "_bpe"]
-    return docs.select(*kept, new).select(*kept, *[F.col(f"_bpe.{x}").alias(x) for x in names])
+                out = " ".join([p[1] for p in parts])
+                row = [sum([p[2] for p in parts]), sha(ids.encode()).hexdigest(), sha(out.encode("utf-8")).hexdigest()]
+                if token_ids:
+                    row.append(np.array(ids.split(), dtype=np.int32) if ids else np.zeros(0, np.int32))
+                if decoded:
+                    row.append(out)
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=list(kinds))
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*kinds, "_bpe")]
+    return docs.select(*kept, of(F.col(text)).alias("_bpe")).select(*kept, *[F.col(f"_bpe.{x}").alias(x) for x in kinds])

@@ -114,6 +114,13 @@ def links(prints: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
+def _labelled(prints: DataFrame) -> DataFrame:
+    """``fp, label`` for every fingerprint of ``prints``; alone, a fingerprint is its own label."""
+    each = prints.select("fp").distinct()
+    linked = materialise(links(each))
+    return each.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row.
 
@@ -123,11 +130,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table gives an empty result; further columns of the input are not read.
     """
     prints = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
-    each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = materialise(links(each.select("fp")))
-    placed = each.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    placed = least.join(_labelled(prints), "fp")
     heads = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = placed.select("fp", "label").join(heads, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one with the least doc_id (null ids last).
+
+    Among rows of one id a hash of the text decides; of equal rows one stays.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.withColumn("_o", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))).withColumn("_h", text_hash)
+    prints = materialise(fingerprints(keyed.select("_o", "_h", F.col(text).alias("text"))).drop("text"))
+    placed = prints.join(_labelled(prints), "fp")
+    heads = placed.groupBy("label").agg(F.min(F.struct("_o", "_h")).alias("head")).select("head._o", "head._h")
+    return keyed.join(heads, ["_o", "_h"], "left_semi").dropDuplicates(["_o", "_h"]).drop("_o", "_h")
