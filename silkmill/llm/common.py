@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Like :func:`materialise`, as a compressed table: for wide rows such as texts."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/silkmill-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two longs."""
     return F.bit_count(a.bitwiseXOR(b))

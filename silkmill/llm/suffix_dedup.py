@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.anchors import ANCHOR, LENGTH, anchors
-from silkmill.llm.common import materialise
+from silkmill.llm.common import materialise, stored
 from silkmill.llm.suffix_array import repeats
 
 #: Corpus bytes per bucket of anchors and of contexts.
-ANCHOR_BUCKET, CONTEXT_BUCKET = 24 << 20, 2 << 20
+ANCHOR_BUCKET, CONTEXT_BUCKET = 96 << 20, 2 << 20
 #: Bytes of text handled at once on a worker.
 TEXT_BLOCK = 4 << 20
 #: A context: this many bytes before the anchor, the anchor, as many after it; never in UTF-8: 0xFF.
@@ -48,6 +49,10 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(x.tobytes() for x in arrays), 1)
+
+
 def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -71,12 +76,11 @@ def _anchor_rows(buckets: int):
                 rows = []
                 for bucket, at in _parts((hashes >> np.uint64(20)) % np.uint64(buckets)):
                     docs, local = np.unique(doc[at], return_inverse=True)
-                    rows.append((
-                        bucket, len(at), len(docs),
-                        b"".join(x.tobytes() for x in (
-                            hashes[at], o[a:b][docs], h[a:b][docs], place[at].astype(np.int32), local.astype(np.int32)
-                        )),
-                    ))
+                    # Five bytes of the hash do: the bucket has others, and contexts are compared in full.
+                    few = np.ascontiguousarray(hashes[at]).view(np.uint8).reshape(-1, 8)[:, 3:]
+                    step = np.diff(place[at], prepend=0).astype(np.int32)
+                    turn = np.diff(local, prepend=0).astype(np.uint16)
+                    rows.append((bucket, len(at), len(docs), _packed(o[a:b][docs], h[a:b][docs], step, turn, few)))
                 yield pd.DataFrame(rows, columns=["bucket", "n", "nd", "payload"])
 
     return of
@@ -86,14 +90,15 @@ def _repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places of the anchors of a bucket that stand in two places, equal texts counted once."""
     hashes, o, h, place = [], [], [], []
     for r in pdf.itertuples():
-        n, nd, p = r.n, r.nd, r.payload
-        docs = np.frombuffer(p, np.int64, 2 * nd, 8 * n)
-        small = np.frombuffer(p, np.int32, 2 * n, 8 * n + 16 * nd)
-        local = small[n:]
-        hashes.append(np.frombuffer(p, np.uint64, n))
+        n, nd, p = r.n, r.nd, zstandard.decompress(r.payload)
+        docs = np.frombuffer(p, np.int64, 2 * nd)
+        local = np.cumsum(np.frombuffer(p, np.uint16, n, 16 * nd + 4 * n), dtype=np.int64)
+        few = np.zeros((n, 8), np.uint8)
+        few[:, 3:] = np.frombuffer(p, np.uint8, 5 * n, 16 * nd + 6 * n).reshape(n, 5)
+        hashes.append(few.view(np.uint64).ravel())
         o.append(docs[:nd][local])
         h.append(docs[nd:][local])
-        place.append(small[:n])
+        place.append(np.cumsum(np.frombuffer(p, np.int32, n, 16 * nd), dtype=np.int64).astype(np.int32))
     hashes, o, h, place = map(np.concatenate, (hashes, o, h, place))
     _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
     at = np.flatnonzero(count[inverse] > 1)
@@ -134,12 +139,8 @@ def _context_rows(buckets: int):
                     rows = []
                     for bucket, at in _parts(mixed % np.uint64(buckets)):
                         docs, local = np.unique(doc[group[at]], return_inverse=True)
-                        rows.append((
-                            bucket, len(at), len(docs),
-                            b"".join(x.tobytes() for x in (
-                                o[a:b][docs], h[a:b][docs], place[group[at]].astype(np.int32), local.astype(np.int32), windows[at]
-                            )),
-                        ))
+                        small = [place[group[at]].astype(np.int32), local.astype(np.int32)]
+                        rows.append((bucket, len(at), len(docs), _packed(o[a:b][docs], h[a:b][docs], *small, windows[at])))
                     yield pd.DataFrame(rows, columns=["bucket", "n", "nd", "payload"])
 
     return of
@@ -149,7 +150,7 @@ def _repeated_spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """Spans of documents that repeated strings of a bucket's contexts cover: one per context at most."""
     o, h, place, windows = [], [], [], []
     for r in pdf.itertuples():
-        n, nd, p = r.n, r.nd, r.payload
+        n, nd, p = r.n, r.nd, zstandard.decompress(r.payload)
         docs = np.frombuffer(p, np.int64, 2 * nd)
         small = np.frombuffer(p, np.int32, 2 * n, 16 * nd)
         o.append(docs[:nd][small[n:]])
@@ -233,14 +234,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = texts.mapInPandas(_anchor_rows(math.ceil(total / ANCHOR_BUCKET) or 1), packed)
     found = found.groupBy("bucket").applyInPandas(_repeated_anchors, "o long, h1 long, place int")
     places = found.groupBy("o", "h1").agg(F.collect_list("place").alias("places"))
-    # Equal rows of one id and text meet the same places; one of them is enough.
-    marked = materialise(texts.join(places, ["o", "h1"]).dropDuplicates(["o", "h1"]))
+    marked = stored(texts.join(places, ["o", "h1"]))
     contexts = marked.mapInPandas(_context_rows(math.ceil(total / CONTEXT_BUCKET) or 1), packed)
     spans = contexts.groupBy("bucket").applyInPandas(_repeated_spans, "o long, h1 long, span long")
     spans = spans.groupBy("o", "h1").agg(F.collect_list("span").alias("spans"))
     cut = "o long, h1 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     cut = marked.select("o", "h1", "text").join(spans, ["o", "h1"]).mapInPandas(_cut, cut)
-    cut = cut if real else cut.drop("kept")
+    # Equal rows of one id and text have equal results; one of them is enough.
+    cut = (cut if real else cut.drop("kept")).dropDuplicates(["o", "h1"])
     each = info.groupBy("o", "h1", "h2").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"), F.count(F.lit(1)).alias("times")
     )
