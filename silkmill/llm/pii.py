@@ -25,6 +25,8 @@ MIN_SHARE = 0.5
 MIN_BITS = 3.0
 #: Characters on each side of an entity whose whole terms count as beside it.
 REACH = 60
+#: Tables of at most so many rows (one or two words and hashes each) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 20_000
 #: Terms of fewer characters are never removed.
 MIN_TERM = 3
 
@@ -116,6 +118,12 @@ def _entity(s: Column) -> Column:
     return F.when(s["kind_no"] >= 2, _digits(s["match"])).otherwise(F.lower(s["match"]))
 
 
+def _small(frame: DataFrame) -> tuple[DataFrame, int]:
+    """A materialised table, marked for broadcast if its count is within the bound, and the count."""
+    n = frame.count()
+    return (F.broadcast(frame) if n <= BROADCAST_ROWS else frame), n
+
+
 def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``term`` for the terms that disclose an entity; see the module's docstring.
 
@@ -162,11 +170,14 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     terms = materialise(disclosing_terms(rows.select("text"), found))
     keys = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    hits = rows.select(*keys, F.explode(runs).alias("term")).join(terms, "term")
-    hits = hits.groupBy("h1", "h2").agg(F.collect_set("term").alias("terms"))
-    hits = materialise(hits)
+    terms, n_terms = _small(terms)
     out = marked.select("*", *keys)
-    out = out.join(hits, ["h1", "h2"], "left") if hits.limit(1).count() else out.withColumn("terms", F.lit(None).cast("array<string>"))
+    if n_terms:
+        hits = rows.select(*keys, F.explode(runs).alias("term")).join(terms, "term")
+        hits, _ = _small(materialise(hits.groupBy("h1", "h2").agg(F.collect_set("term").alias("terms"))))
+        out = out.join(hits, ["h1", "h2"], "left")
+    else:
+        out = out.withColumn("terms", F.lit(None).cast("array<string>"))
     quoted = F.array_join(F.transform(F.array_sort("terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
     extra = F.when(F.col("terms").isNotNull(), spans(F.col("text"), pattern, "term"))
