@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -38,6 +39,14 @@ OTHER = rf"(?:[{NEWER}]|[^{SPACE}\p{{L}}\p{{N}}])"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+"
 
 
+def latin_pattern() -> str:
+    """The word pattern for texts of Latin-1 characters, with its classes spelled out."""
+    kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(256))}
+    letters, numbers = ("".join(f"\\x{ord(c):02x}" for c, k in kinds.items() if k == kind) for kind in "LN")
+    space = r"\t\n\x0b\x0c\r\x20\x85\xa0"
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
+
+
 def byte_letters() -> dict[int, str]:
     """Byte to visible character: printable ones stand for themselves, others go from U+0100 up."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,13 +63,18 @@ class WordBpe:
         self.labels = {i: x for x, i in automaton.ids.items()} | {i: x for x, i in special}
         self.memo: dict[str, tuple[str, str, int]] = {}
         self.piece = regex.compile(PIECE, regex.V1)
+        self.latin = re.compile(latin_pattern())
         self.at_special = regex.compile("(" + "|".join(regex.escape(x) for x, _ in special) + ")") if special else None
         self.letters = byte_letters()
 
     def words(self, text: str) -> list[str]:
         """Words of a normalised text: NFC, lower case one character at a time, white space dropped."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.piece.findall(text)
+        try:  # most texts; the general classes are slower
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.piece.findall(text)
+        return self.latin.findall(text)
 
     def word(self, word: str) -> tuple[str, str, int]:
         """Ids and labels of a word, each joined by one space, and their number."""
@@ -70,9 +84,8 @@ class WordBpe:
             mapped = word
         else:
             mapped = "".join(self.letters[b] for b in word.encode("utf-8"))
-        labels = self.automaton.encode_word(mapped)
-        ids = self.automaton.ids
-        out = " ".join(str(ids[x]) for x in labels), " ".join(labels), len(labels)
+        ids = self.automaton.encode_word(mapped)
+        out = " ".join(map(str, ids)), " ".join([self.labels[x] for x in ids]), len(ids)
         if len(word) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()

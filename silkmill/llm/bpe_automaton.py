@@ -8,8 +8,9 @@ known by the token that leads to it, and what is stored per merge is the cut arc
 time and the two tokens that are copied.  Whether an arc is open is looked up along these
 copies once and then kept in a transition table.
 
-A word has exactly one path.  The path of each prefix ends in one state, so one pass that
-keeps the last token of every prefix finds it, longest arcs first.
+A word has exactly one path, and so has each of its prefixes.  The path is found by taking the
+longest open arc and going back from dead ends; a place that proved dead is never tried again,
+because only one state can stand there.
 """
 
 from __future__ import annotations
@@ -26,67 +27,89 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>"):
         self.ids = vocab
         self.suffix = suffix
-        self.cut: dict[tuple[str, str], int] = {}
-        self.copies: dict[str, tuple[str, str, int]] = {}
-        self.open: dict[tuple[str, str], bool] = {}
+        #: Cut arcs (two token numbers in one) with their times.
+        self.cut: dict[int, int] = {}
+        #: Merged token to its two parts and its time.
+        self.copies: dict[int, tuple[int, int, int]] = {}
         for time, (u, v) in enumerate(merges):
             self._add_gadget(u, v, time)
-        self.longest = max((len(x.removesuffix(suffix)) for x in vocab), default=1)
+        #: Transition table: state and label in one number, filled as arcs are asked for.
+        self.open: dict[int, bool] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
+        bare = {x.removesuffix(suffix) for x in vocab}
+        self.heads = {x[:k] for x in bare for k in range(1, len(x) + 1)}
 
     def _add_gadget(self, u: str, v: str, time: int) -> None:
-        self.cut.setdefault((u, v), time)
-        self.copies.setdefault(u + v, (u, v, time))
+        a, b, merged = self.ids[u], self.ids[v], self.ids[u + v]
+        self.cut.setdefault(a << 32 | b, time)
+        self.copies.setdefault(merged, (a, b, time))
 
-    def _spine(self, token: str, side: int) -> list[tuple[str, int, int]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The tokens that stand at one edge of ``token`` while it is built: (token, from, until)."""
-        out, until = [], NEVER
+        if (known := self.spines[side].get(token)) is not None:
+            return known
+        out, at, until = [], token, NEVER
         while True:
-            made = self.copies.get(token)
-            out.append((token, made[2] if made else BASE_TIME, until))
+            made = self.copies.get(at)
+            out.append((at, made[2] if made else BASE_TIME, until))
             if not made:
-                return out
-            token, until = made[side], made[2]
+                break
+            at, until = made[side], made[2]
+        self.spines[side][token] = out
+        return out
 
-    def is_open(self, last: str, label: str) -> bool:
+    def is_open(self, last: int, label: int) -> bool:
         """Does the state behind ``last`` have an arc ``label``?"""
-        key = (last, label)
+        key = last << 32 | label
         if (known := self.open.get(key)) is not None:
             return known
-        ok = True
+        ok, cut = True, self.cut
         right = self._spine(label, 0)
         for a, a_from, a_until in self._spine(last, 1):
             for b, b_from, b_until in right:
-                time = self.cut.get((a, b))
+                time = cut.get(a << 32 | b)
                 # Equal times are one merge at overlapping places: the left one goes first.
                 if time is not None and a_from < time < a_until and b_from < time <= b_until:
                     ok = False
                     break
             if not ok:
                 break
-        if len(self.open) > 2_000_000:  # the table is a cache; a full one starts anew
+        if len(self.open) > 1_000_000:  # the table is a cache; a full one starts anew
             self.open.clear()
         self.open[key] = ok
         return ok
 
-    def encode_word(self, word: str) -> list[str]:
-        """Arc labels of the word's path."""
-        n, ids, longest = len(word), self.ids, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for start in range(max(0, end - longest), end):
-                label = word[start:end] + tail
-                if label in ids and (start == 0 or (last[start] is not None and self.is_open(last[start], label))):
-                    last[end] = label
+    def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
+        """Labels that the word goes on with: (number, where it ends), longest first."""
+        out, n, ids, heads = [], len(word), self.ids, self.heads
+        for end in range(at + 1, n + 1):
+            piece = word[at:end]
+            if piece not in heads:
+                break
+            label = ids.get(piece + self.suffix if end == n else piece)
+            if label is not None:
+                out.append((label, end))
+        out.reverse()
+        return out
+
+    def encode_word(self, word: str) -> list[int]:
+        """Token numbers of the word's path."""
+        n, path, ends, at, dead = len(word), [], [0], 0, set()
+        while at < n:
+            for label, end in self._arcs(word, at):
+                if end not in dead and (not path or self.is_open(path[-1], label)):
+                    path.append(label)
+                    ends.append(end)
+                    at = end
                     break
-        out, end = [], n
-        while end > 0:
-            label = last[end]
-            if label is None:
-                raise ValueError(f"no path for {word!r}")
-            out.append(label)
-            end -= len(label) - (len(self.suffix) if end == n else 0)
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError(f"no path for {word!r}")
+                dead.add(at)
+                path.pop()
+                ends.pop()
+                at = ends[-1]
+        return path
 
 
 def load(path: str) -> tuple[MergeAutomaton, list[tuple[str, int]]]:
