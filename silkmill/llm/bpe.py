@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.bpe_automaton import MergeAutomaton, load
+from silkmill.llm.common import as_doc, from_doc
 
 #: Words whose path is kept; a full table starts anew.
 MEMO_WORDS = 300_000
@@ -145,5 +146,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: boo
                 rows.append(row)
             yield pd.DataFrame(rows, columns=list(kinds))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*kinds, "_bpe")]
-    return docs.select(*kept, of(F.col(text)).alias("_bpe")).select(*kept, *[F.col(f"_bpe.{x}").alias(x) for x in kinds])
+    out = docs.select(as_doc(docs), of(F.col(text)).alias("found"))
+    return out.select(*from_doc(docs, *kinds), *[F.col("found").getField(x).alias(x) for x in kinds])

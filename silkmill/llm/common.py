@@ -40,6 +40,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def as_doc(docs: DataFrame) -> Column:
+    """A row's columns as one struct ``doc``, so that no name of theirs meets a name of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def from_doc(docs: DataFrame, *less: str) -> list[Column]:
+    """The columns of ``docs`` again, out of the struct, but for those in ``less``."""
+    return [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in less]
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two longs."""
     return F.bit_count(a.bitwiseXOR(b))

@@ -11,13 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silkmill.llm.common import as_doc, from_doc
 from silkmill.llm.langid_model import LanguageModels, letter_words
 
 #: Bound of the training sample: labelled documents per language (expected; a hash decides).
 SAMPLE_PER_LANGUAGE = 700
 #: Bound of the number of languages that are learned: the most frequent ones.
 MAX_LANGUAGES = 200
-#: Every so many sampled documents one is held back for the rejection limits.
+#: One of so many sampled documents (a hash decides) is held back for the rejection limits.
 HELD_BACK = 3
 #: Limit of the scaled excess cross-entropy: this quantile of held-back texts, times the slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.995, 2.0
@@ -51,11 +52,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     sample = known.where(spot < F.coalesce(F.try_element_at(share, F.col("l")), F.lit(0.0)))
     words: dict[str, Counter] = {r["l"]: Counter() for r in counts}
     back: dict[str, list[Counter]] = {r["l"]: [] for r in counts}
-    for n, row in enumerate(sample.select("l", "t").toLocalIterator()):
+    turn = F.pmod(F.xxhash64(F.lit("back"), "i"), F.lit(HELD_BACK)).alias("turn")
+    for row in sample.select("l", "t", turn).toLocalIterator():
         of = Counter(letter_words(row["t"]))
         if not of:
             continue
-        if n % HELD_BACK == 0:
+        if row["turn"] == 0:
             back[row["l"]].append(of)
         else:
             words[row["l"]].update(of)
@@ -132,5 +134,5 @@ def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text")
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "_lid")]
-    return docs.select(*kept, of(F.col(text)).alias("_lid")).select(*kept, *[F.col(f"_lid.{n}").alias(n) for n in names])
+    out = docs.select(as_doc(docs), of(F.col(text)).alias("found"))
+    return out.select(*from_doc(docs, *names), *[F.col("found").getField(n).alias(n) for n in names])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import materialise
+from silkmill.llm.common import as_doc, materialise
 from silkmill.llm.patience import common_blocks
 from silkmill.llm.text import WORD_PATTERN
 
@@ -67,25 +67,24 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     with a longer one.  A document whose lines all go keeps an empty text.  ``n_chars``, if there,
     follows the text.
     """
-    kept = [c for c in docs.columns if c not in ("_n_lines", "_n_removed", "_o", "_h", "_gone")]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_o"),
-        F.xxhash64(F.col(text)).alias("_h"),
+        as_doc(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")
     )
-    gone = removed_lines(rows.where(F.col(text).isNotNull()).select(F.col("_o").alias("o"), F.col("_h").alias("h"), F.col(text).alias("text")))
-    gone = gone.select(F.col("o").alias("_o"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    out = rows.join(gone, ["_o", "_h"], "left")
-    lines = F.split(F.col(text), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    gone = removed_lines(rows.where(F.col("text").isNotNull()).select("o", "h", "text"))
+    out = rows.join(gone, ["o", "h"], "left")
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
+    out = out.withColumn("new", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    old = F.col("doc")
     columns = [
-        F.col("_new").alias(c) if c == text
-        else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.char_length("_new").cast("long")).alias(c) if c == "n_chars"
-        else F.col(f"`{c}`")
-        for c in kept
+        F.col("new").alias(c) if c == text
+        else F.when(F.col("gone").isNull(), old.getField(c)).otherwise(F.char_length("new").cast("long")).alias(c) if c == "n_chars"
+        else old.getField(c).alias(c)
+        for c in docs.columns
+        if c not in ("_n_lines", "_n_removed")
     ]
     return out.select(
         *columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"),
     )

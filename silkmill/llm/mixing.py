@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import materialise
+from silkmill.llm.common import as_doc, materialise
 from silkmill.llm.text import WORD_PATTERN
 
 BLOCK_WORDS = 64
@@ -95,7 +95,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source"):
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
-        self.text = docs.select(*[F.col(f"`{c}`") for c in docs.columns], words_in(F.col(text)).alias("_size"))
+        self.whole = docs
         self.names = (doc_id, text, source)
         self.docs = materialise(self.docs)
         sums = self.docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -177,17 +177,16 @@ class Mix:
         word are in no block and so not in the mix.
         """
         doc_id, text, source = self.names
-        columns = self.text.columns[:-1]
-        rows = self.text.select(
-            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"), F.col("_size").alias("size"),
+        columns = self.whole.columns
+        rows = self.whole.select(
+            as_doc(self.whole), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size")
         )
         rows = _placed(self._numbered(rows), self.chunks)
         cuts = self.drawn().groupBy("source_no", "chunk", "row_no", "round").agg(
             F.sum("n_words").alias("n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("cuts")
         )
         got = rows.join(cuts, ["source_no", "chunk", "row_no"])
-        old = F.col("doc")[text]
+        old = F.col("doc").getField(text)
         words = F.regexp_extract_all(old, F.lit(WORD_PATTERN), F.lit(0))
         cut = F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["from_word"] + 1).cast("int"), c["n_words"].cast("int"))))
         new = F.when(F.col("n") == F.col("size"), old).otherwise(F.array_join(cut, " "))
@@ -196,7 +195,7 @@ class Mix:
             *[
                 F.col("new").alias(c) if c == text
                 else F.char_length("new").cast("long").alias(c) if c == "n_chars"
-                else F.col("doc")[c].alias(c)
+                else F.col("doc").getField(c).alias(c)
                 for c in columns
             ]
         )

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import components, hamming, materialise
+from silkmill.llm.common import as_doc, components, from_doc, hamming, materialise
 from silkmill.llm.simhash_fp import fingerprint
 
 MAX_BITS = 4
@@ -144,9 +144,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Among rows of one id a hash of the text decides; of equal rows one stays.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("_o", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))).withColumn("_h", text_hash)
-    prints = materialise(fingerprints(keyed.select("_o", "_h", F.col(text).alias("text"))).drop("text"))
+    keyed = docs.select(
+        as_doc(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("o"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"),
+    )
+    prints = materialise(fingerprints(keyed.select("o", "h", "text")).drop("text"))
     placed = prints.join(_labelled(prints), "fp")
-    heads = placed.groupBy("label").agg(F.min(F.struct("_o", "_h")).alias("head")).select("head._o", "head._h")
-    return keyed.join(heads, ["_o", "_h"], "left_semi").dropDuplicates(["_o", "_h"]).drop("_o", "_h")
+    heads = placed.groupBy("label").agg(F.min(F.struct("o", "h")).alias("head")).select("head.o", "head.h")
+    kept = keyed.drop("text").join(heads, ["o", "h"], "left_semi").dropDuplicates(["o", "h"])
+    return kept.select(*from_doc(docs))
