@@ -1,11 +1,13 @@
 """Personal data: pattern spans and terms that give protected entities away, DataFrame functions only.
 
 Base spans come from four patterns.  Every base span is a protected entity.  Terms are
-letter or digit runs; the terms of the few words beside an entity co-occur with it.  Over the
-whole corpus a term's disclosure of an entity is P(entity | term), its share of occurrences
-that stand beside the entity, and the information that this gives, log2 of that share over
-the entity's own.  Terms beyond both thresholds, seen beside the entity in at least
-``MIN_CONTEXTS`` different contexts, are found in every text and generalised (``[TERM]``).
+letter or digit runs.  Over the whole corpus a term's disclosure of an entity is P(entity | term),
+the share of its occurrences that lie in documents with the entity, and the information that this
+gives, log2 of that share over the share of documents with the entity.  Terms beyond both
+thresholds, seen with the entity in at least ``MIN_CONTEXTS`` different contexts (neighbouring terms,
+so copies count once), are found in every text and generalised (``[TERM]``).  Only terms that pass
+for all entities together are paired with single entities, so documents with many of
+both give no product.
 
 Positions are code points.  ``split`` gives what lies between a pattern's matches and
 ``regexp_extract_all`` the matches, so running sums of lengths give the spans.  Patterns
@@ -18,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import materialise
+from silkmill.llm.common import materialise, stored
 
 MIN_CONTEXTS = 3
 MIN_SHARE = 0.5
 MIN_BITS = 3.0
-#: Characters on each side of an entity whose whole terms count as beside it.
-REACH = 60
 #: Tables of at most so many rows (one or two words and hashes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 20_000
 #: Terms of fewer characters are never removed.
@@ -129,30 +129,28 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     ``texts``: ``text``; ``found``: ``text`` and ``base`` of the rows with a base span.
     """
-    beside = found.select("text", F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - REACH + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(REACH)).cast("int"))
-    after = F.substring("text", (F.col("s.end") + 1).cast("int"), F.lit(REACH))
-    # A term that the reach may have cut is left out.
-    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, rf"\A{TERM}", "")).otherwise(before)
-    after = F.when(F.char_length(after) == REACH, F.regexp_replace(after, rf"{TERM}\z", "")).otherwise(after)
-    around = F.concat_ws("\n", before, after)
-    beside = beside.select(
-        _entity(F.col("s")).alias("entity"), F.xxhash64(around).alias("context"),
-        F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0)).alias("terms"),
+    found = found.withColumn("row", F.xxhash64("text"))
+    entities = found.select("row", F.explode("base").alias("s")).select("row", _entity(F.col("s")).alias("entity")).distinct()
+    runs = found.select("row", F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)).alias("runs"))
+    place = F.transform(
+        "runs", lambda t, n: F.struct(t.alias("term"), F.xxhash64(F.get("runs", n - 1), F.get("runs", n + 1)).alias("context"))
     )
-    entities = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = beside.select("entity", "context", F.explode("terms").alias("term"))
-    pairs = pairs.where(F.char_length("term") >= MIN_TERM).groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("n_both")
-    )
-    pairs = pairs.where(F.col("contexts") >= MIN_CONTEXTS)
+    met = runs.select("row", F.explode(place).alias("p")).select("row", "p.term", "p.context")
+    met = met.where(F.char_length("term") >= MIN_TERM)
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     words = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = words.agg(F.sum("n_term").alias("n_all"))
-    shares = pairs.join(words, "term").join(entities, "entity").join(F.broadcast(total))
+    wide = met.groupBy("term").agg(F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("n_met"))
+    wide = wide.where(F.col("contexts") >= MIN_CONTEXTS).join(words, "term").where(F.col("n_met") >= MIN_SHARE * F.col("n_term"))
+    wide, _ = _small(materialise(wide.select("term", "n_term")))
+    pairs = met.join(wide, "term").join(entities, "row").where(~F.contains("entity", F.col("term")))
+    pairs = pairs.groupBy("entity", "term").agg(
+        F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term")
+    )
+    n_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     share = F.col("n_both") / F.col("n_term")
-    bits = F.log2(share * F.col("n_all") / F.col("n_entity"))
-    return shares.where((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term").distinct()
+    pairs = pairs.where((F.col("contexts") >= MIN_CONTEXTS) & (share >= MIN_SHARE)).join(n_entity, "entity")
+    bits = F.log2(share * F.lit(float(max(texts.count(), 1))) / F.col("n_entity"))
+    return pairs.where(bits >= MIN_BITS).select("term").distinct()
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", real: bool = False) -> DataFrame:
@@ -166,7 +164,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    found = materialise(marked.where(F.size("base") > 0).select("text", "base"))
+    found = stored(marked.where(F.size("base") > 0).select("text", "base"))
     terms = materialise(disclosing_terms(rows.select("text"), found))
     keys = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
