@@ -22,6 +22,8 @@ MAX_LANGUAGES = 200
 HELD_BACK = 3
 #: Limit of the scaled excess cross-entropy: this quantile of held-back texts, times the slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.995, 2.0
+#: A rejected text's cross-entropy is at least so many times its language's mean.
+REJECT_RATIO = 1.3
 #: Letters that count at most towards the certainty of a prediction.
 EVIDENCE = 60
 #: Words whose scores a worker keeps; a full table starts anew.
@@ -112,7 +114,7 @@ class Predictor:
         best = int(np.argmin(entropy))
         odds = np.exp(-(entropy - entropy[best]) * min(letters, EVIDENCE))
         m = self.models
-        too_odd = (entropy[best] - m.means[best]) * np.sqrt(letters) > m.limits[best] and entropy[best] > 1.15 * m.means[best]
+        too_odd = (entropy[best] - m.means[best]) * np.sqrt(letters) > m.limits[best] and entropy[best] > REJECT_RATIO * m.means[best]
         return m.langs[best], float(1 / odds.sum()), float(entropy[best]), bool(too_odd)
 
 
