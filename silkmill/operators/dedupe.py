@@ -32,11 +32,9 @@ def mark_duplicates(files: DataFrame, target: str = "target", mode: str = "mode"
     Static before dynamic, then by ``seq``, which must be unique in a target and mode.  The
     first is a minimum per hash (no window, so no hot hash in one task).
     """
-    rank = F.struct(mode_rank(F.col(mode)).alias("r"), F.col(seq).alias("s"))
     order = mode_rank(F.col(mode)).cast("long") * F.lit(1 << 61) + F.col(seq)
     files = files.withColumn("_order", order)
     first = files.groupBy(target, hash_).agg(F.min("_order").alias("_first"))
-    del rank
     return files.join(first, [target, hash_]).withColumn("is_duplicate", F.col("_order") != F.col("_first")).drop("_order", "_first")
 
 
