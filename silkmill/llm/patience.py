@@ -26,11 +26,23 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _numbered(lines: list[int], start: int) -> dict[tuple[int, int], int]:
+    """Places by line and its how-manieth occurrence."""
+    seen: Counter = Counter()
+    out = {}
+    for n, x in enumerate(lines, start):
+        out[x, seen[x]] = n
+        seen[x] += 1
+    return out
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places ``(i, j)`` with a[i] == b[j], rising in both.
 
     Equal heads and tails of a stretch are aligned; between them lines that are unique in both
-    stretches and form the longest rising sequence; then the stretches between those.
+    stretches and form the longest rising sequence; then the stretches between those.  Where no
+    line is unique in both, the n-th occurrences of equal lines take their place, so no stretch
+    that is left has a common line.
     """
     out: list[tuple[int, int]] = []
     stack = [(0, len(a), 0, len(b))]
@@ -47,6 +59,9 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:i_end]), Counter(b[j:j_end])
         at_b = {x: n for n, x in enumerate(b[j:j_end], j) if in_b[x] == 1}
         common = [(n, at_b[x]) for n, x in enumerate(a[i:i_end], i) if in_a[x] == 1 and x in at_b]
+        if not common:
+            nth = _numbered(b[j:j_end], j)
+            common = [(n, nth[key]) for key, n in _numbered(a[i:i_end], i).items() if key in nth]
         anchors = _longest_rising(common)
         if not anchors:
             continue

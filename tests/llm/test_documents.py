@@ -266,6 +266,17 @@ def test_alignment():
         assert sum(n for *_, n in common_blocks(a, b)) == len(m)
 
 
+def test_alignment_without_unique_lines():
+    assert align([7, 1, 1, 2, 2, 8], [1, 1, 2, 2]) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert common_blocks([7, 1, 8], [9, 1, 5, 1, 6]) == [(1, 1, 1)]
+    r = random.Random(17)
+    for _ in range(2000):
+        a, b = ([r.randint(0, 6) for _ in range(r.randint(0, 12))] for _ in range(2))
+        m = align(a, b)
+        for (i, j), (k, n) in zip([(-1, -1), *m], [*m, (len(a), len(b))], strict=True):
+            assert not set(a[i + 1 : k]) & set(b[j + 1 : n])  # nothing common is given up
+
+
 def test_lines(spark, nasty):
     rows = [x for x in nasty if x[0] is not None]
     got = dedup_lines(table(spark, rows)).collect()
