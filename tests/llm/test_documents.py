@@ -299,6 +299,30 @@ def test_lines(spark, nasty):
     assert len(dedup_lines(table(spark, nasty)).collect()) == len(nasty)
 
 
+def test_lines_against_all_earlier_documents(spark):
+    r = random.Random(18)
+    stock = [f"line {k} of five words" for k in range(6)] + ["short", "", "two words"]
+    rows = [(1, "one two three four a\none two three four b", None, None), (2, "one two three four b\none two three four a\nx", None, None)]
+    rows += [(3, "y\none two three four a\none two three four b", None, None)]  # the earliest holder is not enough for 2's copy
+    rows += [(4, "z\none two three four b\none two three four a\nq", None, None)]
+    for k in range(10, 250):
+        lines = [r.choice(stock) if r.random() < 0.7 else f"{k} {r.random()}" for _ in range(r.randint(1, 9))]
+        rows.append((k // 2 * 2 if r.random() < 0.1 else k, "\n".join(lines), None, None))
+    got = {(x.doc_id, x.kept): x._n_removed for x in dedup_lines(table(spark, rows, clash=False)).withColumnRenamed("text", "kept").collect()}
+    long_ = lambda x: len(WORD.findall(x)) >= 5
+    want = {}
+    for i, t, *_ in rows:
+        mine, gone = t.split("\n"), set()
+        for e, u, *_ in rows:
+            if e < i and any(map(long_, set(u.split("\n")) & set(mine))):
+                for _, j, n in common_blocks(u.split("\n"), mine):
+                    if any(map(long_, mine[j : j + n])):
+                        gone |= set(range(j, j + n))
+        want[i, "\n".join(x for k, x in enumerate(mine) if k not in gone)] = len(gone)
+    assert got == want
+    assert got[4, "z\nq"] == 2
+
+
 def test_scores(spark, nasty):
     got = score_texts(table(spark, nasty)).collect()
     assert len(got) == len(nasty)
