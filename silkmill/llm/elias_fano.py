@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from io import BytesIO
+from typing import BinaryIO
 
 import numpy as np
 
 _BYTE_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+#: Values whose lower bits are packed at once; a multiple of 8.
+_AT_ONCE = 1 << 20
 #: Row r of a byte: the place of its r-th set bit.
 _BYTE_SELECT = np.array([[([p for p in range(8) if b >> p & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
@@ -15,9 +19,9 @@ _BYTE_SELECT = np.array([[([p for p in range(8) if b >> p & 1] + [0] * 8)[r] for
 class EliasFano:
     """A rising sequence of integers: lower bits packed, upper bits in unary, ranks per byte block."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, heads: np.ndarray | None = None):
         self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
-        self.heads: np.ndarray | None = None
+        self.heads = heads
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -25,9 +29,11 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, int(top // max(n, 1)).bit_length() - 1)
-        low = values & ((1 << low_bits) - 1)
-        bits = ((low[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel() if low_bits else np.zeros(0, np.uint8)
-        packed = np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(16, np.uint8)])
+        packed = []
+        for k in range(0, n if low_bits else 0, _AT_ONCE):
+            bits = (values[k : k + _AT_ONCE, None] >> np.arange(low_bits)) & 1
+            packed.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+        packed = np.concatenate([*packed, np.zeros(16, np.uint8)])
         places = (values >> low_bits) + np.arange(n)
         high_bits = np.zeros(int(places[-1]) + 1 if n else 1, np.uint8)
         high_bits[places] = 1
@@ -64,7 +70,7 @@ class EliasFano:
         return ((words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def directory(self) -> np.ndarray:
-        """How many values have an upper part below h, for every h: made from the upper bits when a trie is opened."""
+        """How many values have an upper part below h, for every h: made from the upper bits, and kept in a trie's file."""
         if self.heads is None:
             bits = np.unpackbits(np.asarray(self.high), bitorder="little")
             zeros = np.flatnonzero(bits == 0)
@@ -118,18 +124,23 @@ class Trie:
         begin, end = self.levels[level]["pointers"].get(np.array([parent, parent + 1]))
         return range(int(begin), int(end))
 
-    def to_bytes(self) -> bytes:
+    def write(self, to: BinaryIO) -> None:
         parts: list[np.ndarray] = [np.array([self.base_log], np.float64)]
         for x in self.levels:
-            parts += [*x["keys"].arrays(), *x["pointers"].arrays(), x["prob"], x["prob_book"], x["back"], x["back_book"]]
-        head, body, at = [len(parts)], [], 0
+            parts += [*x["keys"].arrays(), x["keys"].directory(), *x["pointers"].arrays(), x["prob"], x["prob_book"], x["back"], x["back_book"]]
+        head, at = [len(parts)], 0
         for p in parts:
-            raw = p.tobytes()
-            pad = -len(raw) % 8
             head += [ord(p.dtype.char), len(p), at]
-            body.append(raw + b"\0" * pad)
-            at += len(raw) + pad
-        return np.array(head, np.int64).tobytes() + b"".join(body)
+            at += p.nbytes + -p.nbytes % 8
+        to.write(np.array(head, np.int64).tobytes())
+        for p in parts:
+            to.write(memoryview(np.ascontiguousarray(p)).cast("B") if p.nbytes else b"")
+            to.write(b"\0" * (-p.nbytes % 8))
+
+    def to_bytes(self) -> bytes:
+        out = BytesIO()
+        self.write(out)
+        return out.getvalue()
 
     @classmethod
     def mapped(cls, raw: bytes) -> Trie:
@@ -138,9 +149,14 @@ class Trie:
         try:
             with os.fdopen(handle, "wb") as f:
                 f.write(raw)
-            data = np.memmap(name, np.uint8, "r")
+            return cls.opened(name)
         finally:
             os.unlink(name)
+
+    @classmethod
+    def opened(cls, path: str) -> Trie:
+        """The trie over a memory-mapped file."""
+        data = np.memmap(path, np.uint8, "r")
         n = int(data[:8].view(np.int64)[0])
         head = np.array(data[8 : 8 + 24 * n].view(np.int64)).reshape(n, 3)
         start = 8 + 24 * n
@@ -149,11 +165,11 @@ class Trie:
             kind = np.dtype(chr(char))
             parts.append(data[start + at : start + at + size * kind.itemsize].view(kind))
         levels, rest = [], parts[1:]
-        for k in range(0, len(rest), 12):
-            p = rest[k : k + 12]
+        for k in range(0, len(rest), 13):
+            p = rest[k : k + 13]
             levels.append({
-                "keys": EliasFano(int(p[0][0]), int(p[0][1]), *p[1:4]), "pointers": EliasFano(int(p[4][0]), int(p[4][1]), *p[5:8]),
-                "prob": p[8], "prob_book": p[9], "back": p[10], "back_book": p[11],
+                "keys": EliasFano(int(p[0][0]), int(p[0][1]), *p[1:5]), "pointers": EliasFano(int(p[5][0]), int(p[5][1]), *p[6:9]),
+                "prob": p[9], "prob_book": p[10], "back": p[11], "back_book": p[12],
             })
         return cls(levels, float(parts[0][0]))
 

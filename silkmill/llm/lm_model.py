@@ -15,8 +15,6 @@ from silkmill.llm.elias_fano import EliasFano, Trie, quantised
 ORDER = 5
 #: Marks that no word can hold.
 START, END = 0x20, 0x0A
-#: N-grams that the trie may hold: its bound in every size of corpus. Rarer ones are pruned first.
-MAX_GRAMS = 2_000_000
 
 
 def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

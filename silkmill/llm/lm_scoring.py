@@ -1,8 +1,8 @@
 """Language-model scores of whole texts, learned from all training texts.
 
 1. Training words are counted over the whole corpus.  From the counts come N, V, the discount,
-   the n-grams of the different words (their trie is bounded and goes to every worker) and the
-   frequent words: those with at least one occurrence for every ``HOT_SHARE`` documents.
+   all n-grams of the different words (their trie is a file in the shared folder that workers
+   memory-map, without a bound) and the frequent words: those with at least one occurrence for every ``HOT_SHARE`` documents.
 2. Every text is split once.  Frequent words and the end are scored on the spot.  All other words
    go, packed per block of texts, to the shard of their hash; there the training occurrences are
    counted and every occurrence is scored.  The sums go back, packed, to their block, where they
@@ -12,20 +12,23 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import materialise
+from silkmill.llm.common import materialise, shared_folder
 from silkmill.llm.elias_fano import Trie
-from silkmill.llm.lm_model import MAX_GRAMS, build_trie, gram_counts, spell
+from silkmill.llm.lm_model import build_trie, gram_counts, spell
 from silkmill.llm.text import utf8_words
 
 HOT_SHARE = 16
@@ -33,6 +36,8 @@ HOT_SHARE = 16
 SHARD_BYTES, BLOCK_BYTES = 40 << 20, 16 << 20
 SMOOTH = 0.1
 WORDS_AT_ONCE = 100_000
+#: N-grams that go to the driver in one result.
+GRAMS_AT_ONCE = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,14 +82,17 @@ def _word_stats(hot_from: int):
 
 
 class Model:
-    """What workers need; its size is bounded by ``MAX_GRAMS`` and the number of frequent words."""
+    """What workers need: where the trie is (or, without a common file system, the trie) and the frequent words."""
 
-    def __init__(self, trie: bytes, hot: dict[bytes, int], types: int, tokens: int, once: int, twice: int, ends: int):
+    def __init__(self, trie: str | bytes, hot: dict[bytes, int], types: int, tokens: int, once: int, twice: int, ends: int):
         self.trie, self.hot, self.ends = trie, hot, ends
         self.types, self.tokens = types + (ends > 0), tokens + ends
         self.once = once
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
 
+    def open_trie(self) -> Trie:
+        return Trie.opened(self.trie) if isinstance(self.trie, str) else Trie.mapped(self.trie)
+
     def scores(self, count: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probabilities of tokens with these counts: base, model, and model with unknown words spelled.
 
@@ -102,6 +110,19 @@ class Model:
         return base, score, np.where(count > 0, score, score + spelled)
 
 
+def _placed(spark: SparkSession, trie: Trie) -> str | bytes:
+    """The trie's file in the shared folder, or its bytes where that is no folder that Python opens."""
+    folder = urlsplit(shared_folder(spark))
+    if folder.scheme not in ("", "file"):
+        return trie.to_bytes()
+    path = unquote(folder.path) if folder.scheme else shared_folder(spark)
+    os.makedirs(path, exist_ok=True)
+    path = os.path.join(path, f"silkmill-{uuid.uuid4().hex}.trie")
+    with open(path, "wb") as f:
+        trie.write(f)
+    return path
+
+
 def train(docs: DataFrame) -> Model:
     """``docs``: ``text, held_out``."""
     training = docs.where(~F.col("held_out")).select("text")
@@ -112,12 +133,11 @@ def train(docs: DataFrame) -> Model:
     rows = materialise(rows.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")))
     totals = {r["key"]: r["n"] for r in rows.where("kind = 2").collect()}
     hot = {bytes(r["word"]): r["n"] for r in rows.where("kind = 1").select("word", "n").collect()}
-    grams, least = rows.where("kind = 0").select("key", "n"), 1
-    while grams.where(F.col("n") >= least).count() > MAX_GRAMS:
-        least *= 2
-    kept = grams.where(F.col("n") >= least).toPandas()
-    trie = build_trie(kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64))
-    return Model(trie.to_bytes(), hot, *[totals.get(k, 0) for k in range(4)], n_docs)
+    grams = rows.where("kind = 0").select("key", "n")
+    parts = math.ceil(grams.count() / GRAMS_AT_ONCE) or 1
+    every = [grams.where(F.pmod("key", F.lit(parts)) == k).toPandas() for k in range(parts)]
+    keys, counts = (np.concatenate([x[c].to_numpy(np.int64) for x in every]) for c in ("key", "n"))
+    return Model(_placed(docs.sparkSession, build_trie(keys, counts)), hot, *[totals.get(k, 0) for k in range(4)], n_docs)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -129,7 +149,7 @@ def _scatter(shared, shards: int):
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        trie = Trie.mapped(model.trie)
+        trie = model.open_trie()
         hot_words = list(model.hot)
         hot_counts = np.fromiter(model.hot.values(), np.int64, len(hot_words))
         hot = model.scores(hot_counts, spell(trie, hot_words))

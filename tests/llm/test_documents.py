@@ -15,6 +15,7 @@ from silkmill.llm import stages
 from silkmill.llm.langid import Predictor, fit, held_out, identify
 from silkmill.llm.langid_model import LanguageModels
 from silkmill.llm.line_dedup import dedup_lines
+from silkmill.llm.lm_model import build_trie, gram_counts, spell
 from silkmill.llm.lm_scoring import score_texts
 from silkmill.llm.mixing import mix
 from silkmill.llm.patience import align, common_blocks
@@ -342,6 +343,19 @@ def test_scores(spark, nasty):
     assert score_texts(table(spark, [])).count() == 0
 
 
+def test_scores_keep_every_n_gram(spark):
+    r = random.Random(19)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=14)) for _ in range(110_000)]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, " ".join(words[k :: len(train)]), None, None) for k, i in enumerate(train)]
+    unknown = words[5][:-1] + words[9][1:]
+    keys, counts = gram_counts(sorted({w.encode() for w in words}))
+    assert len(keys) > 2_000_000
+    got = next(x for x in score_texts(table(spark, [*rows, (held, unknown, None, None)], clash=False)).collect() if x.doc_id == held)
+    assert abs(got.open_score - got.score - spell(build_trie(keys, counts), [unknown.encode()])[0]) < 1e-4
+
+
 def test_pipeline(spark, nasty):
     docs = table(spark, nasty, clash=False)
     for n, (_, stage) in enumerate(stages.STAGES):
