@@ -16,8 +16,6 @@ from silkmill.llm.langid_model import LanguageModels, letter_words
 
 #: Bound of the training sample: labelled documents per language (expected; a hash decides).
 SAMPLE_PER_LANGUAGE = 700
-#: Bound of the number of languages that are learned: the most frequent ones.
-MAX_LANGUAGES = 200
 #: One of so many sampled documents (a hash decides) is held back for the rejection limits.
 HELD_BACK = 3
 #: Limit of the scaled excess cross-entropy: this quantile of held-back texts, times the slack.
@@ -41,12 +39,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     The first scan counts labels (two narrow columns), the second takes documents whose
     hashed id falls under the language's share, ``SAMPLE_PER_LANGUAGE`` in expectation, and
-    reads their whole texts.  None if nothing is labelled.
+    reads their whole texts.  Every label is learned; of a language whose texts would all be held
+    back, none is.  None if nothing is labelled.
     """
     known = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         F.col("l").isNotNull() & ~held_out(F.col("i"))
     )
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("l").count().collect()
     if not counts:
         return None
     share = F.create_map(*chain(*[(F.lit(r["l"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"])) for r in counts]))
@@ -63,6 +62,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             back[row["l"]].append(of)
         else:
             words[row["l"]].update(of)
+    for k, v in words.items():
+        if not v and back[k]:
+            for x in back.pop(k):
+                v.update(x)
     words = {k: v for k, v in words.items() if v}
     if not words:
         return None

@@ -170,14 +170,19 @@ class LanguageModels:
         """Rejection limits from held-back texts: (log probabilities, letters) per language.
 
         The cross-entropy of a text of n letters spreads like 1/sqrt(n); the limit is the
-        ``quantile`` of the scaled excess over the mean, times ``slack``.
+        ``quantile`` of the scaled excess over the mean, times ``slack``.  A language with fewer
+        than 20 texts takes those of all languages together, and of the two means the larger one;
+        with fewer than 20 of all there is no limit.
         """
-        for n, lang in enumerate(self.langs):
-            rows = texts.get(lang, [])
+        own = [[(-p[n] / m, m) for p, m in texts.get(lang, [])] for n, lang in enumerate(self.langs)]
+        pool = [x for rows in own for x in rows]
+        for n, mine in enumerate(own):
+            rows = mine if len(mine) >= 20 else pool
             if len(rows) < 20:
                 continue
-            entropy = np.array([-p[n] / m for p, m in rows])
-            size = np.array([m for _, m in rows], float)
+            entropy, size = np.array(rows, float).T
             mean = float(np.average(entropy, weights=size))
+            if rows is pool and mine:
+                mean = max(mean, float(np.average([e for e, _ in mine], weights=[m for _, m in mine])))
             self.means[n] = mean
             self.limits[n] = max(0.5, slack * float(np.quantile((entropy - mean) * np.sqrt(size), quantile)))

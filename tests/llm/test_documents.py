@@ -84,6 +84,24 @@ def test_identify_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out) and sum(r.rejected for r in out) <= 0.05 * len(out)
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(20)
+    rows, of = [], {}
+    ids = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5)
+    for k in range(210):
+        own = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)]
+        for _ in range(3 if k < 205 else 1):
+            i = next(ids)
+            of[i] = f"l{k}"
+            rows.append((i, " ".join(own * 2), of[i], None))
+    docs = table(spark, rows, clash=False)
+    models = fit(docs)
+    assert len(models.langs) == 210 and np.isfinite(models.limits).all()
+    assert {x.doc_id: x.lang_pred for x in identify(docs, models).collect()} == of
+    odd = Predictor(models).predict("\u4e00\u4e8c\u4e09\u56db\u4e94\u516d " * 3000)
+    assert odd[3]  # whatever language is predicted, such a text is rejected
+
+
 def test_rejection():
     m = LanguageModels({"x": counts("abab ab ba aab " * 50)})
     m.means[:], m.limits[:] = 1.0, 1.0
