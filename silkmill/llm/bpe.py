@@ -6,20 +6,24 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.bpe_automaton import MergeAutomaton, load
-from silkmill.llm.common import as_doc, from_doc
+from silkmill.llm.common import as_doc, from_doc, share
 
-#: Words whose path is kept; a full table starts anew.
-MEMO_WORDS = 300_000
+#: Words whose path is kept (some 250 bytes each); a full table starts anew.
+MEMO_WORDS = 100_000
 #: Longer words are encoded each time.
 MEMO_LENGTH = 64
+#: Characters of text that are encoded before their results become Arrow arrays.
+CHARS_AT_ONCE = 1 << 20
 
 # Fixed values of the tokenizer file: white space (Unicode White_Space) and the word pattern.
 SPACE = r"\t\n\x0B\f\r \x85\xA0  -     　"
@@ -35,6 +39,9 @@ NEWER = (
     r"\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD"
     r"\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
+# Capital letters of Unicode 16 and 17, which Python leaves as they are.
+NEWER_LOWER = {c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {0xA7CB: 0x264, 0xA7DC: 0x19B}
+NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 LETTER, NUMBER = rf"[\p{{L}}--[{NEWER}]]", r"\p{N}"
 OTHER = rf"(?:[{NEWER}]|[^{SPACE}\p{{L}}\p{{N}}])"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+"
@@ -58,11 +65,12 @@ def byte_letters() -> dict[int, str]:
 class WordBpe:
     """Pre-splitting, automaton and memo of one tokenizer."""
 
-    def __init__(self, automaton: MergeAutomaton, special: list[tuple[str, int]]):
+    def __init__(self, automaton: MergeAutomaton, special: list[tuple[str, int]], labels: list[str | None]):
         self.automaton = automaton
         self.special = dict(special)
-        self.labels = {i: x for x, i in automaton.ids.items()} | {i: x for x, i in special}
-        self.memo: dict[str, tuple[str, str, int]] = {}
+        self.labels = labels
+        self.decimal = [str(i) for i in range(len(labels))]
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.piece = regex.compile(PIECE, regex.V1)
         self.latin = re.compile(latin_pattern())
         self.at_special = regex.compile("(" + "|".join(regex.escape(x) for x, _ in special) + ")") if special else None
@@ -74,45 +82,46 @@ class WordBpe:
         try:  # most texts; the general classes are slower
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.piece.findall(text)
+            return self.piece.findall(text.translate(NEWER_LOWER))
         return self.latin.findall(text)
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        """Ids and labels of a word, each joined by one space, and their number."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word."""
         if (known := self.memo.get(word)) is not None:
             return known
         if word.isascii() and word.isprintable():
             mapped = word
         else:
-            mapped = "".join(self.letters[b] for b in word.encode("utf-8"))
-        ids = self.automaton.encode_word(mapped)
-        out = " ".join(map(str, ids)), " ".join([self.labels[x] for x in ids]), len(ids)
+            mapped = "".join([self.letters[b] for b in word.encode("utf-8")])
+        out = tuple(self.automaton.encode_word(mapped))
         if len(word) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = out
         return out
 
-    def parts(self, text: str | None) -> list[tuple[str, str, int]]:
-        """Ids, labels and number for each word and special token of a text."""
+    def encode(self, text: str | None) -> list[int]:
+        """Token ids of a text."""
         if not text:
             return []
-        pieces = self.at_special.split(text) if self.at_special and "<|" in text else [text]
-        get, out = self.memo.get, []
-        for n, piece in enumerate(pieces):
+        get, word = self.memo.get, self.word
+        if not self.at_special or "<|" not in text:
+            return list(chain.from_iterable([get(x) or word(x) for x in self.words(text)]))
+        out: list[int] = []
+        for n, piece in enumerate(self.at_special.split(text)):
             if n % 2:
-                out.append((str(self.special[piece]), piece, 1))
+                out.append(self.special[piece])
             else:
-                out += [get(x) or self.word(x) for x in self.words(piece)]
+                out += chain.from_iterable([get(x) or word(x) for x in self.words(piece)])
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        """Token ids of a text."""
-        return [int(i) for x in self.parts(text) for i in x[0].split(" ")]
-
     def decode(self, ids: list[int]) -> str:
         """Arc labels of the ids, joined by one space; unknown ids give nothing."""
-        return " ".join(self.labels[i] for i in ids if i in self.labels)
+        labels = self.labels
+        try:
+            return " ".join([labels[i] for i in ids])
+        except (IndexError, TypeError):
+            return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i] is not None])
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: bool = False, decoded: bool = False) -> DataFrame:
@@ -122,29 +131,46 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: boo
     text become their ids.  Rows are independent: repeated rows give repeated results, an
     empty table an empty one.  Columns of the input stay, but for ones with these names.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load(path))
+    model = share(docs.sparkSession, load(path))
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     kinds |= {"token_ids": "array<int>"} if token_ids else {}
     kinds |= {"decoded": "string"} if decoded else {}
 
-    @F.pandas_udf(", ".join(f"{n} {k}" for n, k in kinds.items()))
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(*model.value)
-        sha = hashlib.sha256
-        for batch in texts:
-            rows = []
+    @F.arrow_udf(f"struct<{', '.join(f'{n}: {k}' for n, k in kinds.items())}>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = WordBpe(*model.load())
+        sha, decimal = hashlib.sha256, bpe.decimal
+        lists = pa.list_(pa.int32())
+
+        def results(batch: pa.Array) -> pa.Array:
+            counts, digests, decoded_digests, outs, ids_of = [], [], [], [], []
             for x in batch:
-                parts = bpe.parts(x)
-                ids = " ".join([p[0] for p in parts])
-                out = " ".join([p[1] for p in parts])
-                row = [sum([p[2] for p in parts]), sha(ids.encode()).hexdigest(), sha(out.encode("utf-8")).hexdigest()]
+                ids = bpe.encode(x.as_py())
+                out = bpe.decode(ids)
+                counts.append(len(ids))
+                digests.append(sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
+                decoded_digests.append(sha(out.encode("utf-8")).hexdigest())
                 if token_ids:
-                    row.append(np.array(ids.split(), dtype=np.int32) if ids else np.zeros(0, np.int32))
+                    ids_of.append(np.array(ids, np.int32))
                 if decoded:
-                    row.append(out)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=list(kinds))
+                    outs.append(out)
+            arrays = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded_digests, pa.string())]
+            if token_ids:
+                arrays.append(pa.array(ids_of, lists))
+            if decoded:
+                arrays.append(pa.array(outs, pa.string()))
+            return pa.StructArray.from_arrays(arrays, names=list(kinds))
+
+        for batch in texts:
+            sizes = np.cumsum(_lengths(batch))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // CHARS_AT_ONCE)) + 1).tolist(), len(batch)]
+            parts = [results(batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     out = docs.select(as_doc(docs), of(F.col(text)).alias("found"))
     return out.select(*from_doc(docs, *kinds), *[F.col("found").getField(x).alias(x) for x in kinds])
+
+
+def _lengths(batch: pa.Array) -> np.ndarray:
+    """Bytes of each text, 0 for null."""
+    return pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

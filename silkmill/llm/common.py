@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,22 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object of a class of this package: its bytes carry the class along."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self) -> object:
+        """The object; to be called once in a task."""
+        return pickle.loads(self.pickled.value)
+
+
+def share(spark: SparkSession, value: object) -> Shared:
+    """Broadcasts ``value``, so that executors without this package can load it."""
+    return Shared(spark, value)
+
+
 def as_doc(docs: DataFrame) -> Column:
     """A row's columns as one struct ``doc``, so that no name of theirs meets a name of ours."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")

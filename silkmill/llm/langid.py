@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import as_doc, from_doc
+from silkmill.llm.common import as_doc, from_doc, share
 from silkmill.llm.langid_model import LanguageModels, letter_words
 
 #: Bound of the training sample: labelled documents per language (expected; a hash decides).
@@ -48,9 +48,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = known.groupBy("l").count().collect()
     if not counts:
         return None
-    share = F.create_map(*chain(*[(F.lit(r["l"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"])) for r in counts]))
+    part = F.create_map(*chain(*[(F.lit(r["l"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"])) for r in counts]))
     spot = F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.where(spot < F.coalesce(F.try_element_at(share, F.col("l")), F.lit(0.0)))
+    sample = known.where(spot < F.coalesce(F.try_element_at(part, F.col("l")), F.lit(0.0)))
     words: dict[str, Counter] = {r["l"]: Counter() for r in counts}
     back: dict[str, list[Counter]] = {r["l"]: [] for r in counts}
     turn = F.pmod(F.xxhash64(F.lit("back"), "i"), F.lit(HELD_BACK)).alias("turn")
@@ -129,11 +129,11 @@ def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text")
     Only the text decides, so repeated rows get the same prediction.  Other columns stay;
     columns with the names of the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(docs.sparkSession, models)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = Predictor(shared.value)
+        predictor = Predictor(shared.load())
         for batch in texts:
             rows = [predictor.predict(x) for x in batch]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "rejected"])

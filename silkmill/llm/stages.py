@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silkmill.llm.common import as_doc, from_doc
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rejected documents go."""
     from silkmill.llm.langid import fit, identify
 
-    known = identify(docs, fit(docs))
-    return known.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(as_doc(docs), F.col("text"))
+    known = identify(packed, fit(docs))
+    return known.where(~F.col("rejected")).select(*from_doc(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: texts lose their repeated blocks; documents that lose every word go."""
     from silkmill.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(docs)
+    own = ["doc_id", "text", *[c for c in docs.columns if c == "n_chars"]]
+    rest = [c for c in docs.columns if c not in own]
+    out = dedup_lines(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc") if rest else F.lit(None).alias("doc")))
     gone = (F.col("_n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~F.coalesce(gone, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    back = [F.col(c) if c in own else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return out.where(~F.coalesce(gone, F.lit(False))).select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +62,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each result is cut off by a reliable checkpoint."""
-    from silkmill.llm.common import materialise
+    """All stages over the documents of ``sf_dir``; each result but the last is stored as a compressed table."""
+    from silkmill.llm.common import stored
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = materialise(docs) if n < len(STAGES) - 1 else docs
+        docs = stored(docs) if n < len(STAGES) - 1 else docs
     return docs

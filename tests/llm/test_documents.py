@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silkmill.llm import stages
+from silkmill.llm.bpe_automaton import MergeAutomaton
 from silkmill.llm.langid import Predictor, fit, held_out, identify
 from silkmill.llm.langid_model import LanguageModels
 from silkmill.llm.line_dedup import dedup_lines
@@ -273,6 +274,36 @@ def test_tokens(spark, nasty):
         text = "".join(rand.choice("aehinrst") for _ in range(rand.randint(1, 30)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert ours.encode(text) == ids and ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}b"
+            assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_automaton_against_applied_merges():
+    """Random merge lists, also of equal parts and of parts that never meet, against merging in order."""
+    r = random.Random(21)
+    for _ in range(150):
+        tokens, merges = ["a", "b", "c"], []
+        vocab = {x: n for n, x in enumerate(["a", "b", "c", "a$", "b$", "c$"])}
+        tokens = list(vocab)
+        for _ in range(r.randint(1, 25)):
+            u, v = r.choice([x for x in tokens if "$" not in x]), r.choice(tokens)
+            if u + v not in vocab:
+                vocab[u + v] = len(vocab)
+                merges.append((u, v))
+                tokens.append(u + v)
+        automaton = MergeAutomaton(vocab, merges, "$")
+        for _ in range(60):
+            word = "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
+            parts = [*word[:-1], word[-1] + "$"]
+            for u, v in merges:
+                k = 0
+                while k < len(parts) - 1:
+                    if (parts[k], parts[k + 1]) == (u, v):
+                        parts[k : k + 2] = [u + v]
+                    k += 1
+            assert [*map(vocab.get, parts)] == automaton.encode_word(word), (merges, word)
 
 
 def test_alignment():
