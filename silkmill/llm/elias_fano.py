@@ -1,187 +1,114 @@
-"""Elias-Fano sequences and an n-gram trie of byte symbols in memory-mapped levels."""
+"""Elias-Fano sequences, and an n-gram trie in memory-mapped levels over them."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-from io import BytesIO
-from typing import BinaryIO
+import mmap
 
 import numpy as np
 
 _BYTE_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Values whose lower bits are packed at once; a multiple of 8.
+#: Values that are packed or unpacked at once; a multiple of 8.
 _AT_ONCE = 1 << 20
-#: Row r of a byte: the place of its r-th set bit.
-_BYTE_SELECT = np.array([[([p for p in range(8) if b >> p & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
 
 class EliasFano:
-    """A rising sequence of integers: lower bits packed, upper bits in unary, ranks per byte block."""
+    """A sequence of integers that never falls: lower bits packed, upper bits in unary, ranks for every 8 bytes."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, heads: np.ndarray | None = None):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
-        self.heads = heads
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        """``values``: int64, not falling."""
+        """``values``: int64, not falling, not negative."""
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, int(top // max(n, 1)).bit_length() - 1)
         packed = []
         for k in range(0, n if low_bits else 0, _AT_ONCE):
-            bits = (values[k : k + _AT_ONCE, None] >> np.arange(low_bits)) & 1
-            packed.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+            part = values[k : k + _AT_ONCE]
+            bits = np.empty((len(part), low_bits), np.uint8)
+            for b in range(low_bits):
+                bits[:, b] = (part >> b) & 1
+            packed.append(np.packbits(bits.ravel(), bitorder="little"))
         packed = np.concatenate([*packed, np.zeros(16, np.uint8)])
         places = (values >> low_bits) + np.arange(n)
         high_bits = np.zeros(int(places[-1]) + 1 if n else 1, np.uint8)
         high_bits[places] = 1
         high = np.packbits(high_bits, bitorder="little")
-        ranks = np.concatenate([[0], np.cumsum(_BYTE_ONES[high])]).astype(np.int64)[::8]  # set bits before each 8 bytes
-        high = np.concatenate([high, np.zeros(16, np.uint8)])
-        return cls(n, low_bits, packed, high, ranks)
-
-    def get(self, at: np.ndarray) -> np.ndarray:
-        """Values at the given places."""
-        block = np.searchsorted(self.ranks, at, "right") - 1
-        left = at - self.ranks[block]
-        byte = block * 8
-        place = np.full(len(at), -1)
-        open_ = np.arange(len(at))
-        while len(open_):
-            b = self.high[byte[open_]]
-            ones = _BYTE_ONES[b].astype(np.int64)
-            here = left[open_] < ones
-            done = open_[here]
-            place[done] = byte[done] * 8 + _BYTE_SELECT[b[here], left[done]]
-            open_ = open_[~here]
-            left[open_] -= ones[~here]
-            byte[open_] += 1
-        value = (place - at) << self.low_bits
-        return value | self._low(at)
-
-    def _low(self, at: np.ndarray) -> np.ndarray:
-        """Lower bits at the given places: one unaligned word each."""
+        high = np.concatenate([high, np.zeros(-len(high) % 8, np.uint8)])
+        ones = _BYTE_ONES[high].reshape(-1, 8).sum(axis=1, dtype=np.int64)
+        return cls(n, low_bits, packed, high, np.concatenate([[0], np.cumsum(ones)]))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.low, self.high, self.ranks]
+
+    def slice(self, begin: int, end: int) -> np.ndarray:
+        """Values from ``begin`` to before ``end``."""
+        if begin >= end:
+            return np.zeros(0, np.int64)
+        first = int(np.searchsorted(self.ranks, begin, "right")) - 1
+        last = int(np.searchsorted(self.ranks, end - 1, "right"))
+        ones = np.flatnonzero(np.unpackbits(self.high[first * 8 : last * 8], bitorder="little"))
+        skip = begin - int(self.ranks[first])
+        at = np.arange(begin, end)
+        upper = ones[skip : skip + len(at)] + first * 64 - at
         if not self.low_bits:
-            return np.zeros(len(at), np.int64)
+            return upper
         bit = at * self.low_bits
         words = np.ndarray((len(self.low) - 8,), "<u8", self.low, strides=(1,))[bit >> 3]
-        return ((words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
-
-    def directory(self) -> np.ndarray:
-        """How many values have an upper part below h, for every h: made from the upper bits, and kept in a trie's file."""
-        if self.heads is None:
-            bits = np.unpackbits(np.asarray(self.high), bitorder="little")
-            zeros = np.flatnonzero(bits == 0)
-            ones_before = zeros - np.arange(len(zeros))
-            self.heads = np.concatenate([[0], np.minimum(ones_before, self.n)]).astype(np.int32)
-        return self.heads
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Places of values in the sequence, or -1: the values with the same upper part, then the first lower part not less."""
-        heads = self.directory()
-        upper = values >> self.low_bits
-        inside = np.flatnonzero((upper >= 0) & (upper < len(heads) - 1))
-        out = np.full(len(values), -1)
-        at, end = heads[upper[inside]].astype(np.int64), heads[upper[inside] + 1]
-        lower = values[inside] & ((1 << self.low_bits) - 1)
-        open_ = np.flatnonzero(at < end)
-        while len(open_):
-            low = self._low(at[open_])
-            same = low == lower[open_]
-            out[inside[open_[same]]] = at[open_[same]]
-            open_ = open_[low < lower[open_]]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
-        return out
-
-    def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ranks]
+        lower = (words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        return upper << self.low_bits | lower.astype(np.int64)
 
 
 class Trie:
-    """Level k holds the n-grams of k symbols in order: child keys, child pointers, probability and back-off codes.
+    """Contexts, the pointers to their children, the children, and a code for each child.
 
-    A child's key is 256 times its parent's number plus its symbol, so a level's keys rise and a
-    symbol is found by a successor search among the few keys whose upper part is its context's.
+    A child is stored relative to its context: the context's number times ``width`` plus the
+    child, so a level never falls, and the children of a context lie between two pointers.
+    All levels stand in one memory map.
     """
 
-    def __init__(self, levels: list[dict], base_log: float):
-        self.levels, self.base_log = levels, base_log
-
-    def child(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Number of the child in ``level`` (0: the first) under ``parent``, or -1."""
-        keys = self.levels[level]["keys"]
-        out = np.full(len(parent), -1)
-        ask = np.flatnonzero(parent >= 0)
-        if len(ask) and keys.n:
-            out[ask] = keys.find(parent[ask] * 256 + symbol[ask])
-        return out
-
-    def children(self, level: int, parent: int) -> range:
-        """Numbers of the children in ``level`` under ``parent``."""
-        begin, end = self.levels[level]["pointers"].get(np.array([parent, parent + 1]))
-        return range(int(begin), int(end))
-
-    def write(self, to: BinaryIO) -> None:
-        parts: list[np.ndarray] = [np.array([self.base_log], np.float64)]
-        for x in self.levels:
-            parts += [*x["keys"].arrays(), x["keys"].directory(), *x["pointers"].arrays(), x["prob"], x["prob_book"], x["back"], x["back_book"]]
-        head, at = [len(parts)], 0
+    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, children: np.ndarray, codes: np.ndarray, width: int):
+        """``contexts`` rise; ``children`` rise in each context; see :meth:`find`."""
+        self.width = width
+        number = np.repeat(np.arange(len(contexts)), np.diff(pointers))
+        levels = [EliasFano.build(x) for x in (contexts, pointers, number * width + children)]
+        parts = [*(a for x in levels for a in x.arrays()), codes]
+        self.map = mmap.mmap(-1, max(1, sum(p.nbytes + -p.nbytes % 8 for p in parts)))
+        views, at = [], 0
         for p in parts:
-            head += [ord(p.dtype.char), len(p), at]
+            view = np.frombuffer(self.map, p.dtype, len(p), at)
+            view[:] = p
+            views.append(view)
             at += p.nbytes + -p.nbytes % 8
-        to.write(np.array(head, np.int64).tobytes())
-        for p in parts:
-            to.write(memoryview(np.ascontiguousarray(p)).cast("B") if p.nbytes else b"")
-            to.write(b"\0" * (-p.nbytes % 8))
-
-    def to_bytes(self) -> bytes:
-        out = BytesIO()
-        self.write(out)
-        return out.getvalue()
-
-    @classmethod
-    def mapped(cls, raw: bytes) -> Trie:
-        """The trie over a memory-mapped temporary file, which is unlinked at once and leaves nothing behind."""
-        handle, name = tempfile.mkstemp()
-        try:
-            with os.fdopen(handle, "wb") as f:
-                f.write(raw)
-            return cls.opened(name)
-        finally:
-            os.unlink(name)
-
-    @classmethod
-    def opened(cls, path: str) -> Trie:
-        """The trie over a memory-mapped file."""
-        data = np.memmap(path, np.uint8, "r")
-        n = int(data[:8].view(np.int64)[0])
-        head = np.array(data[8 : 8 + 24 * n].view(np.int64)).reshape(n, 3)
-        start = 8 + 24 * n
-        parts = []
-        for char, size, at in head.tolist():
-            kind = np.dtype(chr(char))
-            parts.append(data[start + at : start + at + size * kind.itemsize].view(kind))
-        levels, rest = [], parts[1:]
-        for k in range(0, len(rest), 13):
-            p = rest[k : k + 13]
-            levels.append({
-                "keys": EliasFano(int(p[0][0]), int(p[0][1]), *p[1:5]), "pointers": EliasFano(int(p[5][0]), int(p[5][1]), *p[6:9]),
-                "prob": p[9], "prob_book": p[10], "back": p[11], "back_book": p[12],
-            })
-        return cls(levels, float(parts[0][0]))
-
-
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and their book: means of 256 equally filled bins."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    uniq = np.unique(values)
-    if len(uniq) <= 256:
-        return np.searchsorted(uniq, values).astype(np.uint8), uniq
-    edges = np.quantile(values, np.linspace(0, 1, 257)[1:-1])
-    code = np.searchsorted(edges, values, "right")
-    book = np.bincount(code, values, 256) / np.maximum(np.bincount(code, minlength=256), 1)
-    return code.astype(np.uint8), book
+        self.contexts, self.pointers, self.children = (
+            EliasFano(x.n, x.low_bits, *views[3 * k : 3 * k + 3]) for k, x in enumerate(levels)
+        )
+        self.codes = views[-1]
+
+    def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Places of children in the trie, or -1; the queries rise by context, then by child.
+
+        The context is found by a successor search in its level; its pointers bound the children, which
+        are decoded, and there the successor of the context-relative child is searched.
+        """
+        out = np.full(len(context), -1, np.int64)
+        known = self.contexts.slice(0, self.contexts.n)
+        if not len(known):
+            return out
+        for start in range(0, len(context), _AT_ONCE):
+            asked = context[start : start + _AT_ONCE]
+            number = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            hit = np.flatnonzero(known[number] == asked)
+            if not len(hit):
+                continue
+            number = number[hit]
+            bounds = self.pointers.slice(int(number[0]), int(number[-1]) + 2)
+            begin, end = bounds[number - number[0]], bounds[number - number[0] + 1]
+            held = self.children.slice(int(begin[0]), int(end[-1]))
+            target = number * self.width + child[start : start + _AT_ONCE][hit]
+            next_ = np.searchsorted(held, target)
+            place = next_ + begin[0]
+            same = (place < end) & (held[np.minimum(next_, len(held) - 1)] == target)
+            out[start + hit[same]] = place[same]
+        return out

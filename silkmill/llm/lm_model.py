@@ -1,102 +1,77 @@
-"""A language model of words: discounted counts, and an n-gram trie of bytes for what they leave.
+"""A bigram model of words with hierarchical Dirichlet smoothing, in Elias-Fano tries.
 
-A known word has P = (c - D + R P_trie) / N, all unknown words together share n1 / N, where D is the
-absolute discount, n1 the number of words seen once and R what the discount leaves beyond n1.
-P_trie spells the word: each byte, and the word's end, given the bytes before it in the word, by
-interpolated absolute discounting over the n-grams of the different training words.
+``P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))`` and ``P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU)``: the
+count of a word as a context is its own count, so a context may be spread over shards.  A
+context that never occurs leaves ``P(w)``.  Logarithms are stored in steps of ``1 / STEPS``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from silkmill.llm.elias_fano import EliasFano, Trie, quantised
-
-ORDER = 5
-#: Marks that no word can hold.
-START, END = 0x20, 0x0A
-
-
-def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' bytes between their marks, and how many bytes stand before each in its word."""
-    joined = np.frombuffer(b"".join(b" %b\n" % w for w in words), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return joined, np.arange(len(joined)) - begin
-
-
-def gram_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (order in the top byte, then the bytes) and counts of the n-grams, each word once."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s, depth = marked(words)
-    keys, packed = [], np.zeros(len(s), np.int64)
-    for k in range(1, ORDER + 1):
-        packed = s.astype(np.int64) if k == 1 else (np.concatenate([[0], packed[:-1]]) << 8) | s
-        at = depth >= k - 1
-        keys.append(packed[at] | (k << 56))
-    return np.unique(np.concatenate(keys), return_counts=True)
-
-
-def build_trie(keys: np.ndarray, counts: np.ndarray) -> Trie:
-    """``keys``: see :func:`gram_counts`; a kept n-gram's head and tail must be kept."""
-    order_of = keys >> 56
-    grams = [np.zeros(1, np.int64)] + [np.sort(keys[order_of == k] & ((1 << 56) - 1)) for k in range(1, ORDER + 1)]
-    by_key = np.argsort(keys)
-    keys, counts = keys[by_key], counts[by_key].astype(np.float64)
-    starts = np.searchsorted(keys, np.arange(ORDER + 2) << 56)
-    count = [np.zeros(1)] + [counts[starts[k] : starts[k + 1]] for k in range(1, ORDER + 1)]
-    levels, below, base = [], None, 1.0
-    for k in range(1, ORDER + 1):
-        g, c = grams[k], count[k].copy()
-        parent = np.searchsorted(grams[k - 1], g >> 8) if k > 1 else np.zeros(len(g), np.int64)
-        if k == 1:
-            c[g == START] = 0  # never predicted
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        discount = float(ones / (ones + 2 * twos)) if ones and twos else 0.5
-        total = np.array([c.sum()]) if k == 1 else count[k - 1]
-        kept = np.maximum(c - discount, 0)
-        left = 1 - np.bincount(parent, kept, len(grams[k - 1])) / np.maximum(total, 1)
-        left = np.clip(left, 1e-9, 1)
-        if k == 1:
-            base = left[0] / 257
-            prob = kept / max(total[0], 1) + base
-        else:
-            tail = np.searchsorted(grams[k - 1], g & ((1 << (8 * (k - 1))) - 1))
-            prob = kept / np.maximum(total[parent], 1) + left[parent] * below[tail]
-            levels[-1]["back"], levels[-1]["back_book"] = quantised(np.log10(left))
-        below = prob
-        code, book = quantised(np.log10(np.maximum(prob, 1e-12)))
-        pointers = np.searchsorted(parent, np.arange(len(grams[k - 1]) + 1))
-        levels.append({
-            "keys": EliasFano.build(parent * 256 + (g & 255)), "pointers": EliasFano.build(pointers.astype(np.int64)),
-            "prob": code, "prob_book": book, "back": np.zeros(1, np.uint8), "back_book": np.zeros(1),
-        })
-    return Trie(levels, float(np.log10(base)))
-
-
-def spell(trie: Trie, words: list[bytes]) -> np.ndarray:
-    """log10 P_trie of each word: the longest n-gram known, and back-off for the longer contexts."""
-    if not words:
-        return np.zeros(0)
-    s, depth = marked(words)
-    n = len(s)
-    total, done = np.full(n, trie.base_log), np.zeros(n, np.int64)
-    back = np.zeros(n)
-    node = np.zeros(n, np.int64)
-    for k in range(1, ORDER + 1):
-        # The node of the context is the one that ended at the byte before.
-        context = np.where(depth >= k - 1, np.concatenate([[-1], node[:-1]]) if k > 1 else 0, -1)
-        level = trie.levels[k - 1]
-        node = trie.child(k - 1, context, s.astype(np.int64))
-        hit = node >= 0
-        total[hit] = level["prob_book"][level["prob"][node[hit]]]
-        back[hit] = 0.0
-        if k > 1:
-            above = trie.levels[k - 2]
-            miss = ~hit & (context >= 0)
-            back[miss] += above["back_book"][above["back"][context[miss]]]
-        done[hit] = k
-    total = np.where(depth > 0, total + back, 0.0)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    return np.add.reduceat(total, np.cumsum(sizes) - sizes)
+from silkmill.llm.elias_fano import Trie
+
+SMOOTH = 0.1
+#: Weight of the lower order, in words.
+MU = 200.0
+#: Steps of a quantised log10, and the largest code.
+STEPS, LAST_CODE = 4096, 65535
+
+
+def log_unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
+    """log10 P(w) by the word's count in ``tokens`` training tokens of ``types`` kinds."""
+    return np.log10((count + SMOOTH) / (tokens + SMOOTH * (types + 1)))
+
+
+def log_bigram(count: np.ndarray, context_count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 P(w | v); ``lower``: log10 P(w)."""
+    return np.log10((count + MU * 10.0**lower) / (context_count + MU))
+
+
+def coded(log: np.ndarray) -> np.ndarray:
+    """Codes of log10 probabilities, at most half a step off."""
+    return np.clip(np.rint(log * -STEPS), 0, LAST_CODE).astype(np.uint16)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return codes / -float(STEPS)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+
+
+def build_trie(context: np.ndarray, child: np.ndarray, code: np.ndarray) -> Trie:
+    """The trie of bigrams in rising order."""
+    first = runs(context)
+    return Trie(context[first], np.concatenate([first, [len(context)]]), child, code, int(child.max(initial=0)) + 1)
+
+
+def score_bigrams(
+    context: np.ndarray, child: np.ndarray, count: np.ndarray, context_count: np.ndarray, lower: np.ndarray
+) -> np.ndarray:
+    """Codes of all bigrams asked for, with the model learned from those with a count.
+
+    Each row is one bigram in one part of the corpus: its training count there, the whole count
+    of its context, and log10 P(w); the rows of a bigram are all here.
+    """
+    key_width = int(child.max(initial=0)) + 1
+    known, number = np.unique(context, return_inverse=True)
+    key = number * key_width + child
+    order = np.argsort(key, kind="stable")  # parts come sorted, so this merges them
+    first = runs(key[order])
+    rows = order[first]
+    total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+    seen = total > 0
+    at = rows[seen]
+    trie = build_trie(context[at], child[at], coded(log_bigram(total[seen], context_count[at], lower[at])))
+    place = trie.find(context[rows], child[rows])
+    code = coded(log_bigram(np.zeros(len(rows)), context_count[rows], lower[rows]))
+    hit = place >= 0
+    code[hit] = trie.codes[place[hit]]
+    out = np.empty(len(key), np.uint16)
+    out[order] = np.repeat(code, np.diff(np.concatenate([first, [len(key)]])))
+    return out

@@ -1,43 +1,46 @@
 """Language-model scores of whole texts, learned from all training texts.
 
-1. Training words are counted over the whole corpus.  From the counts come N, V, the discount,
-   all n-grams of the different words (their trie is a file in the shared folder that workers
-   memory-map, without a bound) and the frequent words: those with at least one occurrence for every ``HOT_SHARE`` documents.
-2. Every text is split once.  Frequent words and the end are scored on the spot.  All other words
-   go, packed per block of texts, to the shard of their hash; there the training occurrences are
-   counted and every occurrence is scored.  The sums go back, packed, to their block, where they
-   meet the local ones.  A frequent word never travels, so no shard depends on one word.
+Texts are cut into words once, in blocks of some megabytes; a block names its words by local
+numbers.  Blocks ask, shards answer, twice:
+
+1. A block sends the hashes of its words with their counts to the shards of these hashes.  The
+   shards add up the counts of all blocks, number the words, and answer both.
+2. A block sends its bigrams, each with its counts and the counts of its two words, to the
+   shards of their contexts; the bigrams of a frequent context are dealt to shards one by one.  A
+   shard builds its trie from all counts, searches every bigram in it, and answers the codes of their
+   probabilities.
+
+A word or a bigram travels once for each block, however often it occurs there, so no shard
+depends on one of them.  A block sends only runs that hold something: at most one row for each
+word or bigram of its own, however many shards there are.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import uuid
-from collections import Counter
-from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import materialise, shared_folder
-from silkmill.llm.elias_fano import Trie
-from silkmill.llm.lm_model import build_trie, gram_counts, spell
+from silkmill.llm.common import stored
+from silkmill.llm.lm_model import decoded, log_unigram, runs, score_bigrams
 from silkmill.llm.text import utf8_words
 
-HOT_SHARE = 16
-#: Corpus bytes per shard, text bytes per block.
-SHARD_BYTES, BLOCK_BYTES = 40 << 20, 16 << 20
-SMOOTH = 0.1
-WORDS_AT_ONCE = 100_000
-#: N-grams that go to the driver in one result.
-GRAMS_AT_ONCE = 2_000_000
+#: Text bytes per shard and per block.
+SHARD_BYTES, BLOCK_BYTES = 12 << 20, 12 << 20
+#: Words that occur more often in all texts have their bigrams dealt to shards one by one.
+SPLIT_FROM = 200_000
+# Row kinds.
+TEXTS, ASKED, TOTALS, ANSWERED = range(4)
+ROW = "kind int, shard int, block long, payload binary"
+COLUMNS = ["kind", "shard", "block", "payload"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,251 +48,256 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        counts: Counter = Counter()
-        for x in pdf["text"]:
-            counts.update(utf8_words(x))
-        yield pd.DataFrame({"word": list(counts), "n": np.fromiter(counts.values(), np.int64, len(counts))})
-
-
-def _word_stats(hot_from: int):
-    """Counted words to rows: n-grams with counts, frequent words, and totals."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed row: for each its type and length, and its bytes by significance."""
+    parts = [np.array([len(arrays)], np.int64).tobytes()]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes())
+        parts.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def _unpack(payload: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(payload)
+    at, out = 8, []
+    for _ in range(int(np.frombuffer(raw, np.int64, 1)[0])):
+        char, n = np.frombuffer(raw, np.int64, 2, at).tolist()
+        kind, at = np.dtype(chr(char)), at + 16
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += n * kind.itemsize
+    return out
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.int64)
+
+
+def _by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Places of each shard that occurs, in rising order of shards; places keep their order."""
+    narrow = shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard
+    order = np.argsort(narrow, kind="stable")
+    first = runs(shard[order])
+    return [(int(shard[x[0]]), x) for x in np.split(order, first[1:])] if len(order) else []
+
+
+class _Block:
+    """Texts that are cut into words together."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.words: defaultdict[bytes, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.ids: list[np.ndarray] = []
+        self.docs: list[tuple] = []
+
+    def add(self, doc_id: int | None, text: str | None, held: bool) -> None:
+        words = utf8_words(text)
+        self.ids.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, held, len(words)))
+        self.size += len(text or "") + 100
+
+    def rows(self, shards: int) -> pd.DataFrame:
+        ids = np.concatenate(self.ids)
+        doc_id, null, held, sizes = (np.array(x, t) for x, t in zip(zip(*self.docs, strict=True), (np.int64, bool, bool, np.uint32), strict=True))
+        n = len(self.words)
+        every = np.bincount(ids, minlength=n)
+        train = np.bincount(ids[np.repeat(~held, sizes)], minlength=n)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, n)
+        out = [(TEXTS, -1, self.number, _pack(doc_id, null, held, sizes, ids))]
+        order = np.argsort(hashes)
+        for shard, at in _by_shard((hashes[order] % np.uint64(shards)).astype(np.int64)):
+            at = order[at]
+            out.append((ASKED, shard, self.number, _pack(np.diff(hashes[at], prepend=np.uint64(0)), at.astype(np.uint32), _narrow(train[at]), _narrow(every[at]))))
+        return _frame(out)
+
+
+def _cut(shards: int) -> Callable:
+    """Texts to blocks, and what they ask about their words."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros(4, np.int64)
-        waiting: list[bytes] = []
-
-        def grams() -> pd.DataFrame:
-            keys, counts = gram_counts(waiting)
-            return pd.DataFrame({"kind": 0, "key": keys, "word": None, "n": counts})
-
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(number)
         for pdf in batches:
-            n = pdf["n"].to_numpy()
-            totals += [len(n), n.sum(), (n == 1).sum(), (n == 2).sum()]
-            waiting += [bytes(x) for x in pdf["word"]]
-            if len(waiting) >= WORDS_AT_ONCE:
-                yield grams()
-                waiting = []
-            hot = pdf[n >= hot_from]
-            if len(hot):
-                yield pd.DataFrame({"kind": 1, "key": 0, "word": hot["word"], "n": hot["n"]})
-        if waiting:
-            yield grams()
-        yield pd.DataFrame({"kind": 2, "key": np.arange(4), "word": None, "n": totals})
+            ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"].tolist()]
+            for i, text, held in zip(ids, pdf["text"].tolist(), pdf["held_out"].tolist(), strict=True):
+                block.add(i, text, held)
+                if block.size >= BLOCK_BYTES:
+                    yield block.rows(shards)
+                    number += 1
+                    block = _Block(number)
+        if block.docs:
+            yield block.rows(shards)
 
     return of
 
 
-class Model:
-    """What workers need: where the trie is (or, without a common file system, the trie) and the frequent words."""
-
-    def __init__(self, trie: str | bytes, hot: dict[bytes, int], types: int, tokens: int, once: int, twice: int, ends: int):
-        self.trie, self.hot, self.ends = trie, hot, ends
-        self.types, self.tokens = types + (ends > 0), tokens + ends
-        self.once = once
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-
-    def open_trie(self) -> Trie:
-        return Trie.opened(self.trie) if isinstance(self.trie, str) else Trie.mapped(self.trie)
-
-    def scores(self, count: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probabilities of tokens with these counts: base, model, and model with unknown words spelled.
-
-        ``spelled``: log10 P_trie.  The base knows one unknown word, and so does the model: its share
-        is that of the words seen once (Good-Turing).  What the discount leaves beyond that goes to the
-        known words as the trie spells them.
-        """
-        base = np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.types + 1)))
-        if not self.tokens:
-            return base, base.copy(), spelled.copy()
-        unknown = max(self.once, 0.5)
-        left = max(self.discount * self.types - unknown, 0.0)
-        known = np.maximum(count - self.discount, 0) + left * 10.0**spelled
-        score = np.log10(np.where(count > 0, np.maximum(known, 1e-12), unknown) / self.tokens)
-        return base, score, np.where(count > 0, score, score + spelled)
-
-
-def _placed(spark: SparkSession, trie: Trie) -> str | bytes:
-    """The trie's file in the shared folder, or its bytes where that is no folder that Python opens."""
-    folder = urlsplit(shared_folder(spark))
-    if folder.scheme not in ("", "file"):
-        return trie.to_bytes()
-    path = unquote(folder.path) if folder.scheme else shared_folder(spark)
-    os.makedirs(path, exist_ok=True)
-    path = os.path.join(path, f"silkmill-{uuid.uuid4().hex}.trie")
-    with open(path, "wb") as f:
-        trie.write(f)
-    return path
-
-
-def train(docs: DataFrame) -> Model:
-    """``docs``: ``text, held_out``."""
-    training = docs.where(~F.col("held_out")).select("text")
-    n_docs = training.count()
-    words = training.where(F.col("text").isNotNull()).mapInPandas(_word_counts, "word binary, n long")
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    rows = words.mapInPandas(_word_stats(max(2, math.ceil(n_docs / HOT_SHARE))), "kind int, key long, word binary, n long")
-    rows = materialise(rows.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")))
-    totals = {r["key"]: r["n"] for r in rows.where("kind = 2").collect()}
-    hot = {bytes(r["word"]): r["n"] for r in rows.where("kind = 1").select("word", "n").collect()}
-    grams = rows.where("kind = 0").select("key", "n")
-    parts = math.ceil(grams.count() / GRAMS_AT_ONCE) or 1
-    every = [grams.where(F.pmod("key", F.lit(parts)) == k).toPandas() for k in range(parts)]
-    keys, counts = (np.concatenate([x[c].to_numpy(np.int64) for x in every]) for c in ("key", "n"))
-    return Model(_placed(docs.sparkSession, build_trie(keys, counts)), hot, *[totals.get(k, 0) for k in range(4)], n_docs)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
-
-
-def _scatter(shared, shards: int):
-    """Texts to packed rows: per block one with the local sums, and one for every shard."""
+def _answer_words(shards: int) -> Callable:
+    """A shard's words: numbers and counts for each block that asks, and the totals."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        trie = model.open_trie()
-        hot_words = list(model.hot)
-        hot_counts = np.fromiter(model.hot.values(), np.int64, len(hot_words))
-        hot = model.scores(hot_counts, spell(trie, hot_words))
-        end = model.scores(np.array([model.ends]), np.array([-30.0]))
-        n_hot, block_no = len(hot_words), TaskContext.get().partitionId() << 32
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            bounds = np.cumsum([len(x or "") for x in texts]) // BLOCK_BYTES
-            for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1):
-                numbers = {w: n for n, w in enumerate(hot_words)}
-                ids, sizes = [], []
-                for k in group:
-                    words = utf8_words(texts[k])
-                    ids += [numbers.setdefault(w, len(numbers)) for w in words]
-                    sizes.append(len(words))
-                ids = np.array(ids, np.int64)
-                sizes = np.array(sizes, np.int64)
-                doc = np.repeat(np.arange(len(group)), sizes)
-                is_hot = ids < n_hot
-                sums = [np.bincount(doc[is_hot], x[ids[is_hot]], len(group)) + e[0] for x, e in zip(hot, end, strict=True)]
-                known = np.bincount(doc[is_hot], minlength=len(group)) + (model.ends > 0)
-                o = pdf["doc_id"].to_numpy()[group]
-                null = pd.isna(pdf["doc_id"]).to_numpy()[group]
-                o = np.where(null, 0, o).astype(np.int64)
-                h, out = pdf["h"].to_numpy(np.int64)[group], pdf["held_out"].to_numpy(bool)[group]
-                rows = [(block_no % shards, block_no, len(group), 0, 0, _pack(o, h, sizes + 1, known.astype(np.int64), *sums, null, out))]
-                cold = list(numbers)[n_hot:]
-                if cold:
-                    spelled = np.concatenate([spell(trie, cold[i : i + WORDS_AT_ONCE]) for i in range(0, len(cold), WORDS_AT_ONCE)])
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in cold), np.uint64, len(cold))
-                    pair, times = np.unique((ids[~is_hot] - n_hot) * len(group) + doc[~is_hot], return_counts=True)
-                    word, at = pair // len(group), pair % len(group)
-                    shard = (hashes % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(shard[word], kind="stable")
-                    word, at, times = word[order], at[order], times[order]
-                    cuts = np.searchsorted(shard[word], np.arange(shards + 1))
-                    for k in range(shards):
-                        a, b = cuts[k], cuts[k + 1]
-                        if a == b:
-                            continue
-                        w, begin, count = np.unique(word[a:b], return_index=True, return_counts=True)
-                        d, local = np.unique(at[a:b], return_inverse=True)
-                        rows.append((
-                            k, block_no, len(d), len(w), b - a,
-                            _pack(
-                                hashes[w], d.astype(np.int32), count.astype(np.int32), spelled[w].astype(np.float32),
-                                local.astype(np.int32), times[a:b].astype(np.int32), out[d],
-                            ),
-                        ))
-                block_no += 1
-                yield pd.DataFrame(rows, columns=["shard", "block", "nd", "nw", "np", "payload"])
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        asked = [_unpack(x) for x in pdf["payload"]]
+        words, number = np.unique(np.concatenate([np.cumsum(x[0]) for x in asked]), return_inverse=True)
+        train, every = (np.bincount(number, np.concatenate([x[k] for x in asked]), len(words)).astype(np.int64) for k in (2, 3))
+        rows = [(TOTALS, shard, -1, _pack(np.array([train.sum(), (train > 0).sum()])))]
+        at = 0
+        for block, (_, local, _, _) in zip(pdf["block"], asked, strict=True):
+            mine = number[at : at + len(local)]
+            at += len(local)
+            rows.append((ANSWERED, shard, block, _pack(local, _narrow(mine * shards + shard + 1), _narrow(train[mine]), _narrow(every[mine]))))
+        return _frame(rows)
 
     return of
 
 
-class _Reader:
-    """Arrays one after the other out of a packed row."""
+def _mixed(*numbers: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of numbers, never negative."""
+    out = np.zeros(len(numbers[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for x in numbers:
+            out = (out ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(32)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+class _Bigrams:
+    """A block's different bigrams whose context is known, in the order of asking; the mark of start and end is word 0."""
+
+    def __init__(self, pdf: pd.DataFrame, ends: int, shards: int):
+        self.doc_id, self.null, self.held, sizes, ids = _unpack(pdf.loc[pdf["kind"] == TEXTS, "payload"].iloc[0])
+        answers = [_unpack(x) for x in pdf.loc[pdf["kind"] == ANSWERED, "payload"]]
+        local = np.concatenate([np.zeros(0, np.int64), *(x[0].astype(np.int64) for x in answers)])
+        n = len(local)
+        number, train, every = (np.zeros(n + 1, np.int64) for _ in range(3))
+        for k, to in ((1, number), (2, train), (3, every)):
+            to[local] = np.concatenate([np.zeros(0, np.int64), *(x[k].astype(np.int64) for x in answers)])
+        train[n] = every[n] = ends  # the mark
+        rank = np.argsort(number)  # rank 0 is the mark
+        place = np.empty(n + 1, np.int64)
+        place[rank] = np.arange(n + 1)
+        self.number, self.train, self.every = number[rank], train[rank], every[rank]
+        self.sizes = sizes.astype(np.int64) + 1
+        end = np.cumsum(self.sizes)
+        words = place[ids.astype(np.int64)]
+        self.next = np.zeros(int(end[-1]), np.int64)
+        inside = np.ones(len(self.next), bool)
+        inside[end - 1] = False
+        self.next[inside] = words
+        before = np.zeros(len(self.next), np.int64)
+        before[1:] = self.next[:-1]  # after an end, which is the mark, comes the start, which is the mark
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.known = self.train[before] > 0
+        key = before[self.known] * (n + 1) + self.next[self.known]
+        different, self.inverse = np.unique(key, return_inverse=True)
+        self.context, self.child = different // (n + 1), different % (n + 1)
+        context, child = self.number[self.context], self.number[self.child]
+        split = self.every[self.context] > SPLIT_FROM
+        shard = np.where(split, _mixed(context, child), _mixed(context)) % shards
+        self.dealt = _by_shard(shard)
+
+    def counts(self) -> np.ndarray:
+        """Training counts of the bigrams in this block."""
+        train = ~self.held[self.doc[self.known]]
+        return np.bincount(self.inverse[train], minlength=len(self.context))
+
+
+def _ask_bigrams(ends: int, shards: int) -> Callable:
+    """A block's words and their answers to what it asks about its bigrams."""
 
-    def __init__(self, payload: bytes):
-        self.raw, self.at = zstandard.decompress(payload), 0
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, b = int(pdf["block"].iloc[0]), _Bigrams(pdf, ends, shards)
+        count, out = b.counts(), []
+        for shard, at in b.dealt:
+            first = runs(b.context[at])
+            context = b.context[at[first]]
+            child = b.number[b.child[at]]
+            step = np.diff(child, prepend=0)
+            step[first] = child[first]
+            out.append((ASKED, shard, block, _pack(
+                _narrow(np.diff(b.number[context], prepend=0)), _narrow(b.train[context]), _narrow(np.diff(np.append(first, len(at)))),
+                _narrow(step), _narrow(b.train[b.child[at]]), _narrow(count[at]),
+            )))
+        return _frame(out)
 
-    def __call__(self, kind: type, n: int) -> np.ndarray:
-        got = np.frombuffer(self.raw, kind, n, self.at)
-        self.at += got.nbytes
-        return got
+    return of
 
 
-def _gather(shared):
-    """A shard's rows to packed sums per block: documents, known tokens and three scores. Local sums pass through."""
+def _answer_bigrams(tokens: int, types: int) -> Callable:
+    """A shard's bigrams to the codes of their probabilities, for each block in the order asked."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value
-        rows, parts = [], []
-        for r in pdf.itertuples():
-            if r.nw == 0:
-                rows.append((r.block, r.nd, True, r.payload))
-                continue
-            take = _Reader(r.payload)
-            hashes, docs = take(np.uint64, r.nw), take(np.int32, r.nd)
-            count, spelled = take(np.int32, r.nw), take(np.float32, r.nw)
-            local, times = take(np.int32, r.np), take(np.int32, r.np)
-            parts.append((r.block, docs, hashes, count, spelled, local, times, take(bool, r.nd)))
-        if parts:
-            every, number = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-            seen = np.zeros(len(every), np.int64)
-            at = 0
-            for _, _, hashes, count, _, local, times, held in parts:
-                word = np.repeat(number[at : at + len(hashes)], count)
-                seen += np.bincount(word, times * ~held[local], len(every)).astype(np.int64)
-                at += len(hashes)
-            at = 0
-            for block, docs, hashes, count, spelled, local, times, _ in parts:
-                c = seen[number[at : at + len(hashes)]]
-                at += len(hashes)
-                sums = [np.bincount(local, np.repeat(x, count) * times, len(docs)) for x in model.scores(c, spelled.astype(np.float64))]
-                known = np.bincount(local, np.repeat(c > 0, count) * times, len(docs))
-                rows.append((block, len(docs), False, _pack(docs, known.astype(np.int64), *sums)))
-        return pd.DataFrame(rows, columns=["block", "nd", "is_local", "payload"])
+        parts: list[list[np.ndarray]] = []
+        for payload in pdf["payload"]:
+            context, context_count, n, step, word_count, count = _unpack(payload)
+            n = n.astype(np.int64)
+            child = np.cumsum(step.astype(np.int64))
+            first = np.cumsum(n) - n
+            child -= np.repeat(child[first] - step[first], n)
+            parts.append([np.repeat(np.cumsum(context.astype(np.int64)), n), child, count, np.repeat(context_count, n), word_count])
+        sizes = [len(x[0]) for x in parts]
+        context, child, count, context_count, word_count = (np.concatenate([x[k] for x in parts]) for k in range(5))
+        del parts
+        codes = score_bigrams(context, child, count.astype(np.int64), context_count, log_unigram(word_count, tokens, types))
+        at = np.cumsum(sizes) - sizes
+        return _frame([
+            (ANSWERED, shard, block, _pack(codes[a : a + n])) for shard, block, a, n in zip(pdf["shard"], pdf["block"], at, sizes, strict=True)
+        ])
 
     return of
 
 
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block's local sums and those from the shards to one row per text."""
-    first = pdf[pdf["is_local"]].iloc[0]
-    n, take = int(first["nd"]), _Reader(first["payload"])
-    o, _, tokens, known = (take(np.int64, n) for _ in range(4))
-    known, sums = known.copy(), [take(np.float64, n).copy() for _ in range(3)]
-    null, held = take(bool, n), take(bool, n)
-    for r in pdf[~pdf["is_local"]].sort_values("payload").itertuples():
-        take = _Reader(r.payload)
-        docs = take(np.int32, r.nd)
-        known[docs] += take(np.int64, r.nd)
-        for x in sums:
-            x[docs] += take(np.float64, r.nd)
-    return pd.DataFrame({
-        "doc_id": pd.Series(o, dtype="Int64").mask(null), "held_out": held, "n_tokens": tokens, "n_known": known,
-        "base_score": sums[0], "score": sums[1], "open_score": sums[2],
-    })
+def _finish(tokens: int, types: int, ends: int, shards: int) -> Callable:
+    """A block's words and the answers about its bigrams to one row for each text."""
+
+    def of(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        b = _Bigrams(pdf, ends, shards)
+        codes = np.zeros(len(b.context), np.uint16)
+        answer = dict(zip(answers["shard"].tolist(), answers["payload"], strict=True))
+        for shard, at in b.dealt:
+            codes[at] = _unpack(answer[shard])[0]
+        base = log_unigram(b.train, tokens, types)[b.next]
+        score = base.copy()
+        score[b.known] = decoded(codes)[b.inverse]
+        n = len(b.sizes)
+        return pd.DataFrame({
+            "doc_id": pd.Series(b.doc_id, dtype="Int64").mask(b.null), "held_out": b.held, "n_tokens": b.sizes,
+            "n_known": np.bincount(b.doc, b.train[b.next] > 0, n).astype(np.int64), "train_tokens": tokens,
+            "base_score": np.bincount(b.doc, base, n), "score": np.bincount(b.doc, score, n),
+        })
+
+    return of
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score`` for every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Null texts are empty: their only token is the end.  Equal rows have equal results.  Without
-    training texts counts are 0 and the trie is empty, so every byte is equally likely.  An empty table
-    gives an empty result; other columns are not read.
+    training texts counts are 0, and both scores are those of the base.  An empty table gives an
+    empty result; other columns are not read.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
-    d = d.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    model = train(d.select("text", "held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = d.mapInPandas(
-        _scatter(shared, math.ceil(size / SHARD_BYTES) or 1), "shard int, block long, nd int, nw int, np int, payload binary"
-    )
-    sums = packed.groupBy("shard").applyInPandas(_gather(shared), "block long, nd int, is_local boolean, payload binary")
-    out = sums.groupBy("block").applyInPandas(
-        _finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_score double"
-    )
-    return out.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "open_score"
+    size, ends = d.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    shards = math.ceil((size or 0) / SHARD_BYTES) or 1
+    blocks = stored(d.mapInPandas(_cut(shards), ROW))
+    asked = blocks.where(F.col("kind") == ASKED)
+    words = stored(asked.groupBy("shard").applyInPandas(_answer_words(shards), ROW))
+    totals = words.where(F.col("kind") == TOTALS).select("payload")
+    sums = [_unpack(bytes(r["payload"]))[0] for r in totals.toLocalIterator()]
+    tokens, types = (int(sum(x[k] for x in sums)) for k in (0, 1))
+    tokens, types = tokens + ends, types + (ends > 0)
+    known = blocks.where(F.col("kind") == TEXTS).union(words.where(F.col("kind") == ANSWERED))
+    bigrams = known.groupBy("block").applyInPandas(_ask_bigrams(ends, shards), ROW)
+    answers = bigrams.groupBy("shard").applyInPandas(_answer_bigrams(tokens, types), ROW)
+    # The same exchange of ``known`` serves both steps.
+    return known.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _finish(tokens, types, ends, shards),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -2,8 +2,12 @@
 
 import hashlib
 import math
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -11,12 +15,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silkmill.llm import stages
+from silkmill.llm import lm_model, lm_scoring, stages
 from silkmill.llm.bpe_automaton import MergeAutomaton
 from silkmill.llm.langid import Predictor, fit, held_out, identify
 from silkmill.llm.langid_model import LanguageModels
 from silkmill.llm.line_dedup import dedup_lines
-from silkmill.llm.lm_model import build_trie, gram_counts, spell
 from silkmill.llm.lm_scoring import score_texts
 from silkmill.llm.mixing import mix
 from silkmill.llm.patience import align, common_blocks
@@ -388,21 +391,73 @@ def test_scores(spark, nasty):
         c = [count[w] for w in (t or "").encode().lower().split()] + [ends]
         want[i, held(i), len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c), 4)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and r.open_score <= r.score + 1e-9 for r in got)
+    assert all(r.score < 0 for r in got)
     assert score_texts(table(spark, [])).count() == 0
 
 
-def test_scores_keep_every_n_gram(spark):
-    r = random.Random(19)
-    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=14)) for _ in range(110_000)]
-    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
-    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0)
-    rows = [(i, " ".join(words[k :: len(train)]), None, None) for k, i in enumerate(train)]
-    unknown = words[5][:-1] + words[9][1:]
-    keys, counts = gram_counts(sorted({w.encode() for w in words}))
-    assert len(keys) > 2_000_000
-    got = next(x for x in score_texts(table(spark, [*rows, (held, unknown, None, None)], clash=False)).collect() if x.doc_id == held)
-    assert abs(got.open_score - got.score - spell(build_trie(keys, counts), [unknown.encode()])[0]) < 1e-4
+def plain_scores(rows):
+    """log10 of each text by a smoothed bigram model over plain dictionaries."""
+    def marked(t):
+        return [b"^", *(t or "").encode().lower().split(), b"$"]
+
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            one.update(marked(t))
+            two.update(zip(marked(t), marked(t)[1:], strict=False))
+    n, v = sum(one.values()) - one[b"^"], len(one) - (one[b"^"] > 0)
+    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    return [
+        (len(marked(t)) - 1, sum(math.log10((two[x, y] + lm_model.MU * p(y)) / (one[x] + lm_model.MU)) for x, y in zip(marked(t), marked(t)[1:], strict=False)))
+        for _, t in rows
+    ]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_those_of_a_plain_model(spark, nasty, monkeypatch, small):
+    if small:  # many blocks and shards, frequent contexts dealt to all shards
+        for name in ("SHARD_BYTES", "BLOCK_BYTES"):
+            monkeypatch.setattr(lm_scoring, name, 5000)
+        monkeypatch.setattr(lm_scoring, "SPLIT_FROM", 20)
+    rows = [(i, t) for i, t, *_ in nasty] + [(10_000 + k, "the cat sat on the mat " * (k % 3 + 1)) for k in range(40)]
+    got = score_texts(table(spark, [(i, t, None, None) for i, t in rows], clash=False)).collect()
+    ours = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    plain = sorted((str(i), n, x) for (i, _), (n, x) in zip(rows, plain_scores(rows), strict=True))
+    assert len(ours) == len(plain)
+    for a, b in zip(ours, plain, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= a[1] * 0.5 / lm_model.STEPS + 1e-6
+
+
+def test_scores_of_held_out_texts_beat_the_base(spark):
+    out = score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.95 * out[1]
+
+
+def test_order_of_words_counts(spark):
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(words), None, None) for k in range(1, 30)] + [(100, " ".join(reversed(words)), None, None)]
+    got = {r.doc_id: r for r in score_texts(table(spark, rows, clash=False)).collect()}
+    assert got[1].score > got[100].score and got[1].base_score == pytest.approx(got[100].base_score)
+
+
+REMOTE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from silkmill.session import session
+spark = session("remote", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+from silkmill.llm import queries
+for name in ("op1_langid", "op5_lm_scoring", "op8_bpe"):
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() == 200, name
+print("all ran")
+"""
+
+
+def test_executors_need_no_installed_package(tmp_path):
+    """The package is on the driver's path alone; workers start without it."""
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", REMOTE, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in got.stdout, got.stderr[-2000:]
 
 
 def test_pipeline(spark, nasty):
@@ -418,8 +473,6 @@ def test_pipeline(spark, nasty):
 
 def test_subpackage_is_apart():
     """Nothing else in the library imports it."""
-    import pathlib
-
     root = pathlib.Path(__file__).resolve().parents[2] / "silkmill"
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from silkmill.llm import anchors as anchor_module
 from silkmill.llm.bit_sliced import SlicedBlock, top_k
 from silkmill.llm.common import components
-from silkmill.llm.elias_fano import EliasFano, Trie
-from silkmill.llm.lm_model import ORDER, build_trie, gram_counts, spell
+from silkmill.llm.elias_fano import EliasFano
+from silkmill.llm.lm_model import build_trie, decoded, log_unigram, score_bigrams
 from silkmill.llm.simhash import drop_near_duplicates, key_masks, links, near_duplicates
 from silkmill.llm.simhash_fp import fingerprint
 from silkmill.llm.suffix_array import common_prefixes, repeats, suffix_array
@@ -215,61 +215,39 @@ def test_remove_repeats_of_equal_rows(spark, nasty):
 
 def test_elias_fano():
     r = np.random.default_rng(10)
-    for n, top in ((0, 1), (1, 5), (300, 40), (300, 10**9), (2000, 2000)):
+    for n, top in ((0, 1), (1, 5), (300, 40), (300, 10**9), (2000, 2000), (5000, 1 << 60)):
         values = np.sort(r.integers(0, top, n))
         ef = EliasFano.build(values)
-        assert list(ef.get(np.arange(n))) == list(values)
-        asked = np.unique(np.concatenate([values, values + 1, [0, top + 5]]))
-        found = ef.find(asked)
-        for v, at in zip(asked, found, strict=True):
-            assert (values[at] == v) if at >= 0 else (v not in values)
-
-
-def test_trie_is_a_distribution():
-    words = sorted({bytes(w) for w in np.random.default_rng(11).choice(list(b"abcd"), (300, 6))} | {b"ab", "é".encode(), b"a"})
-    trie = Trie.mapped(build_trie(*gram_counts(words)).to_bytes())
-    # One-byte continuations of a context add up to one, but for the bytes' share of the unseen and the quantiser.
-    context = b"abc"
-    total = 0.0
-    for c in range(256):
-        if c in (0x0A, 0x20):
-            continue
-        total += 10 ** (spell_prefix(trie, context + bytes([c])) - spell_prefix(trie, context))
-    total += 10 ** (spell(trie, [context])[0] - spell_prefix(trie, context))
-    assert 0.97 < total < 1.03
-    assert spell(trie, [b"ab"])[0] > spell(trie, [b"zq"])[0]
-
-
-def spell_prefix(trie, prefix):
-    """log10 of the bytes of a prefix without the end: a word's score less its end's."""
-    return sum(_step(trie, b" " + prefix[: k + 1]) for k in range(len(prefix)))
-
-
-def _step(trie, marked):
-    """The last byte given those before, by walking the trie from the longest context."""
-    back = 0.0
-    for n in range(min(ORDER, len(marked)), 0, -1):
-        node, ok = 0, True
-        for level, c in enumerate(marked[-n:]):
-            before = node
-            node = int(trie.child(level, np.array([node]), np.array([c]))[0])
-            if node < 0:
-                ok = level == n - 1
-                break
-        if node >= 0:
-            x = trie.levels[n - 1]
-            return back + float(x["prob_book"][x["prob"][node]])
-        if ok and n > 1:
-            x = trie.levels[n - 2]
-            back += float(x["back_book"][x["back"][before]])
-    return back + trie.base_log
-
-
-def test_spell_agrees_with_a_walk():
-    words = [b"hello", b"help", b"held", b"yellow", b"low", b"lower"]
-    trie = build_trie(*gram_counts(words))
-    for w in (b"hello", b"helper", b"xyz", b"lowlow"):
-        assert abs(spell(trie, [w])[0] - sum(_step(trie, (b" " + w + b"\n")[: k + 1]) for k in range(1, len(w) + 2))) < 1e-9
+        for begin, end in [(0, n), (n // 2, n), (n // 3, n // 2), (n, n), *[(k, k + 1) for k in range(0, n, 97)]]:
+            assert list(ef.slice(begin, end)) == list(values[begin:end])
+
+
+def test_trie_finds_what_it_holds():
+    r = np.random.default_rng(11)
+    for n, contexts, width in ((0, 5, 5), (1, 3, 3), (4000, 50, 3000), (3000, 100_000, 10), (2000, 10**9, 10**9)):
+        pairs = np.unique(np.stack([r.integers(0, contexts, n), r.integers(0, width, n)], 1), axis=0)
+        held = pairs[r.random(len(pairs)) < 0.6]
+        codes = r.integers(0, 65536, len(held)).astype(np.uint16)
+        trie = build_trie(held[:, 0], held[:, 1], codes)
+        where = {tuple(x): k for k, x in enumerate(held.tolist())}
+        near = np.unique(np.concatenate([pairs, pairs + [0, 1], pairs + [1, 0]]), axis=0)
+        assert trie.find(near[:, 0], near[:, 1]).tolist() == [where.get(tuple(x), -1) for x in near.tolist()]
+        assert trie.codes.tolist() == codes.tolist()
+
+
+def test_bigrams_are_a_distribution():
+    r = random.Random(12)
+    vocabulary = 30
+    text = [r.randrange(1, vocabulary) for _ in range(2000)]
+    unigrams, bigrams = Counter(text), Counter(zip(text, text[1:], strict=False))
+    log1 = {w: log_unigram(np.array([unigrams[w]]), len(text), len(unigrams))[0] for w in range(vocabulary)}  # 0: all unknown words
+    for v in (1, 7):
+        of = {w: bigrams[v, w] for w in range(vocabulary)}
+        n = vocabulary
+        codes = score_bigrams(
+            np.full(n, v), np.arange(n), np.array([of[w] for w in range(n)]), np.full(n, sum(of.values())), np.array([log1[w] for w in range(n)])
+        )
+        assert abs((10 ** decoded(codes)).sum() - 1) < 1e-3
 
 
 def test_crc_is_the_same_everywhere(spark):
