@@ -3,10 +3,11 @@
 Packing: the documents of a source are dealt to chunks by a hash, lie end to end in each
 chunk, and every chunk is cut into blocks of ``BLOCK_WORDS`` words (its last one shorter).
 Blocks of a source are numbered through its chunks.  Drawing: source s gets as many slots
-of the mix as its target asks for.  The slots of all sources are dealt to output shards by
-one pseudorandom permutation, so each shard's source counts are a multinomial draw, taken
-without replacement: the totals stay the quotas.  The r-th slot of a source takes block
-``perm_s(r mod n_s)`` in round ``r div n_s``; slots and blocks meet in a join by index.
+of the mix as its target asks for, the last one for a part of its block.  A keyed pseudorandom
+permutation (a Feistel network) deals the slots of all sources to output shards, so a shard's source
+counts are a multinomial draw under the condition that the totals are the quotas: a multivariate
+hypergeometric one.  The r-th slot of a source takes block ``perm_s(r mod n_s)`` in round
+``r div n_s``; slots and blocks meet in a join by index.
 
 A hot source is spread over its chunks and blocks; the only tables that one task may order
 are the sources and, per source, the chunk totals (one row for ``CHUNK_DOCS`` documents).
@@ -30,8 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Ranges of slots that the quotas are cut into to find a slot's source by an equi-join.
 RANGES = 1024
-# Primes above any row count here, for index permutations.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
+#: Rounds of the Feistel network.
+FEISTEL_ROUNDS = 6
 
 
 def words_in(text: Column) -> Column:
@@ -40,17 +41,25 @@ def words_in(text: Column) -> Column:
 
 
 def permuted(index: Column, n: Column, seed: Column) -> Column:
-    """A bijection of 0..n-1: two affine steps with prime factors, chosen by the seed."""
-    out = index
-    for step in range(2):
-        prime = F.element_at(
-            F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(seed, F.lit(step)), F.lit(len(PRIMES))) + 1).cast("int")
-        )
-        shift = F.pmod(F.xxhash64(seed, F.lit(step + 10)), F.lit(1 << 30))
-        out = F.pmod(F.pmod(out, n) * F.pmod(prime, n) + shift, n)
-        # An exact factor of n would not be a bijection; then the step is only a shift.
-        out = F.when(F.pmod(n, prime) == 0, F.pmod(index + shift, n)).otherwise(out)
-    return out
+    """A pseudorandom bijection of 0..n-1, keyed by the seed, for n up to 2^62.
+
+    The network permutes the pairs of digits to the base a = floor(sqrt(n)) + 1; a number of n or more,
+    of which there are at most 2a, is permuted again.  Up to n = 1000 64 times are always enough; beyond,
+    a number is still outside after 16 times with a probability under 10^-19, and that is an error.
+    """
+    side = F.floor(F.sqrt(n.cast("double"))) + 1
+
+    def step(v: Column, k: Column) -> Column:
+        right = F.pmod(v, side)
+        left = F.call_function("div", v, side)
+        return right * side + F.pmod(left + F.pmod(F.xxhash64(seed, k, right), side), side)
+
+    def network(x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FEISTEL_ROUNDS)), x.cast("long"), step)
+
+    times = F.when(n <= 1000, F.lit(64)).otherwise(F.lit(16))
+    out = F.aggregate(F.sequence(F.lit(1), times), network(index), lambda v, _: F.when(v >= n, network(v)).otherwise(v))
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a number stayed outside of the permutation")).cast("long"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -76,12 +85,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return out.withColumn("target", target).select("source", "source_no", "source_size", "target")
 
 
-def _placed(docs: DataFrame, chunks: int) -> DataFrame:
-    """Adds the chunk, the row's number and its first word's place in the chunk; needs ``source_no``, ``size``."""
-    spot = F.xxhash64(F.lit("mix"), "doc_id", "size")
-    in_chunk = W.partitionBy("source_no", "chunk").orderBy(spot, "doc_id", "size")
+def _placed(docs: DataFrame) -> DataFrame:
+    """Adds the chunk, the row's number and its first word's place in the chunk; needs ``source_no``, ``chunks``, ``size``, ``h``."""
+    spot = F.xxhash64(F.lit("mix"), "doc_id", "size", "h")
+    in_chunk = W.partitionBy("source_no", "chunk").orderBy(spot, "doc_id", "size", "h")
     return (
-        docs.withColumn("chunk", F.pmod(spot, F.lit(chunks)))
+        docs.withColumn("chunk", F.pmod(spot, "chunks"))
         .withColumn("row_no", F.row_number().over(in_chunk))
         .withColumn("begin", F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     )
@@ -94,17 +103,14 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source"):
-        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
         self.whole = docs
         self.names = (doc_id, text, source)
-        self.docs = materialise(self.docs)
-        sums = self.docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-        sums = materialise(sums)
-        rows = sums.agg(F.sum("n")).first()[0] or 0
-        self.chunks = max(1, math.ceil(rows / CHUNK_DOCS))
+        self.docs = materialise(docs.select(*self._numbers()))
+        sums = materialise(self.docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+        chunks = sums.select(F.col("source").alias("s"), F.ceil(F.col("n") / CHUNK_DOCS).alias("chunks"))
         goals = targets(sums.select("source", "source_size"))
-        self.goals = materialise(goals)
-        self.placed = _placed(self._numbered(self.docs), self.chunks)
+        self.goals = materialise(goals.join(chunks, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+        self.placed = _placed(self._numbered(self.docs))
         per_chunk = self.placed.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
         per_chunk = per_chunk.withColumn("n", F.ceil(F.col("words") / BLOCK_WORDS))
         ahead = W.partitionBy("source_no").orderBy("chunk")
@@ -113,23 +119,31 @@ class Mix:
         )
         blocks = self.per_chunk.groupBy("source_no").agg(F.sum("n").alias("blocks"))
         made = self.goals.join(blocks, "source_no")
-        wanted = F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
-        made = made.withColumn("slots", F.least(wanted, F.col("blocks") * MAX_REPEATS))
+        wanted = F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))
+        part = F.round((wanted - F.floor(wanted)) * BLOCK_WORDS).cast("int")
+        full = F.floor(wanted) + F.when(part == BLOCK_WORDS, 1).otherwise(0)
+        made = made.withColumn("full", F.least(full, F.col("blocks") * MAX_REPEATS))
+        made = made.withColumn("part", F.when((part < BLOCK_WORDS) & (F.col("full") < F.col("blocks") * MAX_REPEATS), part).otherwise(0))
+        made = made.withColumn("slots", F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0))
         ahead = W.partitionBy(F.lit(0)).orderBy("source_no")
         self.sources = materialise(made.withColumn("until", F.sum("slots").over(ahead)))
         self.n_slots = self.sources.agg(F.sum("slots")).first()[0] or 0
 
+    def _numbers(self) -> list[Column]:
+        doc_id, text, source = (F.col(c) for c in self.names)
+        return [doc_id.alias("doc_id"), source.alias("source"), words_in(text).alias("size"), F.xxhash64(text).alias("h")]
+
     def _numbered(self, docs: DataFrame) -> DataFrame:
-        numbers = self.goals.select(F.col("source").alias("s"), "source_no")
+        numbers = self.goals.select(F.col("source").alias("s"), "source_no", "chunks")
         return docs.join(numbers, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     def slots(self) -> DataFrame:
-        """The mix as ``shard, slot, source_no, round, block``: one row per slot."""
+        """The mix as ``shard, slot, source_no, round, block, words``: one row per slot, which takes the block's first words."""
         n = self.n_slots
         width = max(1, math.ceil(n / RANGES))
         first = F.col("until") - F.col("slots")
         ranges = self.sources.where("slots > 0").select(
-            "source_no", "blocks", "until", first.alias("first"),
+            "source_no", "blocks", "until", "full", "part", first.alias("first"),
             F.explode(F.sequence(F.floor(first / width), F.floor((F.col("until") - 1) / width))).alias("range"),
         )
         at = self.goals.sparkSession.range(n).withColumn("range", F.floor(F.col("id") / width))
@@ -140,6 +154,7 @@ class Mix:
             F.floor(place / SHARD_SLOTS).alias("shard"), F.pmod(place, F.lit(SHARD_SLOTS)).alias("slot"), "source_no",
             F.floor(r / F.col("blocks")).alias("round"),
             permuted(F.pmod(r, F.col("blocks")), F.col("blocks"), F.col("source_no")).alias("block"),
+            F.when(r < F.col("full"), F.lit(BLOCK_WORDS)).otherwise(F.col("part")).alias("words"),
         )
 
     def shard_counts(self) -> DataFrame:
@@ -147,20 +162,22 @@ class Mix:
         return self.slots().groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
 
     def pieces(self) -> DataFrame:
-        """``source_no, block, chunk, row_no, from_word, n_words``: what each block holds."""
+        """``source_no, block, in_block, chunk, row_no, from_word, n_words``: what each block holds, and from which of its words on."""
         at = self.placed.where("size > 0").join(self.per_chunk.select("source_no", "chunk", "first_block"), ["source_no", "chunk"])
         last = F.floor((F.col("begin") + F.col("size") - 1) / BLOCK_WORDS)
         at = at.withColumn("b", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK_WORDS), last)))
         low = F.greatest("begin", F.col("b") * BLOCK_WORDS)
         high = F.least(F.col("begin") + F.col("size"), (F.col("b") + 1) * BLOCK_WORDS)
         return at.select(
-            "source_no", (F.col("first_block") + F.col("b")).alias("block"), "chunk", "row_no",
+            "source_no", (F.col("first_block") + F.col("b")).alias("block"), (low - F.col("b") * BLOCK_WORDS).alias("in_block"), "chunk", "row_no",
             (low - F.col("begin")).alias("from_word"), (high - low).alias("n_words"),
         )
 
     def drawn(self) -> DataFrame:
         """Slots joined with the pieces of their blocks, by index."""
-        return self.slots().join(self.pieces(), ["source_no", "block"])
+        met = self.slots().join(self.pieces(), ["source_no", "block"])
+        left = F.col("words") - F.col("in_block")
+        return met.where(left > 0).withColumn("n_words", F.least("n_words", left))
 
     def taken(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` for every row of the documents."""
@@ -176,12 +193,9 @@ class Mix:
         joined by one space.  ``n_chars``, if there, follows the text.  Documents without a
         word are in no block and so not in the mix.
         """
-        doc_id, text, source = self.names
+        text = self.names[1]
         columns = self.whole.columns
-        rows = self.whole.select(
-            as_doc(self.whole), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size")
-        )
-        rows = _placed(self._numbered(rows), self.chunks)
+        rows = _placed(self._numbered(self.whole.select(as_doc(self.whole), *self._numbers())))
         cuts = self.drawn().groupBy("source_no", "chunk", "row_no", "round").agg(
             F.sum("n_words").alias("n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("cuts")
         )
