@@ -12,6 +12,7 @@ SAMPLE_BYTES = 1024
 SINGLE_SHARE, HEX_LIMIT, ESCAPE_LIMIT = 0.01, 10, 5
 #: ASCII word edges and white space: the built-in classes differ between regex engines.
 EDGE_LEFT, EDGE_RIGHT, SPACE = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])", r"[\t\n\f\r ]"
+# The signs that the rules count or look for.
 SINGLE = f"{EDGE_LEFT}[A-Za-z]{EDGE_RIGHT}"
 HEX = "0x[0-9a-fA-F]+"
 ESCAPE = r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"

@@ -14,6 +14,14 @@ DEFAULTS = {
     "Accept": "*/*",
     "Accept-Encoding": "gzip, deflate, br",
 }
+# What is wrong with a header and what helps, by kind; %1 is the header's name, %2 the value's bytes, %3 the limit.
+PROBLEM_TEXTS = {
+    "empty_name": "头部验证失败 [%1]: 头部名称不能为空",
+    "bad_name": "头部验证失败 [%1]: 头部名称包含非法字符 (仅允许字母、数字和连字符) (建议: 使用字母、数字和连字符 (如 'User-Agent', 'X-Custom-Header'))",
+    "value_too_long": "头部验证失败 [%1]: 头部值过长: %2 字节 (最大 %3) (建议: 将值缩短至 %3 字节以内)",
+    "bad_value": "头部验证失败 [%1]: 头部值包含非法字符 (仅允许可打印ASCII字符) (建议: 移除控制字符和非ASCII字符)",
+    "forbidden_name": "头部验证失败 [%1]: 此头部由HTTP客户端自动管理,不允许自定义 (建议: 移除 '%1' 头部配置)",
+}
 
 
 def parsed(line: Column) -> Column:
@@ -42,6 +50,15 @@ def problem(name: Column, value: Column) -> Column:
     )
 
 
+def problem_text(name: Column, value: Column) -> Column:
+    """The message for :func:`problem`; null if nothing is wrong."""
+    texts = F.create_map(*[F.lit(x) for pair in PROBLEM_TEXTS.items() for x in pair])
+    out = F.try_element_at(texts, problem(name, value))
+    for mark, by in (("%3", F.lit(str(MAX_VALUE_BYTES))), ("%2", F.octet_length(value).cast("string")), ("%1", name)):
+        out = F.replace(out, F.lit(mark), by)
+    return out
+
+
 def overlay(*maps: Column) -> Column:
     """Maps of headers, later ones win; names are compared in canonical form."""
     def named(m: Column) -> Column:

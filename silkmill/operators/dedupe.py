@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +22,27 @@ def mode_rank(mode: Column) -> Column:
 def first_by_url(files: DataFrame, keys: tuple[str, ...] = ("target", "mode", "url"), seq: str = "seq") -> DataFrame:
     """One row for each URL of a target and mode: the first to arrive.
 
-    A minimum per key, combined before the shuffle, and a join: a URL with very many rows is
-    no single task's sort.
+    A minimum per key, combined before the shuffle, and a join with one row per key; of a URL with very many
+    rows adaptive execution splits the join's larger side.  Null keys are a key; rows without ``seq`` are never first.
     """
-    first = files.groupBy(*keys).agg(F.min(seq).alias(seq))
-    return files.join(first, [*keys, seq], "left_semi")
+    first = files.groupBy(*keys).agg(F.min(seq).alias(seq)).select(*[F.col(c).alias(f"_{c}") for c in (*keys, seq)])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    return files.join(first, same & (F.col(seq) == F.col(f"_{seq}")), "left_semi")
 
 
 def mark_duplicates(files: DataFrame, target: str = "target", mode: str = "mode", seq: str = "seq", hash_: str = "hash") -> DataFrame:
     """Adds ``is_duplicate``: all but the first file of a target with the same bytes.
 
     Static before dynamic, then by ``seq``, which must be unique in a target and mode.  The
-    first is a minimum per hash (no window, so no hot hash in one task).
+    first is a minimum per hash, combined before the shuffle, and a join, whose larger side adaptive execution
+    splits for a hot hash.  A null target is a target; a file without a hash is no duplicate.
     """
     order = mode_rank(F.col(mode)).cast("long") * F.lit(1 << 61) + F.col(seq)
     files = files.withColumn("_order", order)
-    first = files.groupBy(target, hash_).agg(F.min("_order").alias("_first"))
-    return files.join(first, [target, hash_]).withColumn("is_duplicate", F.col("_order") != F.col("_first")).drop("_order", "_first")
+    first = files.groupBy(F.col(target).alias("_target"), F.col(hash_).alias("_hash")).agg(F.min("_order").alias("_first"))
+    out = files.join(first, F.col(target).eqNullSafe(F.col("_target")) & (F.col(hash_) == F.col("_hash")), "left")
+    later = F.coalesce(F.col("_order") != F.col("_first"), F.lit(False))
+    return out.withColumn("is_duplicate", later).drop("_order", "_first", "_target", "_hash")
 
 
 def duplicate_groups(files: DataFrame, hash_: str = "hash", key: str = "url", size: str = "size") -> DataFrame:

@@ -11,35 +11,25 @@ from pyspark.sql import functions as F
 
 from silkmill.functions.urls import _resolve, is_javascript
 
-ANCHOR = r'<a[\t\n\f\r ]+href="([^"]*)"'
-SCRIPT = r'<script[\t\n\f\r ]+src="([^"]*)"'
-INLINE = r"<script>([^<]*)</script>"
 #: Shorter inline scripts are of no interest.
 INLINE_BYTES = 100
 
 
-def quoted_links(pages: DataFrame, html: str = "html", pattern: str = ANCHOR) -> DataFrame:
-    """``pos, href`` next to the page's columns: links in the plainest form, by one pattern."""
-    return pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("pos", "href"))
-
-
-def inline_scripts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pos, code`` of inline scripts over ``INLINE_BYTES``."""
-    found = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(INLINE), 1)).alias("pos", "code"))
-    return found.where(F.octet_length("code") > INLINE_BYTES)
-
-
-class _Links(HTMLParser):
-    """First href of every ``a`` and src of every ``script``, and the page's base."""
+class _Page(HTMLParser):
+    """First href of every ``a``, src of every ``script``, code of scripts without a src, and the page's base."""
 
     def __init__(self) -> None:
         super().__init__()
         self.found: list[tuple[str, str]] = []
+        self.inline: list[str] = []
         self.base: str | None = None
+        self.code: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         wanted = {"a": "href", "script": "src", "base": "href"}.get(tag)
         value = next((v for k, v in attrs if k == wanted and v is not None), None)
+        if tag == "script" and all(k != "src" for k, _ in attrs):
+            self.code = []
         if value is None:
             return
         if tag == "base":
@@ -47,6 +37,42 @@ class _Links(HTMLParser):
         else:
             self.found.append((tag, value))
 
+    def handle_data(self, data: str) -> None:
+        if self.code is not None:
+            self.code.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "script":
+            self.end_script()
+
+    def end_script(self) -> None:
+        if self.code is not None:
+            self.inline.append("".join(self.code))
+            self.code = None
+
+
+def _parsed(html: str | None) -> _Page:
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    if page.code is not None:  # a script that the page does not close
+        page.handle_data(page.rawdata)
+        page.end_script()
+    return page
+
+
+def inline_scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, pos, code`` of scripts without a ``src`` and over ``INLINE_BYTES`` of code; ``pos`` counts all of the page."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, n, x) for k, h in zip(pdf["k"], pdf["h"], strict=True) for n, x in enumerate(_parsed(h).inline)]
+            yield pd.DataFrame(rows, columns=["k", "pos", "code"])
+
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(of, f"k {kind}, pos int, code string")
+    return out.where(F.octet_length("code") > INLINE_BYTES).withColumnRenamed("k", key)
+
 
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, tag, pos, href, link``: every anchor and script of a page, resolved.
@@ -59,8 +85,7 @@ def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
         for pdf in batches:
             rows = []
             for k, u, h in zip(pdf["k"], pdf["u"], pdf["h"], strict=True):
-                parser = _Links()
-                parser.feed(h or "")
+                parser = _parsed(h)
                 base = _resolve(u, parser.base) if parser.base else u
                 ordered = sorted(enumerate(parser.found), key=lambda x: (x[1][0] != "a", x[0]))
                 rows += [(k, u, tag, n, href, _resolve(base, href)) for n, (_, (tag, href)) in enumerate(ordered)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +33,7 @@ def with_number(name: Column, number: Column) -> Column:
 def numbered_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "target", url: str = "url", seq: str = "seq") -> DataFrame:
     """Adds ``file_path``; the n-th file of a name and host gets the number n.
 
-    Exact unless a file is by nature called like another one's numbered name; see :func:`greedy_paths`.
+    No Python, but exact only if no file is by nature called like another one's numbered name; see :func:`greedy_paths`.
     """
     files = files.withColumn("_name", file_name(F.col(url))).withColumn("_host", source_host(F.col(url)))
     number = F.row_number().over(W.partitionBy(target, "_host", "_name").orderBy(seq)) - 1
@@ -45,7 +45,8 @@ def numbered_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "t
 def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "target", url: str = "url", seq: str = "seq") -> DataFrame:
     """``target, seq, file_path`` by the exact rule: the first free number, in order of arrival.
 
-    One group is a target's files of one host: the rule is sequential there.
+    The rule is sequential among names that can meet: those of a host with the same extension and the same
+    base less its trailing numbers.  Such a family is one group.  Null targets are a target.
     """
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,7 +54,7 @@ def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "tar
         free: dict[str, int] = {}
         paths = []
         for h, name in pdf.sort_values("seq")[["h", "n"]].itertuples(index=False):
-            at = name
+            name = at = "" if name == "/" else name
             dot = name.rfind(".")
             base, ext = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
             k = free.get(name, 1)
@@ -61,7 +62,7 @@ def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "tar
                 at, k = f"{base}_{k}{ext}", k + 1
             free[name] = k
             taken.add(at)
-            paths.append(f"{h}/{at}")
+            paths.append(f"{h}/{at}" if at else h)
         out = pdf.sort_values("seq")[["t", "seq"]].copy()
         out["p"] = paths
         return out
@@ -69,28 +70,48 @@ def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "tar
     rows = files.select(
         F.col(target).cast("string").alias("t"), F.col(seq).cast("long").alias("seq"), source_host(F.col(url)).alias("h"), file_name(F.col(url)).alias("n")
     )
-    out = rows.groupBy("t", "h").applyInPandas(of, "t string, seq long, p string")
+    family = F.regexp_replace("n", r"(?:_[0-9]+)+(?=(?:\.[^.]*)?\z)", "")
+    out = rows.groupBy("t", "h", family.alias("family")).applyInPandas(of, "t string, seq long, p string")
     return out.select(F.col("t").alias(target), "seq", F.concat_ws("/", F.lit(out_dir), "t", F.lit(subdir), "p").alias("file_path"))
 
 
-def decompressed(rows: DataFrame, encoding: str = "content_encoding", body: str = "body") -> DataFrame:
-    """Adds ``plain`` and ``decode_error``: gzip and raw deflate undone; other encodings and broken bodies pass through."""
+def _inflated(data: bytes, wbits: int) -> bytes:
+    """One member after the other; what follows the last one must be zeros."""
+    import zlib
+
+    out = []
+    while True:
+        member = zlib.decompressobj(wbits)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise zlib.error("cut off")
+        data = member.unused_data
+        if wbits < 0 or not data.strip(b"\0"):
+            return b"".join(out)
+
+
+def decompressed(
+    rows: DataFrame, encoding: str = "content_encoding", body: str = "body", decoders: dict[str, Callable[[bytes], bytes]] | None = None
+) -> DataFrame:
+    """Adds ``plain`` and ``decode_error``: gzip (all members) and raw deflate undone; other encodings and broken bodies pass through.
+
+    ``decoders``: functions from bytes to bytes for further encodings, such as ``{"br": brotli.decompress}``.
+    """
+    more = decoders or {}
 
     @F.pandas_udf("plain binary, decode_error string")
     def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for enc, data in parts:
             out = []
             for e, b in zip(enc, data, strict=True):
                 kind = (e or "").strip().lower() if isinstance(e, str) or e is None else ""
                 wbits = {"gzip": 31, "deflate": -15}.get(kind)
-                if b is None or wbits is None:
-                    out.append((b, None if kind in ("", "gzip", "deflate") else f"unsupported: {kind}"))
+                if b is None or (wbits is None and kind not in more):
+                    out.append((b, None if kind in ("", "gzip", "deflate", *more) else f"unsupported: {kind}"))
                     continue
                 try:
-                    out.append((zlib.decompress(b, wbits), None))
-                except zlib.error as error:
+                    out.append((_inflated(b, wbits) if wbits else more[kind](b), None))
+                except Exception as error:  # whatever a decoder raises is the row's error
                     out.append((b, f"{kind}: {error}"))
             yield pd.DataFrame(out, columns=["plain", "decode_error"])
 

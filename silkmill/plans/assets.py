@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.functions.cleanup import cleaned, decode_path, source_map_reference
 from silkmill.functions.detect import is_javascript_content, is_obfuscated
 from silkmill.functions.urls import extension, is_javascript, resolve
 from silkmill.operators.dedupe import content_hash, first_by_url, mark_duplicates
-from silkmill.operators.paths import decompressed, numbered_paths
+from silkmill.operators.paths import decompressed, greedy_paths
+from silkmill.sources.responses import captured
 
 
 def script_files(responses: DataFrame) -> DataFrame:
     """Script files of ``schemas.RESPONSES`` rows: unpacked, recognised, one per URL, duplicates marked.
 
+    A static response needs a script's URL and valid content, a dynamic one is what a browser's capture keeps.
     Order: URL rule and content type (cheap) before the body's sample, URL before content hash.
     """
-    plain = decompressed(responses.where(is_javascript(F.col("url")) | F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("javascript"))))
-    plain = plain.withColumn("target", F.col("target_url"))
-    files = plain.where((F.col("mode") == "dynamic") | is_javascript_content(F.col("content_type"), F.col("plain")))
-    files = first_by_url(files)
+    static = decompressed(responses.where((F.col("mode") == "static") & is_javascript(F.col("url"))))
+    static = static.where(is_javascript_content(F.col("content_type"), F.col("plain")))
+    dynamic = captured(responses.where(F.col("mode") == "dynamic")).withColumn("plain", F.col("body")).withColumn("decode_error", F.lit(None).cast("string"))
+    files = first_by_url(static.unionByName(dynamic).withColumn("target", F.col("target_url")))
     files = files.withColumn("hash", content_hash(F.col("plain"))).withColumn("size", F.octet_length("plain").cast("long"))
     files = mark_duplicates(files).withColumn("extension", extension(F.col("url")))
-    text = F.try_validate_utf8(F.col("plain").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("plain").cast("string")
-    files = files.withColumn("code", text)
+    files = files.withColumn("code", F.try_validate_utf8(F.col("plain").cast("string"))).withColumn("id", stable_id("target", "mode", "url"))
     return files.withColumn("is_obfuscated", F.coalesce(is_obfuscated(F.col("code")), F.lit(False)))
 
 
+def failed_files(responses: DataFrame) -> DataFrame:
+    """``target, url, error_type, error_msg, retries``: static script URLs whose content is no script, or that have no body."""
+    static = decompressed(responses.where((F.col("mode") == "static") & is_javascript(F.col("url"))))
+    bad = static.where(~F.coalesce(is_javascript_content(F.col("content_type"), F.col("plain")) & F.col("body").isNotNull(), F.lit(False)))
+    return bad.select(F.col("target_url").alias("target"), "url", *failure())
+
+
+def failure() -> list[Column]:
+    # How a report names a failed download.
+    return [F.lit("download_failed").alias("error_type"), F.lit("下载失败").alias("error_msg"), F.lit(0).alias("retries")]
+
+
+def stable_id(*columns: str) -> Column:
+    """A UUID's form made of a digest of columns: the same for the same file, so a task that is run again changes nothing."""
+    hex_ = F.md5(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    return F.regexp_replace(hex_, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def source_maps(files: DataFrame, responses: DataFrame) -> DataFrame:
     """Files that are no duplicates with the response of their source map, where one was captured."""
     asked = files.where(~F.col("is_duplicate")).withColumn("ref", source_map_reference(F.col("code"))).where("ref <> ''")
@@ -36,19 +58,85 @@ def source_maps(files: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(found.dropDuplicates(["target", "map_url"]), ["target", "map_url"], "left")
 
 
-def cleaned_files(files: DataFrame, out_dir: str = "output") -> DataFrame:
-    """Cleaned code and its path for obfuscated files that are no duplicates."""
-    named = numbered_paths(files.where(~F.col("is_duplicate")), out_dir, "encode/js")
-    return named.where("is_obfuscated").select(
-        "target", "url", "seq", "file_path", decode_path(F.col("file_path")).alias("decode_path"), cleaned(F.col("code")).alias("code")
-    )
+def cleaned_files(files: DataFrame, out_dir: str = "output", deobfuscate: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Cleaned code and its path for obfuscated files that are no duplicates.
+
+    ``deobfuscate``: an outside tool from code to code or null, for Python workers; where it gives null or fails, the
+    own cleaning takes its place.
+    """
+    own = files.where(~F.col("is_duplicate"))
+    named = own.join(greedy_paths(own, out_dir, "encode/js"), ["target", "seq"]).where("is_obfuscated")
+    code = cleaned(F.col("code"))
+    if deobfuscate:
+        code = F.coalesce(_outside(deobfuscate)(F.col("code")), code)
+    return named.select("target", "url", "seq", "file_path", decode_path(F.col("file_path")).alias("decode_path"), code.alias("code"))
+
+
+def _outside(deobfuscate: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def tried(code: str | None) -> str | None:
+            try:
+                return None if code is None else deobfuscate(code)
+            except Exception:  # whatever the tool raises, the own cleaning follows
+                return None
 
+        for batch in batches:
+            yield batch.map(tried).astype(object)
 
-def report(files: DataFrame) -> DataFrame:
-    """One row per target: counts, bytes and its files as JSON, in order of URL."""
-    info = F.struct("url", "size", "hash", F.col("mode").alias("crawl_mode"))
-    kept = F.filter(F.array_sort(F.collect_list(F.when(~F.col("is_duplicate"), info))), lambda x: x.isNotNull())
-    return files.groupBy("target").agg(
+    return of
+
+
+def source_map_files(files: DataFrame, responses: DataFrame, out_dir: str = "output") -> DataFrame:
+    """Source maps that were captured with status 200, one per target and URL: body, size, hash, path and the script's URL."""
+    asked = files.where(~F.col("is_duplicate") & (F.col("mode") == "static"))
+    asked = asked.withColumn("ref", source_map_reference(F.col("code"))).where("ref IS NOT NULL")
+    asked = asked.select("target", F.col("url").alias("js_file_url"), resolve(F.col("url"), F.col("ref")).alias("url"))
+    asked = asked.groupBy("target", "url").agg(F.min("js_file_url").alias("js_file_url"))
+    found = responses.where("status = 200").select(F.col("target_url").alias("target"), "url", "seq", "body")
+    found = first_by_url(found, ("target", "url")).join(asked, ["target", "url"])
+    found = found.withColumn("size", F.octet_length("body").cast("long")).withColumn("hash", content_hash(F.col("body")))
+    return found.join(greedy_paths(found, out_dir, "encode/map"), ["target", "seq"])
+
+
+def success_files(files: DataFrame) -> DataFrame:
+    """``target`` and a file's entry in the report, for files that are no duplicates."""
+    return files.where(~F.col("is_duplicate")).select("target", "url", "size", "hash", F.col("mode").alias("crawl_mode"))
+
+
+def report(files: DataFrame, failed: DataFrame | None = None, maps: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
+    """One row per target: counts of files, duplicates, bytes, failures, maps and visited URLs.
+
+    The entries themselves are rows of :func:`success_files` and :func:`failed_files`; no row holds all files of a target.
+    """
+    out = files.groupBy("target").agg(
         F.count(F.lit(1)).alias("files"), F.count_if("is_duplicate").alias("duplicates"), F.sum("size").alias("total_size"),
-        F.to_json(kept).alias("success_files"), F.lit("[]").alias("failed_files"),
+        F.count_if((F.col("mode") == "static") & ~F.col("is_duplicate")).alias("static_files"),
+        F.count_if((F.col("mode") == "dynamic") & ~F.col("is_duplicate")).alias("dynamic_files"),
     )
+    for name, more in (("failed_files", failed), ("map_files", maps), ("visited_urls", visited)):
+        if more is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            counts = more.groupBy(F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias(name))
+            out = out.join(counts, F.col("target").eqNullSafe(F.col("_t")), "left").drop("_t").fillna(0, [name])
+    return out
+
+
+def write_reports(files: DataFrame, failed: DataFrame, maps: DataFrame, out_dir: str) -> None:
+    """The three reports as JSON lines, a folder for each target: ``crawl_report``, ``success_files``, ``failed_files``."""
+    for name, frame in (("crawl_report", report(files, failed, maps)), ("success_files", success_files(files)), ("failed_files", failed)):
+        frame.write.mode("overwrite").partitionBy("target").json(f"{out_dir.rstrip('/')}/reports/{name}")
+
+
+def run(responses: DataFrame, out_dir: str) -> None:
+    """The dataflow with its writers: bodies, maps, cleaned code and reports under ``out_dir``."""
+    files = script_files(responses).persist()
+    try:
+        failed, maps = failed_files(responses), source_map_files(files, responses, out_dir)
+        named = files.where(~F.col("is_duplicate")).join(greedy_paths(files.where(~F.col("is_duplicate")), out_dir, "encode/js"), ["target", "seq"])
+        for name, frame in (("encode/js", named.select("target", "url", "file_path", "plain")), ("encode/map", maps), ("decode/js", cleaned_files(files, out_dir))):
+            frame.write.mode("overwrite").partitionBy("target").parquet(f"{out_dir.rstrip('/')}/{name}")
+        write_reports(files, failed, maps, out_dir)
+    finally:
+        files.unpersist()

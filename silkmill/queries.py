@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from silkmill.functions import cleanup, detect, headers, urls
 from silkmill.operators import dedupe, extract, frontier, paths, stats
 from silkmill.plans import assets
+from silkmill.session import shared_folder
 from silkmill.sources.url_list import valid_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,51 +242,111 @@ def cleanup_all(spark, sf_dir):
     return _code(spark, sf_dir).select("doc_id", F.sha2(cleanup.cleaned(F.col("code")), 256).alias("h"))
 
 
-_LINKS_SQL = r"""links AS (SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS pos
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a[\t\n\f\r ]+href="([^"]*)"', 1) AS h FROM pages))"""
-_RAW = f"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href WHEN starts_with(href, '//') THEN {_SCHEME.format('url')} || ':' || href
-  WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href END"""
+# Every page with more links at its end: other attributes first, single and no quotes, entities, relative and other hosts, scripts.
+_MORE = (
+    """<a class="b" href="/more/{0}?a=1&amp;b=2#f">x</a><A HREF='//other.example/{0}'>x</A><a href=rel{0}.html>x</a><a name="n">x</a>"""
+    """<a href="mailto:a@b.example">x</a><a href="https://other.example/{0}#g">x</a><script src="/js/s{0}.mjs"></script><script defer src='//cdn.example/x.png'></script>"""
+)
+_HREFS = ["/more/{0}?a=1&b=2#f", "//other.example/{0}", "rel{0}.html", "mailto:a@b.example", "https://other.example/{0}#g"]
+_SCRIPTS = ["/js/s{0}.mjs", "//cdn.example/x.png"]
+
+
+def _filled(parts: list[str]) -> str:
+    return "[" + ", ".join("replace('" + x + "', '{0}', CAST(page_id AS VARCHAR))" for x in parts) + "]"
+
+
+# The pages' own anchors have one attribute in double quotes; those added are known.
+_LINKS_SQL = rf"""h AS (SELECT page_id, url, list_concat(list_transform(regexp_extract_all(html, '<a [^>]*?"([^"]*?)"', 1), lambda x: replace(x, '&amp;', '&')), {_filled(_HREFS)}) AS a,
+    {_filled(_SCRIPTS)} AS s FROM pages),
+  links AS (SELECT page_id, url, 'a' AS tag, unnest(a) AS href, unnest(range(len(a))) AS pos FROM h
+    UNION ALL SELECT page_id, url, 'script', unnest(s), unnest(range(len(s))) + len(a) FROM h)"""
+
+
+def _quoted(x: str) -> str:
+    """Percent-encodes what a link may not hold."""
+    out = f"url_encode({x})"
+    for c in "%!#$&'()*+,/:;=?@[]|{}^`\\\"<>":
+        out = f"replace({out}, '%{ord(c):02X}', '{c.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+_ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)"
+_FOLDER = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
+_FULL = _quoted(rf"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN href WHEN starts_with(href, '//') THEN {_SCHEME.format('url')} || ':' || href
+  WHEN starts_with(href, '/') THEN {_ORIGIN} || href ELSE {_FOLDER} || href END""")
+_RESOLVED_SQL = f"{_LINKS_SQL}, r AS (SELECT *, {_FULL} AS link FROM links)"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.replace(F.lit(_MORE), F.lit("{0}"), F.col("page_id").cast("string"))
+    return _t(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", more).alias("html"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.quoted_links(_t(spark, sf_dir, "pages")).drop("html")
+    return extract.links(_pages(spark, sf_dir))
 
 
-@query(f"WITH {_LINKS_SQL} SELECT page_id, pos, href FROM links")
+@query(f"WITH {_LINKS_SQL} SELECT page_id, tag, CAST(pos AS INT) AS pos, href FROM links")
 def link_extract(spark, sf_dir):
-    return _links(spark, sf_dir).select("page_id", "pos", "href")
+    return _links(spark, sf_dir).select("page_id", "tag", "pos", "href")
+
 
+@query(f"WITH {_RESOLVED_SQL} SELECT page_id, CAST(pos AS INT) AS pos, link FROM r")
+def link_resolve(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "pos", "link")
 
-@query(f"WITH {_LINKS_SQL} SELECT page_id, pos, {_RAW} AS link FROM links")
+
+@query(f"""WITH {_LINKS_SQL} SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+  WHEN starts_with(href, '//') THEN {_SCHEME.format('url')} || ':' || href WHEN starts_with(href, '/') THEN {_ORIGIN} || href END AS link FROM links""")
 def link_resolve_raw(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "pos", urls.resolved_raw(F.col("url"), F.col("href")).alias("link"))
 
 
-@query()
+_IS_JS = "(" + " OR ".join(f"lower(link) LIKE '%.{x}' OR contains(lower(link), '.{x}?')" for x in ("js", "mjs", "jsx")) + ")"
+
+
+@query(f"""WITH {_RESOLVED_SQL}, f AS (SELECT page_id, pos, regexp_replace(link, '#.*$', '') AS link FROM r)
+  SELECT page_id, link, CAST(min(pos) AS INT) AS pos, {_IS_JS} AS is_script FROM f WHERE starts_with(link, 'http://') OR starts_with(link, 'https://') GROUP BY page_id, link""")
 def page_links(spark, sf_dir):
-    return extract.page_links(_t(spark, sf_dir, "pages"))
+    return extract.page_links(_pages(spark, sf_dir))
+
+
+@query(f"WITH {_RESOLVED_SQL} SELECT page_id, link FROM r WHERE tag = 'script' AND {_IS_JS}")
+def script_links(spark, sf_dir):
+    return _links(spark, sf_dir).where("tag = 'script'").where(urls.is_javascript(F.col("link"))).select("page_id", "link")
+
 
+# What is added to every page: a script with a type, one with a src, one with signs of HTML inside.
+_INLINE = '<script type="module">{0}</script><SCRIPT src="a.js">{0}{0}</SCRIPT><script>if (1<2 && 3>2) {} {0}</script>'
 
-@query(r"""SELECT page_id, pos, strlen(code) AS size FROM (SELECT page_id, unnest(c) AS code, unnest(range(len(c))) AS pos
-  FROM (SELECT page_id, regexp_extract_all(html || '<script>' || repeat('var x;', CAST(page_id % 40 AS INT)) || '</script>', '<script>([^<]*)</script>', 1) AS c FROM pages)) WHERE strlen(code) > 100""")
+
+@query(r"""WITH c AS (SELECT page_id, html, repeat('var x;', CAST(page_id % 40 AS INT)) AS c FROM pages),
+  s AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '<script>.*?</script>'), lambda x: x[9:-10]), [c, 'if (1<2 && 3>2) {} ' || c]) AS s FROM c)
+  SELECT page_id, pos, strlen(code) AS size FROM (SELECT page_id, unnest(s) AS code, unnest(range(len(s)))::INT AS pos FROM s) WHERE strlen(code) > 100""")
 def inline_script(spark, sf_dir):
-    more = F.concat("html", F.lit("<script>"), F.repeat(F.lit("var x;"), (F.col("page_id") % 40).cast("int")), F.lit("</script>"))
-    found = extract.inline_scripts(_t(spark, sf_dir, "pages").select("page_id", more.alias("html")))
-    return found.select("page_id", "pos", F.octet_length("code").cast("long").alias("size"))
+    code = F.repeat(F.lit("var x;"), (F.col("page_id") % 40).cast("int"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.concat("html", F.replace(F.lit(_INLINE), F.lit("{0}"), code)).alias("html"))
+    return extract.inline_scripts(pages).select("page_id", "pos", F.octet_length("code").cast("long").alias("size"))
 
 
-@query(f"""WITH {_LINKS_SQL}, r AS (SELECT page_id, pos, url, {_RAW} AS link FROM links),
-  seen AS (SELECT DISTINCT link FROM r WHERE page_id % 7 = 0)
-  SELECT page_id, pos, CASE WHEN {_SCHEME.format('link')} NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN link IN (SELECT link FROM seen WHERE link IS NOT NULL) THEN 'visited'
-  WHEN page_id % 4 + 1 > 3 THEN 'too_deep' WHEN {_HOST.format('link')} <> {_HOST.format('url')} THEN 'cross_domain' END AS reason FROM r WHERE link IS NOT NULL""")
+@query(f"""WITH {_RESOLVED_SQL}, seen AS (SELECT DISTINCT link FROM r WHERE page_id % 7 = 0)
+  SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN {_SCHEME.format('link')} NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN link IN (SELECT link FROM seen) THEN 'visited'
+  WHEN page_id % 4 + 1 > 3 THEN 'too_deep' WHEN {_HOST.format('link')} <> {_HOST.format('url')} THEN 'cross_domain' END AS reason FROM r""")
 def should_follow_reason(spark, sf_dir):
-    r = _links(spark, sf_dir).withColumn("link", urls.resolved_raw(F.col("url"), F.col("href"))).where("link IS NOT NULL")
+    r = _links(spark, sf_dir)
     seen = r.where("page_id % 7 = 0").select("link").distinct().withColumn("seen", F.lit(True))
     r = r.join(seen, "link", "left")
     reason = frontier.follow_reason(F.col("link"), F.col("page_id") % 4, F.col("seen").isNotNull(), 3, urls.host(F.col("url")))
     return r.select("page_id", "pos", reason.alias("reason"))
 
 
+@query(f"""WITH {_RESOLVED_SQL} SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN {_SCHEME.format('link')} NOT IN ('http', 'https') THEN 'unsupported_scheme'
+  WHEN {_HOST.format('link')} <> {_HOST.format('url')} THEN 'cross_domain' WHEN {_HOST.format('link')} <> 'm.ththth.example.net' THEN 'cross_domain_of_target' END AS reason FROM r""")
+def two_host_rule(spark, sf_dir):
+    reason = frontier.follow_on_page(F.col("link"), F.col("url"), F.lit(0), F.lit(False), 3, F.lit("m.ththth.example.net"))
+    return _links(spark, sf_dir).select("page_id", "pos", reason.alias("reason"))
+
+
 @query(r"""SELECT page_id, CASE WHEN page_id % 3 > 0 THEN trim(regexp_extract('x();//# sourceMappingURL=' || CASE page_id % 3 WHEN 1 THEN 'app' || page_id || '.js.map' ELSE '' END
   || chr(10) || 'y', 'sourceMappingURL=([^\n\r ]*)', 1)) END AS ref FROM pages""")
 def sourcemap_ref(spark, sf_dir):
@@ -322,14 +382,24 @@ def bag_visits(spark, sf_dir):
     return frontier.visits(_edges(spark, sf_dir), seeds, 2).select("node", "visits", "depth")
 
 
-@query(f"""WITH {_LINKS_SQL}, r AS (SELECT page_id, pos, CAST(page_id % 4 AS INT) AS depth, {_RAW} AS link FROM links)
-  SELECT page_id, pos, link FROM r WHERE {_SCHEME.format('link')} IN ('http', 'https') AND depth <= 2 AND link NOT IN (SELECT link FROM r WHERE page_id % 7 = 0 AND link IS NOT NULL)""")
+@query(f"""WITH {_RESOLVED_SQL} SELECT page_id, CAST(pos AS INT) AS pos, link FROM r
+  WHERE {_SCHEME.format('link')} IN ('http', 'https') AND page_id % 4 <= 2 AND link NOT IN (SELECT link FROM r WHERE page_id % 7 = 0)""")
 def frontier_push(spark, sf_dir):
-    r = _links(spark, sf_dir).select("page_id", "pos", (F.col("page_id") % 4).alias("depth"), urls.resolved_raw(F.col("url"), F.col("href")).alias("link"))
-    seen = r.where("page_id % 7 = 0 AND link IS NOT NULL").select("link")
+    r = _links(spark, sf_dir).select("page_id", "pos", (F.col("page_id") % 4).alias("depth"), "link")
+    seen = r.where("page_id % 7 = 0").select("link")
     return frontier.push(r, seen, 2, F.lit(""), cross_domain=True, url="link").select("page_id", "pos", "link")
 
 
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, r(node, depth) AS (SELECT 's1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 2),
+  p AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+  SELECT '/js/' || l_returnflag || l_quantity::INT || '.js' AS node, min(depth) + 1 AS depth FROM lineitem JOIN p ON p.node = 'p' || l_partkey GROUP BY 1""")
+def js_depth_exempt(spark, sf_dir):
+    pages = frontier.expand(_edges(spark, sf_dir), spark.createDataFrame([("s1",)], "node string"), 2)
+    name = F.concat(F.lit("/js/"), "l_returnflag", F.col("l_quantity").cast("int").cast("string"), F.lit(".js"))
+    scripts = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), name.alias("dst")).distinct()
+    return frontier.reached_scripts(pages, scripts)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def visited_antijoin(spark, sf_dir):
     seen = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
@@ -443,24 +513,44 @@ def header_merge(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", F.explode(merged).alias("name", "value"))
 
 
-@query()
+@query("SELECT c_custkey, 'Accept: */*, X-Api-Key: ' || left(c_name, 4) || '***' || right(c_name, 4) AS text FROM customer")
 def header_text(spark, sf_dir):
     m = F.create_map(F.lit("X-Api-Key"), F.col("c_name"), F.lit("Accept"), F.lit("*/*"))
     return _t(spark, sf_dir, "customer").select("c_custkey", headers.redacted_text(m).alias("text"))
 
 
+# The messages, as in silkmill.functions.headers.
+@query(f"""WITH {_HEADERS_SQL} SELECT c_custkey, v, CASE WHEN lower(name) = 'host' THEN '头部验证失败 [' || name || ']: 此头部由HTTP客户端自动管理,不允许自定义 (建议: 移除 ''' || name || ''' 头部配置)'
+  WHEN v = 5 THEN '头部验证失败 [x_seg]: 头部名称包含非法字符 (仅允许字母、数字和连字符) (建议: 使用字母、数字和连字符 (如 ''User-Agent'', ''X-Custom-Header''))' END AS message FROM q WHERE error IS NULL""")
+def header_error_text(spark, sf_dir):
+    h = _headers(spark, sf_dir).where("error IS NULL")
+    return h.select("c_custkey", "v", headers.problem_text(F.col("name"), F.col("value")).alias("message"))
+
+
 _PATHS_SQL = """f AS (SELECT event_type AS target, event_id AS seq, 'https://h' || (user_id % 5) || '.example.com' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '/js/m' || (user_id % 20) || '.js?v=' || event_id END AS url FROM events),
   n AS (SELECT *, regexp_extract(url, '^https://([^/?#]*)', 1) AS host, CASE event_id_mod WHEN 0 THEN 'index.js' WHEN 1 THEN '/' ELSE regexp_extract(url, '([^/?]*)\\?', 1) END AS name FROM (SELECT *, seq % 4 AS event_id_mod FROM f)),
   k AS (SELECT *, row_number() OVER (PARTITION BY target, host, name ORDER BY seq) - 1 AS i FROM n)"""
 
 
-@query(f"""WITH {_PATHS_SQL} SELECT target, seq, 'out/' || target || '/encode/js/' || host || CASE name WHEN '/' THEN '' ELSE '/' || CASE WHEN i = 0 THEN name ELSE replace(name, '.js', '') || '_' || i || '.js' END END AS file_path FROM k""")
-def file_path_numbered(spark, sf_dir):
+_PATHS_SELECT = f"""WITH {_PATHS_SQL} SELECT target, seq, 'out/' || target || '/encode/js/' || host ||
+  CASE name WHEN '/' THEN {{root}} ELSE '/' || CASE WHEN i = 0 THEN name ELSE replace(name, '.js', '') || '_' || i || '.js' END END AS file_path FROM k"""
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
     tail = F.when(i % 4 == 0, "").when(i % 4 == 1, "/").otherwise(F.concat(F.lit("/js/m"), (u % 20).cast("string"), F.lit(".js?v="), i.cast("string")))
     url = F.concat(F.lit("https://h"), (u % 5).cast("string"), F.lit(".example.com"), tail)
-    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("target"), i.alias("seq"), url.alias("url"))
-    return paths.numbered_paths(e, "out", "encode/js").select("target", "seq", "file_path")
+    return _t(spark, sf_dir, "events").select(F.col("event_type").alias("target"), i.alias("seq"), url.alias("url"))
+
+
+@query(_PATHS_SELECT.format(root="''"))
+def file_path_numbered(spark, sf_dir):
+    return paths.numbered_paths(_urls(spark, sf_dir), "out", "encode/js").select("target", "seq", "file_path")
+
+
+@query(_PATHS_SELECT.format(root="CASE WHEN i = 0 THEN '' ELSE '/_' || i END"))
+def file_path_greedy(spark, sf_dir):
+    return paths.greedy_paths(_urls(spark, sf_dir), "out", "encode/js")
 
 
 @query("""SELECT doc_id, 'out/' || source || '/decode/js/h/encode/js/' || doc_id || '.js' AS path FROM documents""")
@@ -475,15 +565,57 @@ def success_files(spark, sf_dir):
     return f.select("seq", "url", "hash", "size", F.col("mode").alias("crawl_mode"))
 
 
-@query("""SELECT event_id, 'download_failed' AS error_type, 'u' || user_id AS url, 0 AS retries FROM events WHERE event_type = 'error'""")
+# Responses made of pages: scripts, each third one with a page's content; their maps, with and without success.
+_RESPONSES_SQL = "resp AS (SELECT page_id, 'https://a.example/' || (page_id % 90) || '.js' AS url, page_id % 3 = 0 AS bad, page_id % 5 AS t FROM pages)"
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    target, n = F.concat(F.lit("t"), (i % 5).cast("string")), (i % 90).cast("string")
+    code = F.concat(F.lit("var a; function f() {} // "), i.cast("string"), F.lit("\n//# sourceMappingURL=m/"), (i % 30).cast("string"), F.lit(".js.map\n"))
+    body = F.when(i % 3 == 0, F.lit("<p>nothing here</p>")).otherwise(code)
+    p = _t(spark, sf_dir, "pages")
+    js = p.select(target.alias("target_url"), F.concat(F.lit("https://a.example/"), n, F.lit(".js")).alias("url"), i.alias("seq"), F.lit(200).alias("status"), body.cast("binary").alias("body"))
+    maps = p.select(
+        target, F.concat(F.lit("https://a.example/m/"), (i % 30).cast("string"), F.lit(".js.map")), i + 1_000_000_000,
+        F.when(i % 2 == 0, 200).otherwise(404), F.concat(F.lit("map "), i.cast("string")).cast("binary"),
+    )
+    more = [F.lit(0).alias("depth"), F.lit("static").alias("mode"), F.lit("text/plain").alias("content_type"), F.lit(None).cast("string").alias("content_encoding")]
+    return js.union(maps).select("*", *more)
+
+
+@query(f"""WITH {_RESPONSES_SQL} SELECT 't' || t AS target, url, 'download_failed' AS error_type, '下载失败' AS error_msg, 0 AS retries FROM resp WHERE bad""")
 def failed_files(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_type = 'error'")
-    return e.select("event_id", F.lit("download_failed").alias("error_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.lit(0).alias("retries"))
+    return assets.failed_files(_responses(spark, sf_dir))
+
+
+@query(f"""WITH {_RESPONSES_SQL}, js AS (SELECT DISTINCT ON (t, url) t, url, page_id % 30 AS m FROM resp WHERE NOT bad ORDER BY t, url, page_id),
+  asked AS (SELECT t, 'https://a.example/m/' || m || '.js.map' AS url, min(url) AS js_file_url FROM js GROUP BY ALL),
+  got AS (SELECT DISTINCT ON (t, url) page_id % 5 AS t, 'https://a.example/m/' || (page_id % 30) || '.js.map' AS url, 'map ' || page_id AS body FROM pages WHERE page_id % 2 = 0 ORDER BY t, url, page_id)
+  SELECT 't' || t AS target, url, js_file_url, strlen(body) AS size, sha256(body) AS hash, 'output/t' || t || '/encode/map/a.example/' || regexp_extract(url, '[^/]*$') AS file_path FROM asked JOIN got USING (t, url)""")
+def source_map_files(spark, sf_dir):
+    r = _responses(spark, sf_dir)
+    return assets.source_map_files(assets.script_files(r), r).select("target", "url", "js_file_url", "size", "hash", "file_path")
 
 
-@query()
+@query(f"""WITH {_FILES_SQL} SELECT seq, to_json({{'url': url, 'size': size, 'hash': hash, 'crawl_mode': mode}})::VARCHAR AS entry FROM marked WHERE NOT is_duplicate""")
 def report_json(spark, sf_dir):
-    return assets.report(dedupe.mark_duplicates(_files(spark, sf_dir)))
+    f = dedupe.mark_duplicates(_files(spark, sf_dir)).where("NOT is_duplicate")
+    return f.select("seq", F.to_json(F.struct("url", "size", "hash", F.col("mode").alias("crawl_mode"))).alias("entry"))
+
+
+@query(f"""WITH {_FILES_SQL} SELECT target, count(*) AS files, count(*) FILTER (is_duplicate) AS duplicates, CAST(sum(size) AS BIGINT) AS total_size,
+  count(*) FILTER (mode = 'static' AND NOT is_duplicate) AS static_files, count(*) FILTER (mode = 'dynamic' AND NOT is_duplicate) AS dynamic_files,
+  count(*) FILTER (seq % 10 = 0) AS failed_files, CAST(0 AS BIGINT) AS map_files, count(*) AS visited_urls FROM marked GROUP BY target""")
+def crawl_report(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return assets.report(dedupe.mark_duplicates(f), failed=f.where("seq % 10 = 0"), visited=f)
+
+
+@query(r"""SELECT doc_id, regexp_replace(md5(source || chr(10) || 'static' || chr(10) || doc_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS id FROM documents""")
+def file_ids(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("mode", F.lit("static"))
+    return d.select("doc_id", assets.stable_id("source", "mode", "doc_id").alias("id"))
 
 
 @query("SELECT doc_id, sha256(text) AS h, CASE WHEN doc_id % 4 = 3 THEN 'unsupported: br' END AS decode_error FROM documents")
@@ -495,8 +627,10 @@ def decompress_body(spark, sf_dir):
         out = []
         for n, t in zip(i, text, strict=True):
             raw = t.encode("utf-8")
-            z = zlib.compressobj(wbits={0: 31, 1: -15}.get(n % 4, 31))
-            out.append(z.compress(raw) + z.flush() if n % 4 < 2 else raw)
+            cut = len(raw) // 2 if n % 8 == 0 else 0  # two members
+            made = [zlib.compressobj(wbits={0: 31, 1: -15}.get(n % 4, 31)) for _ in range(1 + (cut > 0))]
+            parts = [raw[:cut], raw[cut:]] if cut else [raw]
+            out.append(b"".join(z.compress(x) + z.flush() for z, x in zip(made, parts, strict=True)) if n % 4 < 2 else raw)
         return __import__("pandas").Series(out)
 
     i = F.col("doc_id")
@@ -524,8 +658,7 @@ def stream_dedupe(spark, sf_dir):
 
     from silkmill.streaming.dedupe import first_contents
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silkmill-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(source if not os.path.isfile(source) else f"{sf_dir}/documents.parque[t]")

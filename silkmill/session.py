@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,20 @@ def session(app: str = "silkmill", master: str | None = None, **conf: str) -> Sp
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which is also set as the checkpoint folder.
+
+    Unset, it is a temporary folder in local mode; on a cluster executors could not share that, so it is an error.
+    """
+    context = spark.sparkContext
+    have = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (have.get() if have.isDefined() else None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="silkmill-checkpoint-")
+    if not have.isDefined():
+        context.setCheckpointDir(folder)
+    return folder

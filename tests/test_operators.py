@@ -1,6 +1,7 @@
 """Operators over small tables."""
 
 import gzip
+import random
 import zlib
 
 import pytest
@@ -68,18 +69,38 @@ def test_paths(spark):
     assert got[0] == "o/t/encode/js/h/a.js" and got[1] == "o/t/encode/js/h/a_1.js" and got[4] == "o/t/encode/js/h/index.js" and got[5] == "o/t/encode/js/h"
     exact = [r.file_path.rsplit("/", 1)[1] for r in paths.greedy_paths(f, "o", "encode/js").orderBy("seq").collect()]
     assert exact[:4] == ["a.js", "a_1.js", "a_1_1.js", "a_2.js"]
+    r = random.Random(1)
+    names = ["a.js", "a_1.js", "a_1_1.js", "a_2.js", "b", "b_1", "a_x.js", "a.b_1.js", "a_01.js"]
+    rows = [("t", n, f"https://h{r.randint(0, 1)}/{r.choice(names)}") for n in range(300)]
+    taken, want = set(), {}
+    for _, n, u in rows:
+        name = u[8:]
+        base, dot, ext = name.rpartition(".")
+        base, ext = (base, dot + ext) if dot else (name, "")
+        k, at = 0, name
+        while at in taken:
+            k += 1
+            at = f"{base}_{k}{ext}"
+        taken.add(at)
+        want[n] = f"o/t/encode/js/{at}"
+    got = paths.greedy_paths(spark.createDataFrame(rows, "target string, seq long, url string"), "o", "encode/js")
+    assert {x.seq: x.file_path for x in got.collect()} == want
 
 
 def test_decompress(spark):
     raw = b"var x = 1;"
     z = zlib.compressobj(wbits=-15)
+    two = gzip.compress(b"one") + gzip.compress(b"two")
+    more = spark.createDataFrame([("gzip", two), ("gzip", two[:-9]), ("br", b"x")], "content_encoding string, body binary")
+    got = paths.decompressed(more, decoders={"br": lambda b: b + b"!"}).collect()
+    assert [(bytes(r.plain), r.decode_error is None) for r in got] == [(b"onetwo", True), (two[:-9], False), (b"x!", True)]
     rows = [(" GZIP", gzip.compress(raw)), ("deflate", z.compress(raw) + z.flush()), ("", raw), (None, raw), ("br", raw), ("gzip", raw), ("gzip", None)]
     got = paths.decompressed(spark.createDataFrame(rows, "content_encoding string, body binary")).collect()
     assert [bytes(r.plain) if r.plain is not None else None for r in got] == [raw] * 6 + [None]
     assert [r.decode_error is None for r in got] == [True, True, True, True, False, False, True]
 
 
-def test_whole_dataflow(spark):
+def test_whole_dataflow(spark, tmp_path):
     js = b"var a1 = 0x1F; eval (x1); //# sourceMappingURL=m.map\n" + b"word " * 40
     rows = [
         ("t", "https://h/a.js", 0, "static", 1, 200, "text/javascript", None, bytearray(js)),
@@ -87,6 +108,7 @@ def test_whole_dataflow(spark):
         ("t", "https://h/a.js", 0, "dynamic", 3, 200, "text/javascript", None, bytearray(js)),
         ("t", "https://h/p.html", 0, "static", 4, 200, "text/html", None, bytearray(b"<p>")),
         ("t", "https://h/m.map", 0, "static", 5, 200, "application/json", None, bytearray(b"{}")),
+        ("t", "https://h/c.js", 0, "static", 6, 404, "text/html", None, bytearray(b"<p>")),
     ]
     from silkmill.schemas import RESPONSES
 
@@ -98,8 +120,64 @@ def test_whole_dataflow(spark):
     assert [x.map_size for x in assets.source_maps(files, r).collect()] == [2]
     out = assets.cleaned_files(files).collect()
     assert len(out) == 1 and "a1 = 31" in out[0].code and out[0].decode_path == "output/t/decode/js/h/a.js"
-    report = assets.report(files).first()
-    assert (report.files, report.duplicates) == (3, 2) and "a.js" in report.success_files
+    failed, maps = assets.failed_files(r), assets.source_map_files(files, r)
+    assert [(x.url, x.error_type) for x in failed.collect()] == [("https://h/c.js", "download_failed")]
+    assert [(x.url, x.size, x.file_path, x.js_file_url) for x in maps.collect()] == [("https://h/m.map", 2, "output/t/encode/map/h/m.map", "https://h/a.js")]
+    report = assets.report(files, failed, maps).first()
+    assert (report.files, report.duplicates, report.failed_files, report.map_files) == (3, 2, 1, 1)
+    assert [x.url for x in assets.success_files(files).collect()] == ["https://h/a.js"]
+    assets.run(r, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/encode/js")).count() == 1 and spark.read.json(str(tmp_path / "out/reports/failed_files")).count() == 1
+    assert assets.cleaned_files(files, deobfuscate=lambda c: "own").first().code == "own"
+    assert "a1 = 31" in assets.cleaned_files(files, deobfuscate=lambda c: 1 / 0).first().code
+
+
+def test_gates(spark):
+    from silkmill.schemas import RESPONSES
+
+    code = bytearray(b"function f() { var x }")
+    rows = [
+        ("t", u, 0, m, n, 200, k, None, code)
+        for n, (u, m, k) in enumerate([
+            ("https://h/api", "static", "text/javascript"), ("https://h/a.jsx", "static", "text/plain"), ("https://h/b", "dynamic", "application/x-javascript"),
+            ("https://h/c.mjs", "dynamic", "text/plain"), ("https://h/d", "dynamic", "text/javascript"), ("https://h/e.js", "dynamic", "text/plain"),
+        ])
+    ]
+    assert {x.url for x in assets.script_files(spark.createDataFrame(rows, RESPONSES)).collect()} == {"https://h/a.jsx", "https://h/d", "https://h/e.js"}
+
+
+def test_null_keys_stay(spark):
+    f = spark.createDataFrame([(None, "static", 1, "h"), (None, "static", 2, "h"), ("t", "static", 3, None), ("t", "static", 4, None)], "target string, mode string, seq long, hash string")
+    assert {r.seq: r.is_duplicate for r in dedupe.mark_duplicates(f).collect()} == {1: False, 2: True, 3: False, 4: False}
+    u = f.withColumn("url", F.lit(None).cast("string"))
+    assert {r.seq for r in dedupe.first_by_url(u).collect()} == {1, 3}
+
+
+def test_inline_scripts(spark):
+    loop = "for (i = 0; i<10; i++) { x('</p>') } " * 4
+    html = f"<script type='module'>{loop}</script><script src='a.js'>{loop}</script><script>short</script><script>{loop}"
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert [(r.pos, r.code) for r in extract.inline_scripts(pages).orderBy("pos").collect()] == [(0, loop), (2, loop)]
+
+
+def test_two_hosts_and_exempt_scripts(spark):
+    row = spark.createDataFrame([("https://b/1", "https://b/"), ("https://a/1", "https://b/"), ("https://a/1", "https://a/")], "link string, page string")
+    got = row.select(frontier.follow_on_page(F.col("link"), F.col("page"), F.lit(0), F.lit(False), 2, F.lit("a")).alias("r")).collect()
+    assert [r.r for r in got] == ["cross_domain_of_target", "cross_domain", None]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    pages = frontier.expand(edges, spark.createDataFrame([("a",)], "node string"), 1)
+    scripts = spark.createDataFrame([("a", "x.js"), ("b", "y.js"), ("b", "x.js"), ("c", "z.js")], "src string, dst string")
+    assert {r.node: r.depth for r in frontier.reached_scripts(pages, scripts).collect()} == {"x.js": 1, "y.js": 2}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from silkmill.__main__ import main
+
+    main(["r", "--validate-config", "--depth", "3", "--no-headless"])
+    out = capsys.readouterr().out
+    assert "depth=3" in out and "headless=False" in out
+    with pytest.raises(SystemExit):
+        main(["r"])
 
 
 def test_captured(spark):
@@ -141,12 +219,21 @@ def test_config(changes, ok):
             config.from_mapping(changes).validate()
 
 
-def test_config_file(tmp_path):
+def test_config_file(tmp_path, monkeypatch):
     p = tmp_path / "c.yaml"
     p.write_text("crawl:\n  depth: 5\n  unknown: 1\nheaders:\n  X-A: b\n")
     assert config.load(str(p), {"depth": None, "tabs": 2}).depth == 5
-    assert config.load(None).depth == 2
+    assert config.load(None).depth == 2 and config.load(None).allow_cross_domain and config.load(None).similarity_enabled
+    p.write_text("crawl:\n  playwright_tabs: 7\nresource:\n  max_tabs_limit: 8\nlogging:\n  rotation:\n    max_age: 1\noutput:\n  base_dir: x\nheaders:\n  X-A: b\n")
+    whole = config.load_all(str(p))
+    assert (whole.crawl.playwright_tabs, whole.resource.max_tabs_limit, whole.logging.rotation.max_age, whole.output.base_dir) == (7, 8, 1, "x")
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "config.yaml").write_text("crawl: {depth: 9}\n")
+    assert config.load().depth == 9
+    with pytest.raises(config.ConfigError):
+        config.load(str(tmp_path / "none.yaml"))
+    assert config.load_headers(str(tmp_path / "new" / "h.yaml")) == {} and (tmp_path / "new" / "h.yaml").exists()
     assert config.load_headers(str(p)) == {"X-A": "b"}
     assert config.max_tabs(3000, 200, 8, 4) == 4 and config.max_tabs(0, 200, 8, 4) == 1
     with pytest.raises(config.ConfigError):
-        config.ResourceConfig(cpu_threshold=20).validate()
+        config.ResourceConfig(cpu_load_threshold=20).validate()
