@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,14 +18,14 @@ from silkmill.llm.langid_model import LanguageModels, letter_words
 SAMPLE_PER_LANGUAGE = 700
 #: One of so many sampled documents (a hash decides) is held back for the rejection limits.
 HELD_BACK = 3
-#: Limit of the scaled excess cross-entropy: this quantile of held-back texts, times the slack.
-REJECT_QUANTILE, REJECT_SLACK = 0.995, 2.0
-#: A rejected text's cross-entropy is at least so many times its language's mean.
-REJECT_RATIO = 1.3
+#: Share of texts in a learned language that may be rejected.
+FALSE_REJECTION = 0.002
 #: Letters that count at most towards the certainty of a prediction.
 EVIDENCE = 60
-#: Words whose scores a worker keeps; a full table starts anew.
-MEMO_WORDS = 400_000
+#: Scores that a worker keeps, words times languages; a full table starts anew.
+MEMO_SCORES = 1_600_000
+#: Different words of texts that are scored together.
+WORDS_AT_ONCE = 20_000
 UNDETERMINED = "und"
 
 
@@ -71,9 +71,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     models = LanguageModels(words)
     models.calibrate(
-        {k: [(_dot(models, x), sum(map(len, x.elements()))) for x in v] for k, v in back.items() if k in words},
-        REJECT_SLACK,
-        REJECT_QUANTILE,
+        {k: [(_dot(models, x), sum(map(len, x.elements()))) for x in v] for k, v in back.items() if k in words}, FALSE_REJECTION
     )
     return models
 
@@ -88,10 +86,11 @@ class Predictor:
     def __init__(self, models: LanguageModels | None):
         self.models = models
         self.memo: dict[str, int] = {}
+        self.memo_words = MEMO_SCORES // len(models.langs) if models else 0
         self.table = np.zeros((0, len(models.langs) if models else 0), np.float32)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
+        if len(self.memo) + len(words) > self.memo_words:
             self.memo.clear()
             self.table = self.table[:0]
         new = list(words)
@@ -99,26 +98,42 @@ class Predictor:
         self.memo.update(zip(new, range(at, at + len(new)), strict=True))
         self.table = np.concatenate([self.table, self.models.score_words(new).astype(np.float32)])
 
+    def predict_all(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float, float | None, bool]]:
+        """Predictions in order; the new words of some texts are scored together."""
+        waiting: list[list[str]] = []
+        new: set[str] = set()
+        for text in texts:
+            words = letter_words(text)
+            waiting.append(words)
+            new.update(words)
+            if len(new) >= WORDS_AT_ONCE:
+                yield from self._together(waiting, new)
+                waiting, new = [], set()
+        yield from self._together(waiting, new)
+
     def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
         """Language, certainty, cross-entropy in nats per letter, rejected."""
-        words = letter_words(text)
+        return next(self.predict_all([text]))
+
+    def _together(self, texts: list[list[str]], words: set[str]) -> Iterator[tuple[str, float, float | None, bool]]:
+        if self.models is not None:
+            unknown = words.difference(self.memo)
+            if len(self.memo) + len(unknown) > self.memo_words:
+                unknown = words  # the table starts anew
+            self._learn(unknown)
+        yield from map(self._predict, texts)
+
+    def _predict(self, words: list[str]) -> tuple[str, float, float | None, bool]:
         if not words or self.models is None:
             return UNDETERMINED, 0.0, None, True
         places = list(map(self.memo.get, words))
-        if None in places:
-            unknown = {w for w, p in zip(words, places, strict=True) if p is None}
-            if len(self.memo) + len(unknown) > MEMO_WORDS:
-                unknown = set(words)  # the table starts anew
-            self._learn(unknown)
-            places = list(map(self.memo.get, words))
         logs = self.table[np.array(places)].sum(axis=0, dtype=np.float64)
         letters = sum(map(len, words))
         entropy = -logs / letters
         best = int(np.argmin(entropy))
         odds = np.exp(-(entropy - entropy[best]) * min(letters, EVIDENCE))
-        m = self.models
-        too_odd = (entropy[best] - m.means[best]) * np.sqrt(letters) > m.limits[best] and entropy[best] > REJECT_RATIO * m.means[best]
-        return m.langs[best], float(1 / odds.sum()), float(entropy[best]), bool(too_odd)
+        too_odd = self.models.excess(best, entropy[best], letters) > self.models.limit
+        return self.models.langs[best], float(1 / odds.sum()), float(entropy[best]), bool(too_odd)
 
 
 def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text") -> DataFrame:
@@ -135,8 +150,7 @@ def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor = Predictor(shared.load())
         for batch in texts:
-            rows = [predictor.predict(x) for x in batch]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "cross_entropy", "rejected"])
+            yield pd.DataFrame(list(predictor.predict_all(batch)), columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
     out = docs.select(as_doc(docs), of(F.col(text)).alias("found"))

@@ -1,31 +1,42 @@
-"""Interpolated Kneser-Ney character models of several languages in shared sorted hash arrays.
-
-An n-gram is known by a 64-bit polynomial hash.  For each order there is one sorted array
-of hashes with one column of probabilities per language, and one sorted array of contexts
-with one column of back-off weights.  A probability is looked up by binary search, from
-the longest order down; contexts that are known but don't continue this way pay their
-back-off weight.  Words are scored alone, with a start and an end mark, so the score of a
-text is a sum over its words.
+"""Interpolated Kneser-Ney character models, one for each language, in sorted hash arrays.
+
+An n-gram is known by a 64-bit polynomial hash.  A language has, for each order, a sorted array of
+n-gram hashes with their log probabilities, and one of context hashes with their back-off
+weights.  A probability is looked up by binary search, from the longest order down; contexts
+that are known but don't continue this way pay their back-off weight.  Words are scored alone,
+with a start and an end mark, so the score of a text is a sum over its words.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
+import regex
 
 ORDER = 5
 START, END, UNKNOWN = 1, 2, 3
 FIRST_LETTER = 4
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Runs of letters.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Fewer held-back texts than this give no rejection limit.
+LEAST_TEXTS = 20
+#: A letter and the letters and combining marks behind it; for texts of Latin-1 characters spelled out.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LATIN_LETTERS = re.compile("[" + "".join(f"\\x{n:02x}" for n in range(256) if unicodedata.category(chr(n))[0] == "L") + "]+")
 
 
 def letter_words(text: str | None) -> list[str]:
     """Lower-cased runs of letters in a whole text."""
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    try:  # most texts; the general classes are slower
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return LETTERS.findall(text)
+    return LATIN_LETTERS.findall(text)
 
 
 class _Words:
@@ -49,6 +60,10 @@ class _Words:
                 back = np.concatenate([np.zeros(1, np.uint64), self.hashes[-1][:-1]])
                 self.hashes.append(back * PRIME + self.codes + np.uint64(1))
 
+    def different(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the different hashes, and which one ends at each place; they are looked up once for each language."""
+        return [np.unique(h, return_inverse=True) for h in self.hashes]
+
     def at(self, order: int) -> np.ndarray:
         """Places where an n-gram of this order ends inside its word; never at the start mark."""
         return np.flatnonzero((self.depth >= order - 1) & (self.depth >= 1))
@@ -67,122 +82,104 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-class LanguageModels:
-    """Fitted on word counts per language; see the module's docstring for the layout."""
-
-    def __init__(self, counts: dict[str, Counter]):
-        self.langs = sorted(counts)
-        letters = sorted({c for words in counts.values() for w in words for c in w})
-        self.alphabet = {c: n for n, c in enumerate(letters, FIRST_LETTER)}
-        self.grams: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        self.logs: list[np.ndarray] = [np.zeros((0, len(self.langs)))]
-        self.contexts: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        self.backoffs: list[np.ndarray] = [np.zeros((0, len(self.langs)))]
-        fitted = [self._counts(counts[x]) for x in self.langs]
-        base = 1.0 / (len(letters) + FIRST_LETTER)
-        self.base_log = float(np.log(base))
-        lower_probs = None
-        for k in range(1, ORDER + 1):
-            grams = np.unique(np.concatenate([f[k]["gram"] for f in fitted]))
-            contexts = np.unique(np.concatenate([f[k]["context"] for f in fitted]))
-            probs = np.zeros((len(grams), len(self.langs)))
-            lower_hash, context_hash = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
-            for f in fitted:
-                at = _find(grams, f[k]["gram"])
-                lower_hash[at], context_hash[at] = f[k]["lower"], f[k]["context"]
-            below = np.full((len(grams), len(self.langs)), base) if k == 1 else lower_probs[_find(self.grams[k - 1], lower_hash)]
-            weights = np.ones((len(contexts), len(self.langs)))
-            for n, f in enumerate(fitted):
-                x = f[k]
-                if not len(x["gram"]):
-                    continue
-                ctx, _, total = _sums(x["context"], x["count"])
-                kinds = np.bincount(np.searchsorted(ctx, x["context"]), minlength=len(ctx))
-                back = x["discount"] * kinds / total
-                weights[_find(contexts, ctx), n] = back
-                mine = _find(grams, x["gram"])
-                probs[mine, n] = np.maximum(x["count"] - x["discount"], 0) / total[np.searchsorted(ctx, x["context"])]
-            probs += weights[_find(contexts, context_hash)] * below
-            lower_probs = probs
-            self.grams.append(grams)
-            self.logs.append(np.log(probs))
-            self.contexts.append(contexts)
-            self.backoffs.append(np.log(weights))
-        self.limits = np.full(len(self.langs), np.inf)
-        self.means = np.zeros(len(self.langs))
-
-    def _counts(self, counts: Counter) -> list[dict]:
+class _Language:
+    """One language's arrays by order; order 0 is the same for all letters."""
+
+    def __init__(self, counts: Counter, alphabet: dict[str, int]):
+        self.base_log = float(-np.log(len(alphabet) + FIRST_LETTER))
+        self.grams, self.logs = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        self.contexts, self.backoffs = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        words = _Words(list(counts), alphabet)
+        orders = self._counts(words, np.fromiter(counts.values(), np.float64, len(counts)))
+        below = np.zeros(0)
+        for k, x in enumerate(orders, 1):
+            context, _, total = _sums(x["context"], x["count"])
+            of = np.searchsorted(context, x["context"])
+            back = x["discount"] * np.bincount(of, minlength=len(context)) / total
+            lower = np.exp(self.base_log) if k == 1 else below[np.searchsorted(self.grams[k - 1], x["lower"])]
+            below = np.maximum(x["count"] - x["discount"], 0) / total[of] + back[of] * lower
+            self.grams.append(x["gram"])
+            self.logs.append(np.log(below).astype(np.float32))
+            self.contexts.append(context)
+            self.backoffs.append(np.log(back).astype(np.float32))
+
+    @staticmethod
+    def _counts(words: _Words, weight: np.ndarray) -> list[dict]:
         """Per order: n-grams, their contexts, their suffixes, adjusted counts and the discount."""
-        words = _Words(list(counts), self.alphabet)
-        weight = np.fromiter(counts.values(), np.float64, len(counts))
-        out: list[dict] = [{}]
+        out: list[dict] = []
         for k in range(1, ORDER + 1):
             at = words.at(k)
             gram, first, raw = _sums(words.hashes[k][at], weight[words.word[at]])
             place = at[first]
-            before = np.maximum(place - 1, 0)
-            out.append({
-                "gram": gram,
-                "context": words.hashes[k - 1][before] if k > 1 else np.zeros(len(gram), np.uint64),
-                "lower": words.hashes[k - 1][place],
-                "raw": raw,
-                "at_start": words.depth[place] == k - 1,
-            })
-        for k in range(1, ORDER + 1):
-            x = out[k]
-            if k == ORDER:
-                count = x["raw"]
-            else:  # how many different letters stand before it; at a word's start, how often
-                uniq, kinds = np.unique(out[k + 1]["lower"], return_counts=True)
+            context = words.hashes[k - 1][place - 1] if k > 1 else np.zeros(len(gram), np.uint64)
+            out.append({"gram": gram, "context": context, "lower": words.hashes[k - 1][place], "raw": raw, "at_start": words.depth[place] == k - 1})
+        for k, x in enumerate(out, 1):
+            count = x["raw"]
+            if k < ORDER:  # how many different letters stand before it; at a word's start, how often
+                uniq, kinds = np.unique(out[k]["lower"], return_counts=True)
                 at = _find(uniq, x["gram"])
-                count = np.where(at >= 0, kinds[at] if len(kinds) else 0, 0).astype(float)
-                count = np.where(x["at_start"], x["raw"], count)
-                count = np.where(count > 0, count, x["raw"])
+                count = np.where((at >= 0) & ~x["at_start"], kinds[at] if len(kinds) else 0, count)
             ones, twos = (count == 1).sum(), (count == 2).sum()
-            x["count"] = count
-            x["discount"] = float(ones / (ones + 2 * twos)) if ones and twos else 0.5
+            x["count"], x["discount"] = count, float(ones / (ones + 2 * twos)) if ones and twos else 0.5
         return out
 
+    def score(self, x: _Words, different: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Natural log probability of each word; ``different``: see :meth:`_Words.different`."""
+        total = np.full(len(x.codes), self.base_log, np.float32)
+        for k in range(1, ORDER + 1):
+            hashes, number = different[k]
+            found = _find(self.grams[k], hashes)
+            log = np.where(found >= 0, self.logs[k][found], np.float32(np.nan))[number]
+            hashes, number = different[k - 1]
+            known = _find(self.contexts[k], hashes)
+            back = np.roll(np.where(known >= 0, self.backoffs[k][known], np.float32(0))[number], 1)
+            total = np.where(x.depth < k - 1, total, np.where(np.isnan(log), back + total, log))
+        total[x.depth == 0] = 0
+        return np.add.reduceat(total, np.cumsum(x.sizes) - x.sizes, dtype=np.float64)
+
+
+class LanguageModels:
+    """Models of all languages over one alphabet, fitted on word counts per language."""
+
+    def __init__(self, counts: dict[str, Counter]):
+        self.langs = sorted(counts)
+        letters = sorted({c for words in counts.values() for w in words for c in w})
+        self.alphabet = {c: n for n, c in enumerate(letters, FIRST_LETTER)}
+        self.models = [_Language(counts[x], self.alphabet) for x in self.langs]
+        self.means, self.scales, self.limit = np.zeros(len(self.langs)), np.ones(len(self.langs)), np.inf
+
     def score_words(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word under each language."""
         if not words:
             return np.zeros((0, len(self.langs)))
         x = _Words(words, self.alphabet)
-        total = np.zeros((len(x.codes), len(self.langs)))
-        open_ = x.depth >= 1
-        for k in range(ORDER, 0, -1):
-            at = np.flatnonzero(open_ & (x.depth >= k - 1))
-            if not len(at):
-                continue
-            found = _find(self.grams[k], x.hashes[k][at])
-            hit = found >= 0
-            total[at[hit]] += self.logs[k][found[hit]]
-            open_[at[hit]] = False
-            miss = at[~hit]
-            before = x.hashes[k - 1][miss - 1] if k > 1 else np.zeros(len(miss), np.uint64)
-            known = _find(self.contexts[k], before)
-            total[miss[known >= 0]] += self.backoffs[k][known[known >= 0]]
-        total[open_] += self.base_log
-        starts = np.cumsum(x.sizes) - x.sizes
-        return np.add.reduceat(total, starts, axis=0)
-
-    def calibrate(self, texts: dict[str, list[tuple[np.ndarray, int]]], slack: float, quantile: float) -> None:
-        """Rejection limits from held-back texts: (log probabilities, letters) per language.
-
-        The cross-entropy of a text of n letters spreads like 1/sqrt(n); the limit is the
-        ``quantile`` of the scaled excess over the mean, times ``slack``.  A language with fewer
-        than 20 texts takes those of all languages together, and of the two means the larger one;
-        with fewer than 20 of all there is no limit.
+        different = x.different()
+        return np.stack([m.score(x, different) for m in self.models], axis=1)
+
+    def excess(self, n: int, entropy: float, letters: int) -> float:
+        """How far a text's cross-entropy lies over its language's mean, in that language's deviations.
+
+        The cross-entropy of a text of m letters spreads like 1 / sqrt(m).
+        """
+        return (entropy - self.means[n]) * np.sqrt(letters) / self.scales[n]
+
+    def calibrate(self, texts: dict[str, list[tuple[np.ndarray, int]]], rate: float) -> None:
+        """The rejection limit from held-back texts: (log probabilities, letters) per language.
+
+        Means and deviations are those of a language, or of all languages together for one with fewer than
+        ``LEAST_TEXTS`` texts (of the two means the larger one).  The limit is one for all: of n texts at most
+        ``rate`` (n + 1) lie beyond it, so a further text of the same kind is rejected with a probability of at
+        most ``rate``, or of 1 / (n + 1) where n is under 1 / rate.  Fewer than ``LEAST_TEXTS`` in all give none.
         """
         own = [[(-p[n] / m, m) for p, m in texts.get(lang, [])] for n, lang in enumerate(self.langs)]
         pool = [x for rows in own for x in rows]
+        if len(pool) < LEAST_TEXTS:
+            return
         for n, mine in enumerate(own):
-            rows = mine if len(mine) >= 20 else pool
-            if len(rows) < 20:
-                continue
-            entropy, size = np.array(rows, float).T
-            mean = float(np.average(entropy, weights=size))
-            if rows is pool and mine:
-                mean = max(mean, float(np.average([e for e, _ in mine], weights=[m for _, m in mine])))
-            self.means[n] = mean
-            self.limits[n] = max(0.5, slack * float(np.quantile((entropy - mean) * np.sqrt(size), quantile)))
+            entropy, size = np.array(mine if len(mine) >= LEAST_TEXTS else pool, float).T
+            self.means[n] = np.average(entropy, weights=size)
+            if mine and len(mine) < LEAST_TEXTS:
+                self.means[n] = max(self.means[n], np.average([e for e, _ in mine], weights=[m for _, m in mine]))
+            self.scales[n] = max(1e-9, np.sqrt(np.mean((entropy - self.means[n]) ** 2 * size)))
+        beyond = np.sort([self.excess(n, e, m) for n, mine in enumerate(own) for e, m in mine])
+        self.limit = float(beyond[-max(1, int(rate * (len(beyond) + 1)))])
