@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled cutoffs, DataFrame functions only.
 
-Every rule rejects a document whose feature lies beyond a cutoff.  Cutoffs come from
-labelled good documents, per stratum: for each rule a fixed list of cutoffs is tried from
-the mildest on, and the strictest is taken up to which every exact binomial test says
-"false rejections are below the rule's share of ``MAX_FALSE_REJECTION``".  Going on only
-while tests succeed keeps one rule's error level; the level is divided among all rules
-and strata (Bonferroni), the allowed rejection among the rules of a stratum.  A stratum
-with too few labels gets no cutoff, so nothing is rejected there by these rules.
+Every rule rejects a document whose feature lies beyond a cutoff.  The cutoffs of all rules are
+tightened step by step in one fixed order: the mildest of each rule, then the second of each, and
+so on.  A document thus has one number, the first step that rejects it.  Labelled good documents
+decide, per stratum, how far to go: step by step an exact binomial test asks whether all rules
+together falsely reject less than ``MAX_FALSE_REJECTION``, and the first step that fails it ends the
+sequence.  As the order is fixed beforehand, a stratum's tests need no correction among
+themselves; the level is divided among the strata (Bonferroni).  A stratum with too few labels gets
+no cutoff (436 good ones can pass the first step with four strata), so nothing is rejected there by
+these rules.
 """
 
 from __future__ import annotations
@@ -22,13 +24,10 @@ from silkmill.llm.text import WORD_PATTERN
 
 #: Share of good documents of a stratum that all rules together may reject.
 MAX_FALSE_REJECTION = 0.01
-#: Probability that any rule in any stratum breaks its share.
+#: Probability that the rules of any stratum break that share.
 ERROR_LEVEL = 0.05
 WINDOW = 8
 MIN_WORDS = 20
-#: Terms of a binomial tail that are added one by one; the rest is bounded from above.
-TAIL_TERMS = 4000
-
 #: Feature over the base columns and its cutoffs, mildest first; a feature above is rejected.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols_per_word": ("n_symbols / n_words", tuple(round(4 * 0.85**k, 4) for k in range(30))),
@@ -113,48 +112,47 @@ def _lgamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial(n, p), exact for k below the mean and 1 from there on.
+    """P(X <= k) for X binomial(n, p), to double precision for k below the mean and 1 from there on.
 
-    Beyond ``TAIL_TERMS`` terms the rest is replaced by a geometric bound from above.
+    Terms are added from k down to 12 deviations below; what is left is under e^-72 of the sum.
     """
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(_lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
     odds = (1 - p) / p
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * p) + 100).cast("double")).cast("int")
     added = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.least(k, F.lit(float(TAIL_TERMS))).cast("int")), lambda i: k - i.cast("double")),
+        F.transform(F.sequence(F.lit(0), terms), lambda i: k - i.cast("double")),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
         lambda a, i: F.struct((a["term"] * i / (n - i + 1) * odds).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+        lambda a: a["sum"],
     )
-    ratio = k / (n - k + 1) * odds
-    total = added["sum"] + F.when(k > TAIL_TERMS, added["term"] / (1 - ratio)).otherwise(0.0)
-    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), first * total))
+    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), first * added))
+
+
+def step_of(rule: str) -> Column:
+    """The first step at which a rule rejects a document; null if none does."""
+    number, cuts = list(RULES).index(rule), RULES[rule][1]
+    held = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col(f"f_{rule}")))
+    return F.when(held < len(cuts), held * len(RULES) + number)
 
 
 def cutoffs(good: DataFrame) -> DataFrame:
-    """``stratum, cut_<rule>...``; null where no cutoff of the rule passed its test.
+    """``stratum, last``: the last step whose test passed; strata without one are left out.
 
-    ``good``: base columns and ``stratum`` of labelled good documents, one row each.
+    ``good``: ``stratum, step`` of labelled good documents, one row each.
     """
-    def beyond(rule: str) -> Column:
-        value = F.col(f"f_{rule}")
-        return F.size(F.filter(F.array(*[F.lit(c) for c in RULES[rule][1]]), lambda c: c < value))
-
-    over = [F.struct(F.lit(r).alias("rule"), beyond(r).alias("beyond")) for r in RULES]
-    counts = good.select("stratum", F.explode(F.array(*over)).alias("x")).groupBy("stratum", "x.rule", "x.beyond").count()
-    counts = counts.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("beyond", "count"))).alias("at"))
-    counts = counts.withColumn("n", F.aggregate(F.map_values("at"), F.lit(0).cast("long"), lambda a, c: a + c))
-    counts = counts.withColumn("tests", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
-    values = F.create_map(*[x for r, (_, cuts) in RULES.items() for x in (F.lit(r), F.array(*[F.lit(c) for c in cuts]))])
-    steps = counts.select("stratum", "rule", "n", "tests", "at", F.posexplode(F.element_at(values, F.col("rule"))).alias("step", "cut"))
-    k = F.aggregate(F.map_entries("at"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("step"), e["value"]).otherwise(0))
-    steps = steps.withColumn("k", k)
-    share = MAX_FALSE_REJECTION / len(RULES)
-    passed = binomial_tail(F.col("k"), F.col("n"), share) <= ERROR_LEVEL / F.col("tests")
-    steps = steps.select("stratum", "rule", "step", "cut", passed.alias("passed"))
-    in_order = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("so_far", F.min(F.col("passed").cast("int")).over(in_order))
-    best = [F.min(F.when((F.col("rule") == r) & (F.col("so_far") == 1), F.col("cut"))).alias(f"cut_{r}") for r in RULES]
-    return steps.groupBy("stratum").agg(*best)
+    counts = good.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.groupBy("stratum").agg(
+        F.sum("m").alias("n"), F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "m"))).alias("at")
+    )
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    last = len(RULES) * max(len(cuts) for _, cuts in RULES.values()) - 1
+    steps = counts.select("stratum", "n", "strata", "at", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("step"))
+    k = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["step"] <= F.col("step"), x["m"]).otherwise(0))
+    passed = binomial_tail(F.col("k"), F.col("n"), MAX_FALSE_REJECTION) <= ERROR_LEVEL / F.col("strata")
+    # k rises with the step, so the tests pass up to some step and fail from there on.
+    steps = steps.select("stratum", "n", "strata", "step", k.alias("k")).where(passed)
+    return steps.groupBy("stratum").agg(F.max("step").alias("last"))
 
 
 def quality(
@@ -176,9 +174,9 @@ def quality(
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("q")).where("doc_id IS NOT NULL AND q IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
     good = stats.where("NOT base_failed").join(marks, "doc_id", "left_semi")
-    limits = materialise(cutoffs(good)).withColumnRenamed("stratum", "s")
+    limits = materialise(cutoffs(good.select("stratum", F.least(*[step_of(r) for r in RULES]).alias("step")))).withColumnRenamed("stratum", "s")
     out = stats.join(limits, F.col("stratum").eqNullSafe(F.col("s")), "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(f"f_{r}") > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
+    failed = F.array_compact(F.array(*[F.when(step_of(r) <= F.col("last"), F.lit(r)) for r in RULES]))
     out = out.withColumn("failed_rules", failed)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -99,6 +99,44 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM t WHERE rank <= 1
 """
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def quality_sql() -> str:
+    """Base columns by lists of words and lines; the fixed sequence of binomial tests by logarithms of factorials."""
+    from silkmill.llm import quality as q
+
+    steps = ", ".join(
+        f"CASE WHEN len(list_filter({list(cuts)}, lambda c: c >= f{n})) < {len(cuts)} THEN len(list_filter({list(cuts)}, lambda c: c >= f{n})) * {len(q.RULES)} + {n} END"
+        for n, (_, cuts) in enumerate(q.RULES.values())
+    )
+    features = ", ".join(f"coalesce(CAST({x.split(' / ')[0]} AS DOUBLE) / nullif({x.split(' / ')[1]}, 0), 0.0) AS f{n}" for n, (x, _) in enumerate(q.RULES.values()))
+    failed = ", ".join(f"CASE WHEN s[{n + 1}] <= last THEN '{r}' END" for n, r in enumerate(q.RULES))
+    last, p = len(q.RULES) * max(len(c) for _, c in q.RULES.values()), q.MAX_FALSE_REJECTION
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+windows AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS x FROM w),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY r),
+base AS (SELECT w.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r)),
+stats AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+f AS (SELECT *, {features} FROM stats),
+s AS (SELECT *, [{steps}] AS s FROM f),
+good AS (SELECT lang, list_min(list_filter(s, lambda x: x IS NOT NULL)) AS step FROM s
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+n AS (SELECT lang, count(*) AS n, (SELECT count(DISTINCT coalesce(lang, '?')) FROM good) AS strata FROM good GROUP BY lang),
+k AS (SELECT n.lang, n.n, strata, j, (SELECT count(*) FROM good g WHERE g.lang IS NOT DISTINCT FROM n.lang AND g.step <= j) AS k FROM n, (SELECT unnest(range({last})) AS j)),
+tail AS (SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
+  exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail FROM k),
+limits AS (SELECT lang, max(j) AS last FROM tail WHERE tail <= {q.ERROR_LEVEL} / strata GROUP BY lang),
+v AS (SELECT s.*, [{failed}] AS failed FROM s LEFT JOIN limits ON s.lang IS NOT DISTINCT FROM limits.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(list_filter(failed, lambda x: x IS NOT NULL)) = 0 AS kept, coalesce(array_to_string(failed, ','), '') AS failed_rules FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op4_topk": TOPK_SQL}
+    return {"op4_topk": TOPK_SQL, "op6_quality": quality_sql()}
