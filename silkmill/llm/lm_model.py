@@ -15,7 +15,7 @@ SMOOTH = 0.1
 #: Weight of the lower order, in words.
 MU = 200.0
 #: Steps of a quantised log10, and the largest code.
-STEPS, LAST_CODE = 4096, 65535
+STEPS, LAST_CODE = 2048, 65535
 
 
 def log_unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
