@@ -7,7 +7,8 @@ gives, log2 of that share over the share of documents with the entity.  Terms be
 thresholds, seen with the entity in at least ``MIN_CONTEXTS`` different contexts (neighbouring terms,
 so copies count once), are found in every text and generalised (``[TERM]``).  Only terms that pass
 for all entities together are paired with single entities, so documents with many of
-both give no product.
+both give no product.  A term that carries its information by its spelling alone, a long run in which
+letters and digits take turns (a key, a token), is a secret, however rare it is.
 
 Positions are code points.  ``split`` gives what lies between a pattern's matches and
 ``regexp_extract_all`` the matches, so running sums of lengths give the spans.  Patterns
@@ -27,8 +28,8 @@ MIN_SHARE = 0.5
 MIN_BITS = 3.0
 #: Tables of at most so many rows (one or two words and hashes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 20_000
-#: Terms of fewer characters are never removed.
-MIN_TERM = 3
+#: Changes between a letter and a digit that make a run of ``SECRET`` a secret.
+SECRET_TURNS = 4
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -40,6 +41,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
+SECRET = "(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
+#: Kinds in the order of spans with one start.
+ALL_KINDS = (*KINDS, "term", "secret")
+EMPTY = "array<struct<start:bigint,kind_no:int,end:bigint,match:string>>"
 
 
 def _digits(x: Column) -> Column:
@@ -70,11 +75,11 @@ def _valid(kind: str, match: Column) -> Column:
 
 def spans(text: Column, pattern: Column, kind: str) -> Column:
     """Array of ``(start, kind_no, end, match)`` of a pattern's matches in a text."""
-    number = (*KINDS, "term").index(kind)
+    number = ALL_KINDS.index(kind)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
     both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-    empty = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,match:string>>")
+    empty = F.array().cast(EMPTY)
     return F.aggregate(
         both,
         F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
@@ -98,7 +103,7 @@ def base_spans(text: Column) -> Column:
     """Valid base spans of a text by start, then kind."""
     hints = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     digits = text.rlike("[0-9]")
-    none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,match:string>>")
+    none = F.array().cast(EMPTY)
 
     def of(kind: str) -> Column:
         found = F.filter(spans(text, F.lit(PATTERNS[kind]), kind), lambda s: _valid(kind, s["match"]))
@@ -109,7 +114,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _named(s: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))
 
 
@@ -133,10 +138,9 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     entities = found.select("row", F.explode("base").alias("s")).select("row", _entity(F.col("s")).alias("entity")).distinct()
     runs = found.select("row", F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)).alias("runs"))
     place = F.transform(
-        "runs", lambda t, n: F.struct(t.alias("term"), F.xxhash64(F.get("runs", n - 1), F.get("runs", n + 1)).alias("context"))
+        "runs", lambda t, n: F.struct(t.alias("term"), F.xxhash64(*[F.coalesce(F.get("runs", k), F.lit("")) for k in (n - 1, n + 1)]).alias("context"))
     )
     met = runs.select("row", F.explode(place).alias("p")).select("row", "p.term", "p.context")
-    met = met.where(F.char_length("term") >= MIN_TERM)
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     words = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     wide = met.groupBy("term").agg(F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("n_met"))
@@ -155,10 +159,10 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", real: bool = False) -> DataFrame:
     """Counts and spans of personal data per row; with ``real`` also ``sanitised``, the text with
-    every span replaced by its kind in brackets.
+    every span replaced by its kind in brackets.  Counts are those of base kinds, terms and secrets.
 
-    Null texts count as empty.  Base spans of different kinds may overlap and all stay; a term
-    that overlaps a base span is left out.  In ``sanitised`` overlapping spans become one, named
+    Null texts count as empty.  Base spans of different kinds may overlap and all stay; a term or secret
+    that overlaps a base span is left out, and a term that is a secret.  In ``sanitised`` overlapping spans become one, named
     by the first.  The same text has the same spans wherever it stands; an empty table gives an
     empty result; other columns are not read.
     """
@@ -179,34 +183,45 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     quoted = F.array_join(F.transform(F.array_sort("terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
     extra = F.when(F.col("terms").isNotNull(), spans(F.col("text"), pattern, "term"))
-    extra = F.coalesce(extra, F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,match:string>>"))
-    clear = F.filter(extra, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = out.withColumn("every", F.array_sort(F.concat("base", clear)))
+    extra = F.coalesce(extra, F.array().cast(EMPTY))
+    turns = F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")
+    secrets = F.filter(spans(F.col("text"), F.lit(SECRET), "secret"), lambda s: F.regexp_count(s["match"], turns) >= SECRET_TURNS)
+    secrets = F.when(F.col("text").rlike("[A-Za-z0-9]{20}"), secrets).otherwise(F.array().cast(EMPTY))
+
+    def clear(found: Column, of: str) -> Column:
+        return F.filter(found, lambda t: ~F.exists(of, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+    out = out.withColumn("secrets", clear(secrets, "base")).withColumn("sure", F.concat("base", "secrets"))
+    out = out.withColumn("found", clear(extra, "sure"))
+    out = out.withColumn("every", F.array_sort(F.concat("sure", "found")))
 
     def count(n: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind_no"] == n)).cast("long").alias(f"n_{KINDS[n]}")
 
     columns = [
         "doc_id", *[count(n) for n in range(len(KINDS))],
-        F.size(clear).cast("long").alias("n_term"),
+        F.size("found").cast("long").alias("n_term"), F.size("secrets").cast("long").alias("n_secret"),
         F.sha2(F.array_join(F.transform("base", _named), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("every", _named), ",").alias("spans"),
     ]
     if real:
-        names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
-        swapped = F.aggregate(
+        names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
+        piece = "array<struct<from:bigint,to:bigint,kind_no:int>>"
+        pieces = F.aggregate(
             "every",
-            F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(piece).alias("out")),
             lambda a, s: F.struct(
                 F.greatest(a["at"], s["end"]).alias("at"),
                 F.when(s["start"] < a["at"], a["out"]).otherwise(
-                    F.concat(
-                        a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
-                        F.element_at(names, s["kind_no"] + 1),
-                    )
+                    F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("to"), s["kind_no"])))
                 ).alias("out"),
             ),
-            lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.char_length("text"))),
+            lambda a: F.struct(a["at"].alias("at"), F.transform(
+                a["out"],
+                lambda p: F.concat(F.substring("text", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), F.element_at(names, p["kind_no"] + 1)),
+            ).alias("out")),
         )
-        columns.append(swapped.alias("sanitised"))
+        out = out.withColumn("pieces", pieces)
+        rest = F.substring("text", (F.col("pieces.at") + 1).cast("int"), F.char_length("text"))
+        columns.append(F.concat(F.array_join("pieces.out", ""), rest).alias("sanitised"))
     return out.select(*columns)

@@ -50,7 +50,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silkmill.llm.pii import personal_data
 
-    return personal_data(_table(spark, sf_dir, "documents"))
+    out = personal_data(_table(spark, sf_dir, "documents"), real=True)
+    return out.select(*[c for c in out.columns if c != "sanitised"], F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +168,47 @@ SELECT doc_id, held_out, n_tokens, n_known, a.n AS train_tokens, base_score, sco
 """
 
 
+def personal_data_sql() -> str:
+    """Spans by what lies between the matches, terms by joins of counts, the sanitised text by pieces."""
+    from silkmill.llm import pii as m
+
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "term": r"[\p{L}\p{N}]+", "secret": "[A-Za-z0-9]+",
+    }
+    names = ", ".join(f"'{k}'" for k in kinds)
+    found = " UNION ALL ".join(
+        f"SELECT r, t, {n} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for n, p in enumerate(kinds.values())
+    )
+    luhn = "list_sum(list_transform(range(length(c)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[length(c) - i] AS INT) ELSE (CAST(c[length(c) - i] AS INT) * 2 - 1) % 9 + 1 END)) % 10 = 0"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT r, t, kind, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS k FROM ({found}) WHERE len(m) > 0),
+p AS (SELECT r, t, kind, m, k, regexp_replace(m, '[^0-9]', '', 'g') AS c, sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY k)::BIGINT AS z FROM f),
+s AS (SELECT r, t, kind, m, c, k, z - length(m) AS a, z FROM p),
+base AS (SELECT * FROM s WHERE kind = 0 OR kind = 1 AND list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+  OR kind = 2 AND length(c) BETWEEN 14 AND 19 AND {luhn} OR kind = 3 AND length(c) BETWEEN 10 AND 15),
+secret AS (SELECT * FROM s WHERE kind = 5 AND length(m) >= 20 AND len(regexp_extract_all(m, '[A-Za-z][0-9]|[0-9][A-Za-z]')) >= {m.SECRET_TURNS}
+  AND NOT EXISTS (FROM base b WHERE b.r = s.r AND b.a < s.z AND s.a < b.z)),
+sure AS (FROM base UNION ALL FROM secret),
+entity AS (SELECT DISTINCT t, CASE WHEN kind >= 2 THEN c ELSE lower(m) END AS e FROM base),
+w AS (SELECT r, t, k, lower(m) AS w, coalesce(lower(lag(m) OVER o), '') || ' ' || coalesce(lower(lead(m) OVER o), '') AS x FROM s WHERE kind = 4 WINDOW o AS (PARTITION BY r ORDER BY k)),
+n AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+met AS (SELECT * FROM w WHERE r IN (SELECT r FROM base)),
+pairs AS (SELECT e, w, count(DISTINCT x) AS contexts, count(*) AS n_both FROM met JOIN entity USING (t) WHERE NOT contains(e, w) GROUP BY e, w),
+known AS (SELECT DISTINCT w FROM pairs JOIN n USING (w) JOIN (SELECT e, count(*) AS n_e FROM entity GROUP BY e) USING (e)
+  WHERE contexts >= {m.MIN_CONTEXTS} AND n_both >= {m.MIN_SHARE} * n AND log2(n_both / n::DOUBLE * greatest((SELECT count(*) FROM d), 1) / n_e) >= {m.MIN_BITS}),
+term AS (SELECT * FROM s WHERE kind = 4 AND lower(m) IN (FROM known) AND NOT EXISTS (FROM sure b WHERE b.r = s.r AND b.a < s.z AND s.a < b.z)),
+every AS (FROM sure UNION ALL FROM term),
+names AS (SELECT *, [{names}][kind + 1] AS name, coalesce(max(z) OVER (PARTITION BY r ORDER BY a, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM every),
+out AS (SELECT r, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) AS spans, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (kind < 4) AS base,
+  string_agg(CASE WHEN a >= before THEN t[before + 1:a] || '[' || upper(name) || ']' ELSE '' END, '' ORDER BY a, kind) AS pieces, max(z) AS z,
+  {", ".join(f"count(*) FILTER (kind = {k}) AS n_{x}" for k, x in enumerate(kinds))} FROM names GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  sha256(coalesce(pieces, '') || t[coalesce(z, 0) + 1:]) AS sanitised_sha256 FROM d LEFT JOIN out USING (r)
+"""
+
+
 #: Every string of 100 bytes by itself: which ones also start earlier, and what they cover.
 REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -186,4 +228,4 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op4_topk": TOPK_SQL, "op5_lm_scoring": score_sql(), "op6_quality": quality_sql(), "op9_suffix_dedup": REPEATS_SQL}
+    return {"op4_topk": TOPK_SQL, "op5_lm_scoring": score_sql(), "op6_quality": quality_sql(), "op7_pii": personal_data_sql(), "op9_suffix_dedup": REPEATS_SQL}

@@ -11,11 +11,12 @@ import sys
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silkmill.llm import langid_model, lm_model, lm_scoring, stages
+from silkmill.llm import langid_model, lm_model, lm_scoring, queries, stages
 from silkmill.llm.bpe_automaton import MergeAutomaton
 from silkmill.llm.langid import Predictor, fit, held_out, identify
 from silkmill.llm.langid_model import LanguageModels, letter_words
@@ -334,6 +335,22 @@ def test_disclosing_terms(spark, words):
     assert got[200].spans == "term:5:12" and got[200].sanitised == "then [TERM], again"
     assert "[TERM]" in got[100].sanitised and "zor@" not in got[100].sanitised and "[EMAIL]" in got[100].sanitised
     assert got[300].n_term == 0  # one context, however often it is copied
+    key = "a1b2c3d4e5f60718293a4b5c"
+    rows = [(n, f"{some(9)} Bo wrote zz@lax.com {some(n % 5)}", None, None) for n in range(8)] + [(50, f"token = \"{key}\" " + "a" * 30, None, None)]
+    rows += [(100 + n, some(30), None, None) for n in range(60)]
+    got = {x.doc_id: x for x in personal_data(table(spark, rows), real=True).collect()}
+    assert got[50].n_secret == 1 and got[50].spans == "secret:9:33" and "[SECRET]" in got[50].sanitised and key not in got[50].sanitised
+    assert "[TERM] wrote [EMAIL]" in got[0].sanitised  # two letters can be a name
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op4_topk"}))
+def test_same_rows_as_duckdb(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    ours, theirs = queries.queries()[name](spark, SF).toPandas(), duck.execute(queries.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns) and len(ours) == len(theirs) > 0
+    assert sorted(map(str, ours[sorted(ours)].values.tolist())) == sorted(map(str, theirs[sorted(ours)].values.tolist()))
 
 
 def test_tokens(spark, nasty):
