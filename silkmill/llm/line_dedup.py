@@ -7,7 +7,7 @@ deleted from the later document.  Most of these pairs need not be formed:
 1. What a document does to another depends only on its shared lines and on where others stand
    between them (its form).  From all but the earliest document of a form goes everything that
    any other could take: the whole runs of shared lines with a long one.
-2. The earliest ones are aligned with the earliest holder of each of their long lines.
+2. The earliest ones are aligned with the earliest holder of the rarest long line of each run of shared lines.
 3. What then stays and might still be taken asks for further holders of its key, in rounds: a
    hash deals a key's holders to rounds of about four times the holders each, so the last round
    has all of them.  A key is a long line, or two lines in a row for the short lines beside it.
@@ -20,16 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.common import as_doc, materialise
 from silkmill.llm.patience import common_blocks
 from silkmill.llm.text import WORD_PATTERN
 
+#: Words of a long line; two characters of a script without spaces count as one.
 MIN_WORDS = 5
+#: Thai and Lao, Burmese, Khmer, Chinese and Japanese; and one quick range around them all.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
+UNSPACED_AROUND = r"[\u0E00-\x{3FFFF}]"
 NO_ID = (1 << 63) - 1
-#: A lead, a form's earliest document: how many lines, places of the shared ones, these, and each one's earliest holder.
+#: A lead, a form's earliest document: how many lines, places of the shared ones, these, and each one's earliest holder;
+#: ``rare`` (in its table alone): those of the rarest lines.
 LEAD = "o long, h long, size int, at array<int>, line array<long>, long array<boolean>, first array<long>"
 
 
@@ -46,11 +51,12 @@ def _keys(line: list[int], begin: int, end: int) -> list[int]:
 
 
 def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents less the lines that no other has; ``whole``: places of their runs with a long line."""
+    """Documents less the lines that no other has; ``whole``: places of their runs with a long line, ``rare``: see ``LEAD``."""
     for pdf in batches:
         rows = []
         for o, h, lines, long_, shared in zip(pdf["o"], pdf["h"], pdf["lines"], pdf["long"], pdf["shared"], strict=True):
             first = {x["line"]: x["first"] for x in shared}
+            held = {x["line"]: x["held"] for x in shared}
             at = [k for k, x in enumerate(lines.tolist()) if x in first]
             line, marks = lines[at].tolist(), long_[at].tolist()
             runs = _runs(at, marks)
@@ -59,8 +65,9 @@ def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gaps = np.diff(np.array([-1, *at, len(lines)])) > 1
             form = xxhash.xxh128_digest(np.array(line, np.int64).tobytes() + gaps.tobytes())
             whole = [at[k] for a, b in runs for k in range(a, b)]
-            rows.append((o, h, len(lines), form, at, line, marks, [first[x] for x in line], whole))
-        yield pd.DataFrame(rows, columns=["o", "h", "size", "form", "at", "line", "long", "first", "whole"])
+            rare = {first[min((x for x, m in zip(line[a:b], marks[a:b], strict=True) if m), key=held.get)] for a, b in runs}
+            rows.append((o, h, len(lines), form, at, line, marks, [first[x] for x in line], whole, list(rare)))
+        yield pd.DataFrame(rows, columns=["o", "h", "size", "form", "at", "line", "long", "first", "whole", "rare"])
 
 
 def _apart(at: list[int], line: list[int], size: int, gap: str) -> list:
@@ -141,8 +148,7 @@ def _leads_removed(leads: DataFrame) -> DataFrame:
     early = leads.select(
         F.col("o").alias("eo"), F.col("h").alias("eh"), F.col("size").alias("early_size"), F.col("at").alias("early_at"), F.col("line").alias("early")
     )
-    firsts = F.array_distinct(F.transform(F.filter(F.arrays_zip("long", "first"), lambda x: x["long"]), lambda x: x["first"]))
-    pairs = leads.select("o", "h", F.explode(firsts).alias("eo")).where("eo < o")
+    pairs = leads.select("o", "h", F.explode("rare").alias("eo")).where("eo < o")
     star = materialise(_join_gone(_align(leads, pairs, early, ["eo"])))
     none = F.array().cast("array<int>")
     act = leads.join(star, ["o", "h"], "left").withColumn("gone", F.coalesce("gone", none))
@@ -179,19 +185,27 @@ def _leads_removed(leads: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``o, h, gone``: numbers of deleted lines per document; ``docs``: ``o, h, text``."""
     lines = F.split("text", "\n")
-    d = docs.select(
-        "o", "h", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD_PATTERN)) >= MIN_WORDS).alias("long"),
-    )
+
+    def words(x: Column) -> Column:
+        return F.regexp_count(x, F.lit(WORD_PATTERN))
+
+    def signs(x: Column) -> Column:
+        return F.floor(F.regexp_count(x, F.lit(UNSPACED)) / 2)
+
+    # Asked once for a text, not for each line.
+    long_ = F.when(F.col("text").rlike(UNSPACED_AROUND), F.transform(lines, lambda x: words(x) + signs(x) >= MIN_WORDS))
+    long_ = long_.otherwise(F.transform(lines, lambda x: words(x) >= MIN_WORDS))
+    d = docs.select("o", "h", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), long_.alias("long"))
     d = materialise(d.dropDuplicates(["o", "h"]))
     held = d.select("o", "h", F.explode(F.array_distinct("lines")).alias("line"))
-    first = held.groupBy("line").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").drop("last")
-    shared = held.join(first, "line").groupBy("o", "h").agg(F.collect_list(F.struct("line", "first")).alias("shared"))
-    reduced = d.join(shared, ["o", "h"]).mapInPandas(_reduced, f"{LEAD}, form binary, whole array<int>")
+    first = held.groupBy("line").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count(F.lit(1)).alias("held"))
+    first = first.where("first < last").drop("last")
+    shared = held.join(first, "line").groupBy("o", "h").agg(F.collect_list(F.struct("line", "first", "held")).alias("shared"))
+    reduced = d.join(shared, ["o", "h"]).mapInPandas(_reduced, f"{LEAD}, form binary, whole array<int>, rare array<long>")
     reduced = materialise(reduced)
     lead = reduced.groupBy("form").agg(F.min("o").alias("lead"))
     known = reduced.join(lead, "form")
-    leads = materialise(known.where("o = lead").select("o", "h", "size", "at", "line", "long", "first"))
+    leads = materialise(known.where("o = lead").select("o", "h", "size", "at", "line", "long", "first", "rare"))
     later = known.where("o > lead").select("o", "h", F.col("whole").alias("gone"))
     return later.union(_leads_removed(leads))
 

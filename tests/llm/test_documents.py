@@ -478,6 +478,13 @@ def test_lines_against_all_earlier_documents(spark):
     assert got[4, "z\nq"] == 2
 
 
+def test_lines_without_spaces(spark):
+    line = "这一行没有空格但是足够长"
+    rows = [(1, f"甲\n{line}\n乙", None, None), (2, f"{line}\n短", None, None), (3, "短\n短", None, None)]
+    got = {r.doc_id: r.text for r in dedup_lines(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "短", 3: "短\n短"}
+
+
 def test_scores(spark, nasty):
     got = score_texts(table(spark, nasty)).collect()
     assert len(got) == len(nasty)
