@@ -19,7 +19,7 @@ from silkmill.llm.bpe_automaton import MergeAutomaton, load
 from silkmill.llm.common import as_doc, from_doc, share
 
 #: Words whose path is kept (some 250 bytes each); a full table starts anew.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 60_000
 #: Longer words are encoded each time.
 MEMO_LENGTH = 64
 #: Characters of text that are encoded before their results become Arrow arrays.

@@ -23,9 +23,9 @@ FALSE_REJECTION = 0.002
 #: Letters that count at most towards the certainty of a prediction.
 EVIDENCE = 60
 #: Scores that a worker keeps, words times languages; a full table starts anew.
-MEMO_SCORES = 1_600_000
-#: Different words of texts that are scored together.
-WORDS_AT_ONCE = 20_000
+MEMO_SCORES = 800_000
+#: Different words, and words in all, of texts that are scored together.
+WORDS_AT_ONCE, ALL_AT_ONCE = 20_000, 200_000
 UNDETERMINED = "und"
 
 
@@ -102,13 +102,15 @@ class Predictor:
         """Predictions in order; the new words of some texts are scored together."""
         waiting: list[list[str]] = []
         new: set[str] = set()
+        n = 0
         for text in texts:
             words = letter_words(text)
             waiting.append(words)
             new.update(words)
-            if len(new) >= WORDS_AT_ONCE:
+            n += len(words)
+            if len(new) >= WORDS_AT_ONCE or n >= ALL_AT_ONCE:
                 yield from self._together(waiting, new)
-                waiting, new = [], set()
+                waiting, new, n = [], set(), 0
         yield from self._together(waiting, new)
 
     def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
