@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+import zlib
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,14 +30,14 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 class Shared:
-    """A broadcast object of a class of this package: its bytes carry the class along."""
+    """A broadcast object of a class of this package: its bytes carry the class along, compressed, as workers keep them."""
 
     def __init__(self, spark: SparkSession, value: object):
-        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.pickled = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))
 
     def load(self) -> object:
         """The object; to be called once in a task."""
-        return pickle.loads(self.pickled.value)
+        return pickle.loads(zlib.decompress(self.pickled.value))
 
 
 def share(spark: SparkSession, value: object) -> Shared:
