@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.bpe_automaton import MergeAutomaton, load
-from silkmill.llm.common import as_doc, from_doc, share
+from silkmill.llm.common import as_doc, from_doc, share, small_batches
 
 #: Words whose path is kept (some 250 bytes each); a full table starts anew.
 MEMO_WORDS = 60_000
@@ -131,6 +131,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: boo
     text become their ids.  Rows are independent: repeated rows give repeated results, an
     empty table an empty one.  Columns of the input stay, but for ones with these names.
     """
+    small_batches(docs.sparkSession)
     model = share(docs.sparkSession, load(path))
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     kinds |= {"token_ids": "array<int>"} if token_ids else {}

@@ -14,6 +14,8 @@ from silkmill.session import shared_folder
 
 #: Rounds after which component search gives up; each at least halves the longest chain.
 MAX_ROUNDS = 60
+#: Bytes of the Arrow batches that workers get, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
 
 
 def materialise(frame: DataFrame) -> DataFrame:
@@ -29,6 +31,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: 10,000 rows of long texts would fill the executor and its workers.
+
+    The setting is read when a query runs, so it stays in the session; one that is there already is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Shared:
     """A broadcast object of a class of this package: its bytes carry the class along, compressed, as workers keep them."""
 

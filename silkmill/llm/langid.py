@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import as_doc, from_doc, share
+from silkmill.llm.common import as_doc, from_doc, share, small_batches
 from silkmill.llm.langid_model import LanguageModels, letter_words
 
 #: Bound of the training sample: labelled documents per language (expected; a hash decides).
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text")
     Only the text decides, so repeated rows get the same prediction.  Other columns stay;
     columns with the names of the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = share(docs.sparkSession, models)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")

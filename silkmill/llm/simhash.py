@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import as_doc, components, from_doc, hamming, materialise
+from silkmill.llm.common import as_doc, components, from_doc, hamming, materialise, small_batches
 from silkmill.llm.simhash_fp import fingerprint
 
 MAX_BITS = 4
@@ -54,6 +54,7 @@ def key_masks() -> list[int]:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", width: int = 4) -> DataFrame:
     """Adds the fingerprint of the whole text as a signed long."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

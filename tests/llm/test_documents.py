@@ -586,3 +586,19 @@ def test_subpackage_is_apart():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "silkmill.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_arrow_batches_are_bounded_by_bytes_and_a_session_setting_is_kept(spark):
+    from silkmill.llm.common import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        small_batches(spark)
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+        spark.conf.set(key, "12345")
+        small_batches(spark)
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
