@@ -83,6 +83,28 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_score", F.round("base_score", 9))  # sums in another order differ in the last digits
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silkmill.llm.fill_middle import fill_middle, restored
+
+    out = fill_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
@@ -226,6 +248,56 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 """
 
 
+#: Every document with the letters of the filters that it fails, counted by part and letters, then for each order and step.
+AUDIT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+  CASE WHEN first IS NOT NULL AND coalesce(first < doc_id, true) THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, string_split(fails, '') AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, f.fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, s, o[s] AS own, string_split(o[1:s - 1], '') AS earlier FROM o, (SELECT unnest(range(1, 6)) AS s)),
+c AS (SELECT *, list_contains(fails, own) AS now, list_has_any(fails, list_filter(earlier, lambda y: y <> '')) AS gone FROM m, s),
+r AS (SELECT part, o, s, own, sum(CASE WHEN now OR gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN now AND NOT gone THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN now AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN now AND len(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN now AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN now AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM c GROUP BY part, o, s, own)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+
+#: All pairs, and what each vector reaches step by step.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+fit AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(r, s) AS (SELECT r, r FROM v UNION SELECT reach.r, b FROM reach JOIN links ON s = a),
+c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = s GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
+#: Lines by pattern, cuts by slices of their list.
+FILL_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(t, '[^
+]*
+|[^
+]+') AS l, list_transform(range(4), lambda k: CAST('0x' || h[1 + 8 * k:8 + 8 * k] AS BIGINT)) AS g FROM d),
+n AS (SELECT *, len(l) AS n, g[1] % (len(l) + 1) AS x, g[2] % (len(l) + 1) AS y, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR g[3] % 100 >= 100 THEN 'plain'
+  WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(l[1:least(x, y)], '') AS prefix, array_to_string(l[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(l[greatest(x, y) + 1:], '') AS suffix FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op4_topk": TOPK_SQL, "op5_lm_scoring": score_sql(), "op6_quality": quality_sql(), "op7_pii": personal_data_sql(), "op9_suffix_dedup": REPEATS_SQL}
+    return {"op4_topk": TOPK_SQL, "op5_lm_scoring": score_sql(), "op6_quality": quality_sql(), "op7_pii": personal_data_sql(), "op9_suffix_dedup": REPEATS_SQL,
+            "op11_filter_audit": AUDIT_SQL, "op12_embedding_dedup": NEAR_VECTORS_SQL, "op13_fill_middle": FILL_MIDDLE_SQL}
