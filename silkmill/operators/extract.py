@@ -74,26 +74,28 @@ def inline_scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return out.where(F.octet_length("code") > INLINE_BYTES).withColumnRenamed("k", key)
 
 
-def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key, url, tag, pos, href, link``: every anchor and script of a page, resolved.
+def links(pages: DataFrame, key: str | tuple[str, ...] = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key, url, tag, pos, href, link``: every anchor and script of a page, resolved; ``key`` may be several columns.
 
     Null pages have no links; broken HTML gives what can be read of it.
     """
-    kind = pages.schema[key].dataType.simpleString()
+    keys = (key,) if isinstance(key, str) else key
+    own = [f"k{n}" for n in range(len(keys))]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, u, h in zip(pdf["k"], pdf["u"], pdf["h"], strict=True):
+            for u, h, *k in zip(pdf["u"], pdf["h"], *[pdf[c] for c in own], strict=True):
                 parser = _parsed(h)
                 base = _resolve(u, parser.base) if parser.base else u
                 ordered = sorted(enumerate(parser.found), key=lambda x: (x[1][0] != "a", x[0]))
-                rows += [(k, u, tag, n, href, _resolve(base, href)) for n, (_, (tag, href)) in enumerate(ordered)]
-            yield pd.DataFrame(rows, columns=["k", "url", "tag", "pos", "href", "link"])
+                rows += [(*k, u, tag, n, href, _resolve(base, href)) for n, (_, (tag, href)) in enumerate(ordered)]
+            yield pd.DataFrame(rows, columns=[*own, "url", "tag", "pos", "href", "link"])
 
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
-    out = rows.mapInPandas(of, f"k {kind}, url string, tag string, pos int, href string, link string")
-    return out.withColumnRenamed("k", key)
+    rows = pages.select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(url).alias("u"), F.col(html).alias("h"))
+    kinds = ", ".join(f"{k} {pages.schema[c].dataType.simpleString()}" for c, k in zip(keys, own, strict=True))
+    out = rows.mapInPandas(of, f"{kinds}, url string, tag string, pos int, href string, link string")
+    return out.withColumnsRenamed(dict(zip(own, keys, strict=True)))
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from silkmill.functions.urls import host, path
+from silkmill.operators.dedupe import mode_rank
+from silkmill.operators.ordinal import running
 
 
 def file_name(url: Column) -> Column:
@@ -42,37 +44,72 @@ def numbered_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "t
     return files.withColumn("file_path", joined).drop("_name", "_host")
 
 
-def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "target", url: str = "url", seq: str = "seq") -> DataFrame:
-    """``target, seq, file_path`` by the exact rule: the first free number, in order of arrival.
+#: A name that another one's numbering can make: what is before the number, the number, the extension.
+NUMBERED = r"\A(.*)_([1-9][0-9]{0,8})(\.[^./]*|)\z"
 
-    The rule is sequential among names that can meet: those of a host with the same extension and the same
-    base less its trailing numbers.  Such a family is one group.  Null targets are a target.
-    """
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        free: dict[str, int] = {}
-        paths = []
-        for h, name in pdf.sort_values("seq")[["h", "n"]].itertuples(index=False):
-            name = at = "" if name == "/" else name
-            dot = name.rfind(".")
-            base, ext = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
-            k = free.get(name, 1)
-            while at in taken:
-                at, k = f"{base}_{k}{ext}", k + 1
-            free[name] = k
-            taken.add(at)
-            paths.append(f"{h}/{at}" if at else h)
-        out = pdf.sort_values("seq")[["t", "seq"]].copy()
-        out["p"] = paths
-        return out
-
-    rows = files.select(
-        F.col(target).cast("string").alias("t"), F.col(seq).cast("long").alias("seq"), source_host(F.col(url)).alias("h"), file_name(F.col(url)).alias("n")
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For the names of one family: was the natural name taken by another's number, and which requests skip a number.
+
+    ``c`` files have the name, ``k`` is its number as a child of ``parent``, and ``q`` of the parent's files come before the
+    name's first one.  Parents come before children; children of one parent in order of their numbers.
+    """
+    count = dict(zip(pdf["n"], pdf["c"], strict=True))
+    lost = dict.fromkeys(count, False)
+    skipped: dict[str, list[int]] = {n: [] for n in count}
+    met = pdf[pdf["parent"].notna()]
+    met = met.assign(depth=met["n"].str.len()).sort_values(["depth", "k"])
+    for n, parent, k, q in met[["n", "parent", "k", "q"]].itertuples(index=False):
+        request = int(k) - len(skipped[parent])  # the parent's request that would take this number
+        if request > count[parent] - 1 + lost[parent]:
+            continue
+        if request - lost[parent] >= q:
+            skipped[parent].append(request)
+        else:
+            lost[n] = True
+    out = pdf[["t", "h", "n"]].copy()
+    out["lost"], out["skipped"] = [int(lost[n]) for n in pdf["n"]], [skipped[n] for n in pdf["n"]]
+    return out
+
+
+def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "target", url: str = "url", seq: str = "seq", tie: tuple[str, ...] = ("mode",)) -> DataFrame:
+    """``files`` with ``file_path`` by the exact rule: the first free number, in order of arrival.
+
+    Static files arrive before dynamic ones, then ``seq`` counts, then the URL.  A file is known by target, URL, ``seq`` and
+    those of the columns ``tie`` that there are; rows equal in these share a path.  Null targets are a target.
+
+    A name's files are numbered by running sums.  Only where a file is by nature called like another one's number do
+    names depend on each other: then a row for each such name, with the number of the other's files before it, is
+    settled in order, and tells which numbers are skipped.  So no task sees all files of a name, but one sees the
+    numbered names of a family (one base and extension in a host) in which some name occurs twice.
+    """
+    known = [target, url, seq, *[c for c in tie if c in files.columns]]
+    rank = mode_rank(F.col("mode")) if "mode" in known else F.lit(0)
+    name = file_name(F.col(url))
+    rows = files.select(*known).distinct().select(
+        F.struct(*known).alias("id"), F.struct(F.col(target).cast("string").alias("t"), source_host(F.col(url)).alias("h")).alias("at"),
+        F.when(name == "/", "").otherwise(name).alias("n"), F.struct(rank.alias("r"), F.col(seq).alias("s"), F.col(url).alias("u"), F.struct(*known).alias("i")).alias("o"),
     )
-    family = F.regexp_replace("n", r"(?:_[0-9]+)+(?=(?:\.[^.]*)?\z)", "")
-    out = rows.groupBy("t", "h", family.alias("family")).applyInPandas(of, "t string, seq long, p string")
-    return out.select(F.col("t").alias(target), "seq", F.concat_ws("/", F.lit(out_dir), "t", F.lit(subdir), "p").alias("file_path"))
+    names = rows.groupBy("at", "n").agg(F.count(F.lit(1)).alias("c"), F.min("o").alias("o"))
+    names = names.withColumn("family", F.regexp_replace("n", r"(?:_[0-9]+)+(?=(?:\.[^.]*)?\z)", "")).checkpoint()
+    met = names.groupBy("at", "family").agg(F.max("c").alias("most"), F.count(F.lit(1)).alias("kinds")).where("most > 1 AND kinds > 1")
+    names = names.join(met.select("at", "family"), ["at", "family"], "left_semi")
+    part = {x: F.regexp_extract("n", NUMBERED, n) for x, n in (("before", 1), ("k", 2), ("after", 3))}
+    made = names.where(F.col("n").rlike(NUMBERED)).select("at", F.col("n").alias("child"), "o", F.concat(part["before"], part["after"]).alias("n"), part["k"].cast("long").alias("k"))
+    made = made.join(names.select("at", "n"), ["at", "n"], "left_semi")
+    none = F.lit(None)
+    asked = made.select("at", "n", "o", none.cast(rows.schema["id"].dataType).alias("id"), "child", "k")
+    counted = running(rows.select("at", "n", "o", "id", none.cast("string").alias("child"), none.cast("long").alias("k")).unionByName(asked), ["at", "n"], ["o"], "j", F.col("id").isNotNull().cast("long"))
+    children = counted.where("child IS NOT NULL").select("at", F.col("child").alias("n"), F.col("n").alias("parent"), "k", F.col("j").alias("q"))
+    families = names.join(children, ["at", "n"], "left").select("at.t", "at.h", "family", "n", "c", "parent", "k", "q")
+    settled = families.groupBy("t", "h", "family").applyInPandas(_settled, "t string, h string, n string, lost long, skipped array<long>")
+    settled = settled.select(F.struct("t", "h").alias("at"), "n", "lost", "skipped").checkpoint()
+    files_ = counted.where("child IS NULL").join(settled, ["at", "n"], "left").withColumn("request", F.col("j") + F.coalesce("lost", F.lit(0)))
+    more = F.coalesce(F.size(F.filter("skipped", lambda x: x <= F.col("request"))), F.lit(0))
+    called = with_number(F.col("n"), F.when(F.col("request") == 0, F.lit(0).cast("long")).otherwise(F.col("request") + more))
+    path_ = F.concat_ws("/", F.lit(out_dir), "at.t", F.lit(subdir), "at.h", F.nullif(called, F.lit("")))
+    paths = files_.select(F.col("id").alias("_id"), path_.alias("file_path"))
+    return files.withColumn("_own", F.struct(*known)).join(paths, F.col("_own") == F.col("_id")).drop("_own", "_id")
 
 
 def _inflated(data: bytes, wbits: int) -> bytes:

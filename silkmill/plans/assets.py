@@ -13,6 +13,7 @@ from silkmill.functions.detect import is_javascript_content, is_obfuscated
 from silkmill.functions.urls import extension, is_javascript, resolve
 from silkmill.operators.dedupe import content_hash, first_by_url, mark_duplicates
 from silkmill.operators.paths import decompressed, greedy_paths
+from silkmill.session import stored
 from silkmill.sources.responses import captured
 
 
@@ -54,22 +55,27 @@ def source_maps(files: DataFrame, responses: DataFrame) -> DataFrame:
     """Files that are no duplicates with the response of their source map, where one was captured."""
     asked = files.where(~F.col("is_duplicate")).withColumn("ref", source_map_reference(F.col("code"))).where("ref <> ''")
     asked = asked.select("target", "url", resolve(F.col("url"), F.col("ref")).alias("map_url"))
-    found = responses.select(F.col("target_url").alias("target"), F.col("url").alias("map_url"), F.octet_length("body").cast("long").alias("map_size"))
-    return asked.join(found.dropDuplicates(["target", "map_url"]), ["target", "map_url"], "left")
+    found = responses.select(F.col("target_url").alias("_t"), F.col("url").alias("_u"), "mode", "seq", F.octet_length("body").cast("long").alias("map_size"))
+    found = first_by_url(found, ("_t", "_u")).drop("mode", "seq")
+    return asked.join(found, F.col("target").eqNullSafe(F.col("_t")) & (F.col("map_url") == F.col("_u")), "left").drop("_t", "_u")
+
+
+def with_paths(files: DataFrame, out_dir: str = "output") -> DataFrame:
+    """Files that are no duplicates, with the path of their body."""
+    return greedy_paths(files.where(~F.col("is_duplicate")), out_dir, "encode/js")
 
 
 def cleaned_files(files: DataFrame, out_dir: str = "output", deobfuscate: Callable[[str], str | None] | None = None) -> DataFrame:
-    """Cleaned code and its path for obfuscated files that are no duplicates.
+    """Cleaned code and its path for obfuscated files that are no duplicates; ``files`` may have their paths already.
 
     ``deobfuscate``: an outside tool from code to code or null, for Python workers; where it gives null or fails, the
     own cleaning takes its place.
     """
-    own = files.where(~F.col("is_duplicate"))
-    named = own.join(greedy_paths(own, out_dir, "encode/js"), ["target", "seq"]).where("is_obfuscated")
+    named = (files if "file_path" in files.columns else with_paths(files, out_dir)).where("is_obfuscated")
     code = cleaned(F.col("code"))
     if deobfuscate:
         code = F.coalesce(_outside(deobfuscate)(F.col("code")), code)
-    return named.select("target", "url", "seq", "file_path", decode_path(F.col("file_path")).alias("decode_path"), code.alias("code"))
+    return named.select("target", "mode", "url", "seq", "file_path", decode_path(F.col("file_path")).alias("decode_path"), code.alias("code"))
 
 
 def _outside(deobfuscate: Callable[[str], str | None]) -> Callable[[Column], Column]:
@@ -92,11 +98,11 @@ def source_map_files(files: DataFrame, responses: DataFrame, out_dir: str = "out
     asked = files.where(~F.col("is_duplicate") & (F.col("mode") == "static"))
     asked = asked.withColumn("ref", source_map_reference(F.col("code"))).where("ref IS NOT NULL")
     asked = asked.select("target", F.col("url").alias("js_file_url"), resolve(F.col("url"), F.col("ref")).alias("url"))
-    asked = asked.groupBy("target", "url").agg(F.min("js_file_url").alias("js_file_url"))
-    found = responses.where("status = 200").select(F.col("target_url").alias("target"), "url", "seq", "body")
-    found = first_by_url(found, ("target", "url")).join(asked, ["target", "url"])
-    found = found.withColumn("size", F.octet_length("body").cast("long")).withColumn("hash", content_hash(F.col("body")))
-    return found.join(greedy_paths(found, out_dir, "encode/map"), ["target", "seq"])
+    asked = asked.groupBy(F.col("target").alias("_t"), F.col("url").alias("_u")).agg(F.min("js_file_url").alias("js_file_url"))
+    found = responses.where("status = 200").select(F.col("target_url").alias("target"), "mode", "url", "seq", "body")
+    found = found.join(asked, F.col("target").eqNullSafe(F.col("_t")) & (F.col("url") == F.col("_u"))).drop("_t", "_u")
+    found = greedy_paths(first_by_url(found, ("target", "url")), out_dir, "encode/map")
+    return found.withColumn("size", F.octet_length("body").cast("long")).withColumn("hash", content_hash(F.col("body")))
 
 
 def success_files(files: DataFrame) -> DataFrame:
@@ -130,13 +136,17 @@ def write_reports(files: DataFrame, failed: DataFrame, maps: DataFrame, out_dir:
 
 
 def run(responses: DataFrame, out_dir: str) -> None:
-    """The dataflow with its writers: bodies, maps, cleaned code and reports under ``out_dir``."""
-    files = script_files(responses).persist()
-    try:
+    """The dataflow with its writers: bodies, maps, cleaned code and reports under ``out_dir``.
+
+    Files are unpacked and marked once and kept as a table in the shared folder, which is removed at the end.
+    """
+    spark, out = responses.sparkSession, out_dir.rstrip("/")
+    with stored(script_files(responses).drop("body")) as files:
+        body = with_paths(files, out_dir).withColumnRenamed("plain", "body")
+        body.select("target", "mode", "url", "seq", "hash", "size", "is_obfuscated", "file_path", "body").write.mode("overwrite").partitionBy("target").parquet(f"{out}/encode/js")
         failed, maps = failed_files(responses), source_map_files(files, responses, out_dir)
-        named = files.where(~F.col("is_duplicate")).join(greedy_paths(files.where(~F.col("is_duplicate")), out_dir, "encode/js"), ["target", "seq"])
-        for name, frame in (("encode/js", named.select("target", "url", "file_path", "plain")), ("encode/map", maps), ("decode/js", cleaned_files(files, out_dir))):
-            frame.write.mode("overwrite").partitionBy("target").parquet(f"{out_dir.rstrip('/')}/{name}")
-        write_reports(files, failed, maps, out_dir)
-    finally:
-        files.unpersist()
+        maps.write.mode("overwrite").partitionBy("target").parquet(f"{out}/encode/map")
+        kept = spark.read.schema("target string, mode string, url string, seq long, is_obfuscated boolean, file_path string, body binary").parquet(f"{out}/encode/js")
+        code = kept.withColumns({"code": F.try_validate_utf8(F.col("body").cast("string")), "is_duplicate": F.lit(False)})
+        cleaned_files(code, out_dir).write.mode("overwrite").partitionBy("target").parquet(f"{out}/decode/js")
+        write_reports(files, failed, maps.select("target", "url"), out_dir)

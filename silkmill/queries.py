@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkmill.functions import cleanup, detect, headers, urls
-from silkmill.operators import dedupe, extract, frontier, paths, stats
+from silkmill.operators import crawl, dedupe, extract, frontier, paths, similarity, stats
 from silkmill.plans import assets
 from silkmill.session import shared_folder
 from silkmill.sources.url_list import valid_urls
@@ -548,9 +548,20 @@ def file_path_numbered(spark, sf_dir):
     return paths.numbered_paths(_urls(spark, sf_dir), "out", "encode/js").select("target", "seq", "file_path")
 
 
-@query(_PATHS_SELECT.format(root="CASE WHEN i = 0 THEN '' ELSE '/_' || i END"))
+# Names of which some are like another one's number; the oracle hands out paths one after the other, family by family.
+@query("""WITH RECURSIVE f AS (SELECT event_type AS target, event_id AS seq, 'h' || (user_id % 3) AS host, 'm' || (user_id % 4) AS family, list_value('', '', '_1', '_2', '_1_1', '_3', '_01')[event_id % 7 + 1] AS tail FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY target, host, family ORDER BY seq) AS i FROM f),
+  r(target, host, family, i, seq, path, taken) AS (SELECT DISTINCT target, host, family, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM n
+    UNION ALL SELECT n.target, n.host, n.family, n.i, n.seq, p, list_append(taken, p) FROM (SELECT n.*, taken, list_filter(list_concat([n.family || tail || '.js'],
+      list_transform(range(1, len(taken) + 1), lambda k: n.family || tail || '_' || k || '.js')), lambda x: NOT list_contains(taken, x))[1] AS p
+    FROM r JOIN n ON n.target = r.target AND n.host = r.host AND n.family = r.family AND n.i = r.i + 1) n)
+  SELECT target, seq, 'out/' || target || '/encode/js/' || host || '/' || path AS file_path FROM r WHERE i > 0""")
 def file_path_greedy(spark, sf_dir):
-    return paths.greedy_paths(_urls(spark, sf_dir), "out", "encode/js")
+    tails = F.array(*[F.lit(x) for x in ("", "", "_1", "_2", "_1_1", "_3", "_01")])
+    i, u = F.col("event_id"), F.col("user_id")
+    url = F.concat(F.lit("https://h"), (u % 3).cast("string"), F.lit("/m"), (u % 4).cast("string"), F.get(tails, (i % 7).cast("int")), F.lit(".js?"), i.cast("string"))
+    files = _t(spark, sf_dir, "events").select(F.col("event_type").alias("target"), i.alias("seq"), url.alias("url"))
+    return paths.greedy_paths(files, "out", "encode/js").select("target", "seq", "file_path")
 
 
 @query("""SELECT doc_id, 'out/' || source || '/decode/js/h/encode/js/' || doc_id || '.js' AS path FROM documents""")
@@ -598,6 +609,141 @@ def source_map_files(spark, sf_dir):
     return assets.source_map_files(assets.script_files(r), r).select("target", "url", "js_file_url", "size", "hash", "file_path")
 
 
+# Responses of both modes with equal numbers of arrival, null targets, URLs that come again and repeated rows.
+_CAPTURES_SQL = f"""r AS (SELECT DISTINCT CASE WHEN doc_id % 11 > 0 THEN 't' || doc_id % 3 END AS target, CASE WHEN doc_id % 2 = 0 THEN 'static' ELSE 'dynamic' END AS mode, doc_id // 2 AS seq,
+    'https://a.example/' || (doc_id % 4) || '/' || (doc_id % 25) || '.js' AS url, 'var aa = 0x1F; ' || CASE WHEN doc_id % 5 > 0 THEN 'eval (x' ELSE 'name (x' END || doc_id % 45 || ');' AS body FROM documents),
+  f AS (SELECT *, sha256(body) AS hash, row_number() OVER (PARTITION BY target, mode, url ORDER BY seq) AS again FROM r),
+  m AS (SELECT *, row_number() OVER (PARTITION BY target, hash ORDER BY mode DESC, seq) > 1 AS is_duplicate, strlen(body) AS size, body LIKE '%eval%' AS is_obfuscated FROM f WHERE again = 1),
+  p AS (SELECT *, row_number() OVER (PARTITION BY target, regexp_extract(url, '[^/]*$') ORDER BY mode DESC, seq) - 1 AS i FROM m WHERE NOT is_duplicate),
+  named AS (SELECT *, concat_ws('/', 'output', target, 'encode/js/a.example', regexp_extract(url, '([^/]*).js$', 1) || CASE WHEN i > 0 THEN '_' || i ELSE '' END || '.js') AS file_path FROM p)"""
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    url = F.concat(F.lit("https://a.example/"), (i % 4).cast("string"), F.lit("/"), (i % 25).cast("string"), F.lit(".js"))
+    body = F.concat(F.lit("var aa = 0x1F; "), F.when(i % 5 > 0, "eval (x").otherwise("name (x"), (i % 45).cast("string"), F.lit(");"))
+    rows = _t(spark, sf_dir, "documents").select(
+        F.when(i % 11 > 0, F.concat(F.lit("t"), (i % 3).cast("string"))).alias("target_url"), url.alias("url"), F.lit(0).alias("depth"),
+        F.when(i % 2 == 0, "static").otherwise("dynamic").alias("mode"), F.expr("doc_id div 2").alias("seq"), F.lit(200).alias("status"),
+        F.lit("text/javascript").alias("content_type"), F.lit(None).cast("string").alias("content_encoding"), body.cast("binary").alias("body"),
+    )
+    return rows.unionAll(rows.where("seq % 3 = 0"))
+
+
+@query(f"WITH {_CAPTURES_SQL} SELECT target, mode, url, seq, hash, size, is_duplicate, is_obfuscated FROM m")
+def script_files(spark, sf_dir):
+    return assets.script_files(_captures(spark, sf_dir)).select("target", "mode", "url", "seq", "hash", "size", "is_duplicate", "is_obfuscated")
+
+
+@query(f"""WITH {_CAPTURES_SQL} SELECT target, mode, url, file_path, replace(file_path, '/encode/js/', '/decode/js/') AS decode_path, sha256(replace(body, '0x1F', '31')) AS h
+  FROM named WHERE is_obfuscated""")
+def cleaned_files(spark, sf_dir):
+    out = assets.cleaned_files(assets.script_files(_captures(spark, sf_dir)))
+    return out.select("target", "mode", "url", "file_path", "decode_path", F.sha2("code", 256).alias("h"))
+
+
+# Similar documents: every pair of different texts by its common runs of five words.
+_SIMILAR_SQL = r"""RECURSIVE ids AS (SELECT doc_id, strlen(text) AS size, min(doc_id) OVER (PARTITION BY text) AS class FROM documents),
+  w AS (SELECT doc_id AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IN (SELECT class FROM ids)),
+  s AS (SELECT id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+  n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+  j AS (SELECT a, b, c / (x.n + y.n - c)::DOUBLE AS similarity FROM (SELECT s.id AS a, t.id AS b, count(*) AS c FROM s JOIN s t ON s.s = t.s AND s.id < t.id GROUP BY ALL) JOIN n x ON x.id = a JOIN n y ON y.id = b),
+  near AS (SELECT * FROM j WHERE similarity >= 0.8),
+  reach(id, x) AS (SELECT class, class FROM ids UNION SELECT reach.id, CASE WHEN x = a THEN b ELSE a END FROM reach JOIN near ON x = a OR x = b),
+  g AS (SELECT id, min(x) AS group_id FROM reach GROUP BY id),
+  m AS (SELECT doc_id AS id, size, group_id, CASE WHEN class = group_id THEN 1.0 ELSE coalesce(similarity, 0.0) END AS similarity FROM ids JOIN g ON g.id = class LEFT JOIN j ON a = group_id AND b = class)"""
+
+
+@query(f"WITH {_SIMILAR_SQL} SELECT a, b, similarity FROM near")
+def near_dup_pairs(spark, sf_dir):
+    return similarity.near_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_SIMILAR_SQL} SELECT id, group_id, similarity FROM m")
+def similarity_members(spark, sf_dir):
+    return similarity.members(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH {_SIMILAR_SQL} SELECT group_id, group_id AS represent_file, count(*) AS member_count, round(avg(similarity) FILTER (id <> group_id), 9) AS avg_similarity,
+  min(similarity) FILTER (id <> group_id) AS min_similarity, max(similarity) FILTER (id <> group_id) AS max_similarity, CAST(sum(size) FILTER (id <> group_id) AS BIGINT) AS total_saved_size
+  FROM m GROUP BY group_id HAVING count(*) > 1""")
+def similarity_groups(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("size"))
+    return similarity.groups(docs, "doc_id", "text").withColumn("avg_similarity", F.round("avg_similarity", 9))
+
+
+# A site for each third page: pages name two others of their site, its entry, another site, scripts, and what they named before.
+_SITE_HREFS = ["{a}.html", "/p/{b}.html#x", "/p/{t}.html", "https://site{u}.example/p/{u}.html", "#top", "mailto:a@b.example"]
+_SITE_SCRIPTS = ["/js/s{s}.js", "//cdn.example/lib{t}.js", "/js/none"]
+_SITE = {"a": "page_id // 3 * 6 + 3 + page_id % 3", "b": "page_id // 3 * 6 + 6 + page_id % 3", "t": "page_id % 3", "u": "(page_id + 1) % 3", "s": "page_id % 40"}
+
+
+def _site_list(parts: list[str]) -> str:
+    out = []
+    for x in parts:
+        text = "'" + x + "'"
+        for k, v in _SITE.items():
+            text = f"replace({text}, '{{{k}}}', CAST({v} AS VARCHAR))"
+        out.append(text)
+    return "[" + ", ".join(out) + "]"
+
+
+def _site_sql(depth: int, start: int, follow: str, script: str) -> str:
+    return rf"""RECURSIVE site AS (SELECT page_id, 't' || page_id % 3 AS target, 'https://site' || page_id % 3 || '.example/p/' || page_id || '.html' AS url, page_id % 11 <> 5 AS ok,
+    list_concat({_site_list(_SITE_HREFS)}, list_transform(regexp_extract_all(html, '<a [^>]*?"([^"]*?)"', 1), lambda x: replace(x, '&amp;', '&'))) AS a, {_site_list(_SITE_SCRIPTS)} AS s FROM pages),
+  links AS (SELECT target, url, ok, 'a' AS tag, unnest(a) AS href, unnest(range(len(a))) AS pos FROM site UNION ALL SELECT target, url, ok, 'script', unnest(s), unnest(range(len(s))) + len(a) FROM site),
+  resolved AS (SELECT *, regexp_replace({_FULL}, '#.*$', '') AS link FROM links WHERE NOT starts_with(href, '#')),
+  edges AS (SELECT *, {_IS_JS} AS js FROM resolved WHERE ok AND {_SCHEME.format('link')} IN ('http', 'https')),
+  r(target, url, depth, kind, path) AS (SELECT 't' || x, 'https://site' || x || '.example/p/' || x || '.html', {start}, 'page', []::BIGINT[] FROM (SELECT unnest([0, 1, 2]) AS x)
+    UNION ALL SELECT e.target, link, r.depth + 1, CASE WHEN r.depth < {depth} AND {follow} THEN 'page' ELSE 'script' END, list_append(path, pos)
+    FROM r JOIN edges e ON e.target = r.target AND e.url = r.url WHERE r.depth < {depth} AND {follow} OR {script}),
+  first AS (SELECT target, url, min(depth) AS depth FROM r GROUP BY ALL),
+  visits AS (SELECT target, url, depth, min(kind) AS kind, min(path) AS path FROM r JOIN first USING (target, url, depth) GROUP BY ALL),
+  scripts AS (SELECT 't' || page_id % 3 AS target, 'https://site' || page_id % 3 || '.example/js/s' || (page_id % 40) || '.js' AS url, min(page_id) AS seq, 'var a; function f() {{}} // ' || (page_id % 40 % 9) AS body FROM pages GROUP BY ALL)"""
+
+
+def _site(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Responses and seeds."""
+    p = _t(spark, sf_dir, "pages")
+    head = "".join(f'<a href="{x}">x</a>' for x in _SITE_HREFS) + "".join(f'<script src="{x}"></script>' for x in _SITE_SCRIPTS)
+    html, i = F.lit(head), F.col("page_id")
+    for k, v in _SITE.items():
+        html = F.replace(html, F.lit("{" + k + "}"), F.expr(f"cast({v.replace('//', 'div')} as string)"))
+    at = F.concat(F.lit("https://site"), (i % 3).cast("string"), F.lit(".example"))
+    target = F.concat(F.lit("t"), (i % 3).cast("string")).alias("target_url")
+    none = F.lit(None).cast("string").alias("content_encoding")
+    pages = p.select(target, F.concat(at, F.lit("/p/"), i.cast("string"), F.lit(".html")).alias("url"), F.lit(0).alias("depth"), F.lit(mode).alias("mode"), i.alias("seq"),
+                     F.when(i % 11 == 5, 404).otherwise(200).alias("status"), F.lit("Text/HTML; charset=utf-8").alias("content_type"), none, F.concat(html, F.col("html")).cast("binary").alias("body"))
+    body = F.concat(F.lit("var a; function f() {} // "), (i % 40 % 9).cast("string")).cast("binary").alias("body")
+    scripts = p.select(target, F.concat(at, F.lit("/js/s"), (i % 40).cast("string"), F.lit(".js")).alias("url"), F.lit(0), F.lit(mode), i.alias("seq"), F.lit(200), F.lit("text/javascript"), none, body)
+    seeds = p.where("page_id < 3").select(target.alias("target"), F.concat(at, F.lit("/p/"), i.cast("string"), F.lit(".html")).alias("url"))
+    return pages.unionAll(scripts), seeds
+
+
+_STATIC_SITE = _site_sql(4, 1, "tag = 'a'", "tag = 'script' AND js")
+_DYNAMIC_SITE = _site_sql(3, 0, f"{_HOST.format('link')} = 'site' || r.target[2:] || '.example' AND {_HOST.format('link')} = {_HOST.format('r.url')}", "tag = 'script' AND js")
+
+
+@query(f"WITH {_STATIC_SITE} SELECT target, url, CAST(depth AS INT) AS depth, kind, (target, url) IN (SELECT (target, url) FROM site) OR (target, url) IN (SELECT (target, url) FROM scripts) AS found FROM visits")
+def crawl_replay(spark, sf_dir):
+    responses, seeds = _site(spark, sf_dir, "static")
+    return crawl.replay(responses, seeds, crawl.Rules(4, "static", True)).drop("place")
+
+
+@query(f"WITH {_DYNAMIC_SITE} SELECT target, url, CAST(depth AS INT) AS depth, row_number() OVER (PARTITION BY target ORDER BY depth, path) - 1 AS ordinal FROM visits")
+def visit_order(spark, sf_dir):
+    responses, seeds = _site(spark, sf_dir, "dynamic")
+    return crawl.visit_order(crawl.replay(responses, seeds, crawl.Rules(3, "dynamic", False))).select("target", "url", "depth", "ordinal")
+
+
+@query(f"""WITH {_STATIC_SITE} SELECT target, url, CAST(depth AS INT) AS depth, sha256(body) AS hash, row_number() OVER (PARTITION BY target, body ORDER BY seq) > 1 AS is_duplicate
+  FROM visits JOIN scripts USING (target, url)""")
+def crawl_files(spark, sf_dir):
+    responses, seeds = _site(spark, sf_dir, "static")
+    visits = crawl.replay(responses, seeds, crawl.Rules(4, "static", True))
+    return crawl.crawled_files(responses, visits).select("target", "url", "depth", "hash", "is_duplicate")
+
+
 @query(f"""WITH {_FILES_SQL} SELECT seq, to_json({{'url': url, 'size': size, 'hash': hash, 'crawl_mode': mode}})::VARCHAR AS entry FROM marked WHERE NOT is_duplicate""")
 def report_json(spark, sf_dir):
     f = dedupe.mark_duplicates(_files(spark, sf_dir)).where("NOT is_duplicate")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "silkmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,9 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     have = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or (have.get() if have.isDefined() else None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # executors of local-cluster are apart
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="silkmill-checkpoint-")
     if not have.isDefined():
         context.setCheckpointDir(folder)
     return folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def stored(frame: DataFrame) -> Iterator[DataFrame]:
+    """``frame`` as a compressed table in the shared folder: computed once, read often, gone at the end."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/silkmill-{uuid.uuid4().hex}"
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        remove_folder(spark, path)
