@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from silkmill.functions import headers
+from silkmill.operators.crawl import Rules, replay
 from silkmill.plans import assets
 from silkmill.session import session
 from silkmill.sources import config
@@ -19,7 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--config", help="configuration file")
     p.add_argument("-u", "--url", help="only responses of this target")
     p.add_argument("-f", "--url-file", help="only responses of the targets in this list")
-    p.add_argument("-H", "--header", action="append", default=[], help="'Name: Value', may be repeated; checked only")
+    p.add_argument("-H", "--header", action="append", default=[], help="'Name: Value', may be repeated; checked")
+    p.add_argument("--replay", action="store_true", help="only responses that a crawl of the targets asks for; its state stays in the output folder, where --resume finds it")
     p.add_argument("--validate-config", action="store_true", help="check the configuration and stop")
     for flag, name, kind in (
         (("-d", "--depth"), "depth", int), (("-w", "--wait"), "wait_time", int), (("-m", "--mode"), "mode", str), (("--threads",), "max_workers", int),
@@ -31,6 +37,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def header_errors(spark: SparkSession, lines: list[str]) -> list[str]:
+    """What is wrong with header lines."""
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", headers.parsed(F.col("line")).alias("h"))
+    text = F.coalesce(F.col("h.error"), headers.problem_text(F.col("h.name"), F.col("h.value")))
+    return [f"{r.line!r}: {r.text}" for r in rows.select("line", text.alias("text")).where("text IS NOT NULL").collect()]
+
+
 def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
     settings = config.load_all(given.config, vars(given))
@@ -40,15 +53,24 @@ def main(args: list[str] | None = None) -> None:
     if not given.url and not given.url_file:
         parser().error("--url or --url-file is needed")
     spark = session()
+    if given.header and (wrong := header_errors(spark, given.header)):
+        parser().error("; ".join(wrong))
+    out = given.output or settings.output.base_dir
     responses = read_responses(spark, given.responses)
     if settings.crawl.mode != "all":
         responses = responses.where(responses.mode == settings.crawl.mode)
     if given.url:
-        responses = responses.where(responses.target_url == given.url)
+        targets = spark.createDataFrame([(given.url,)], "target_url string")
     else:
         targets = read_url_list(spark, given.url_file).select("url").distinct().withColumnRenamed("url", "target_url")
-        responses = responses.join(targets, "target_url", "left_semi")
-    assets.run(responses, given.output or settings.output.base_dir)
+    responses = responses.join(targets, "target_url", "left_semi")
+    if given.replay or settings.crawl.resume:
+        seeds = targets.select(F.col("target_url").alias("target"), F.col("target_url").alias("url"))
+        for mode in ("static", "dynamic") if settings.crawl.mode == "all" else (settings.crawl.mode,):
+            rules = Rules(settings.crawl.depth, mode, settings.crawl.allow_cross_domain)
+            asked = replay(responses, seeds, rules, f"{out}/state/{mode}", settings.crawl.resume).select(F.col("target").alias("target_url"), "url", F.lit(mode).alias("mode"))
+            responses = responses.where(responses.mode != mode).unionByName(responses.where(responses.mode == mode).join(asked, ["target_url", "url", "mode"], "left_semi").select(responses.columns))
+    assets.run(responses, out)
 
 
 if __name__ == "__main__":

@@ -12,11 +12,14 @@ REPLACEMENT = "�"
 
 
 def replaced(text: Column, pattern: str, swap: Callable[[Column], Column]) -> Column:
-    """Every match of ``pattern`` replaced by an expression over it, in one pass."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pieces = F.zip_with(between, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(swap(m))))
-    return F.array_join(pieces, "")
+    """Every match of ``pattern`` replaced by an expression over it, in one pass; the text is computed once."""
+
+    def once(code: Column) -> Column:
+        found = F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(F.split(code, pattern, -1), found, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(swap(m))))
+        return F.array_join(pieces, "")
+
+    return F.get(F.transform(F.array(text), once), F.lit(0))
 
 
 def _decimal(match: Column) -> Column:

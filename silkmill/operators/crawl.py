@@ -20,7 +20,7 @@ from silkmill.functions.urls import host, is_javascript, scheme
 from silkmill.operators.dedupe import first_by_url
 from silkmill.operators.extract import links
 from silkmill.operators.ordinal import running
-from silkmill.plans.assets import script_files
+from silkmill.plans.assets import failure, script_files
 from silkmill.session import shared_folder
 
 VISITS = "target string, url string, depth int, kind string, found boolean, place long"
@@ -195,3 +195,14 @@ def crawled_files(responses: DataFrame, visits: DataFrame, mode: str = "static")
     met = own.join(asked, F.col("target_url").eqNullSafe(F.col("_t")) & (F.col("url") == F.col("_u"))).withColumn("depth", F.col("_depth"))
     return script_files(met.drop("_t", "_u", "_depth"))
 
+
+
+def failed_requests(responses: DataFrame, visits: DataFrame, mode: str = "static") -> DataFrame:
+    """``target, url, error_type, error_msg, retries``: asked for in vain: no response, or a page's response without success.
+
+    What a script's response holds is judged by its content, whatever its status: :func:`silkmill.plans.assets.failed_files`.
+    """
+    own = responses.where((F.col("mode") == mode) & ~is_javascript(F.col("url"))).select(F.col("target_url").alias("_t"), F.col("url").alias("_u"), "mode", "seq", "status")
+    bad = first_by_url(own, ("_t", "_u")).where(~F.coalesce(F.col("status").between(200, 202), F.lit(False)))
+    met = visits.join(bad, F.col("target").eqNullSafe(F.col("_t")) & (F.col("url") == F.col("_u")), "left")
+    return met.where(~F.col("found") | F.col("_u").isNotNull()).select("target", "url", *failure())

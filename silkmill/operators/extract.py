@@ -74,6 +74,14 @@ def inline_scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return out.where(F.octet_length("code") > INLINE_BYTES).withColumnRenamed("k", key)
 
 
+def page_rows(html: str | None, url: str | None) -> list[tuple[str, int, str, str | None]]:
+    """Tag, place, reference and link of a page's anchors, then of its scripts."""
+    page = _parsed(html)
+    base = _resolve(url, page.base) if page.base else url
+    ordered = sorted(enumerate(page.found), key=lambda x: (x[1][0] != "a", x[0]))
+    return [(tag, n, href, _resolve(base, href)) for n, (_, (tag, href)) in enumerate(ordered)]
+
+
 def links(pages: DataFrame, key: str | tuple[str, ...] = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, tag, pos, href, link``: every anchor and script of a page, resolved; ``key`` may be several columns.
 
@@ -86,10 +94,7 @@ def links(pages: DataFrame, key: str | tuple[str, ...] = "page_id", url: str = "
         for pdf in batches:
             rows = []
             for u, h, *k in zip(pdf["u"], pdf["h"], *[pdf[c] for c in own], strict=True):
-                parser = _parsed(h)
-                base = _resolve(u, parser.base) if parser.base else u
-                ordered = sorted(enumerate(parser.found), key=lambda x: (x[1][0] != "a", x[0]))
-                rows += [(*k, u, tag, n, href, _resolve(base, href)) for n, (_, (tag, href)) in enumerate(ordered)]
+                rows += [(*k, u, *x) for x in page_rows(h, u)]
             yield pd.DataFrame(rows, columns=[*own, "url", "tag", "pos", "href", "link"])
 
     rows = pages.select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(url).alias("u"), F.col(html).alias("h"))

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkmill.functions import cleanup, detect, headers, urls
-from silkmill.operators import crawl, dedupe, extract, frontier, paths, similarity, stats
+from silkmill.functions import cleanup, detect, headers, sql, urls
+from silkmill.operators import crawl, dedupe, extract, frontier, paths, registry, similarity, stats
+from silkmill.operators.graph import materialise
 from silkmill.plans import assets
-from silkmill.session import shared_folder
+from silkmill.session import scratch, shared_folder
+from silkmill.sources import archive
 from silkmill.sources.url_list import valid_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -744,6 +746,56 @@ def crawl_files(spark, sf_dir):
     return crawl.crawled_files(responses, visits).select("target", "url", "depth", "hash", "is_duplicate")
 
 
+@query(f"""WITH {_FILES_SQL}, b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END AS run FROM files),
+  o AS (SELECT *, row_number() OVER w AS k, first_value(url) OVER w AS first FROM b WINDOW w AS (PARTITION BY target, hash ORDER BY run, mode DESC, seq))
+  SELECT target, mode, seq, k > 1 AS is_duplicate, CASE WHEN k > 1 THEN first END AS duplicate_of FROM o WHERE run = 2""")
+def registry_marks(spark, sf_dir):
+    """Two runs; the second one's files are marked against the first one's hashes."""
+    files = _files(spark, sf_dir).select("target", "mode", "seq", "url", "hash")
+    with scratch(spark) as folder:
+        known = registry.HashRegistry(spark, folder, 8)
+        known.add(known.mark(files.where("seq % 3 = 0"), "one"), "one")
+        out = materialise(known.mark(files.where("seq % 3 > 0"), "two").select("target", "mode", "seq", "is_duplicate", "duplicate_of"))
+        known.forget()
+    return out
+
+
+@query("""SELECT 't' || page_id % 3 AS target_url, url, 'static' AS mode, 200 AS status, sha256(html) AS h FROM pages WHERE page_id % 2 = 0 AND page_id % 5 > 0""")
+def archive_responses(spark, sf_dir):
+    """Pages in compressed archives, read by the data source, whose filters leave out half of them undecoded."""
+    archive.register(spark)
+    i = F.col("page_id")
+    rows = _t(spark, sf_dir, "pages").select(
+        F.concat(F.lit("t"), (i % 3).cast("string")).alias("target_url"), "url", F.lit(0).alias("depth"), F.when(i % 2 == 0, "static").otherwise("dynamic").alias("mode"),
+        F.when(i % 5 == 0, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.base64(F.col("html").cast("binary")).alias("body_base64"),
+    )
+    with scratch(spark) as folder:
+        rows.write.option("compression", "gzip").json(folder)
+        found = spark.read.format("silkmill_archive").load(folder).where("mode = 'static' AND status = 200")
+        return materialise(found.select("target_url", "url", "mode", "status", F.sha2("body", 256).alias("h")))
+
+
+@query(f"""WITH {_FILES_SQL} SELECT 'out/' || target || '/encode/js/cdn.example.com/' || seq || '.js' AS file_path, hash, size FROM marked WHERE NOT is_duplicate""")
+def files_on_disk(spark, sf_dir):
+    """Files without duplicates under their exact paths, and what then lies there."""
+    archive.register(spark)
+    text = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("body"))
+    named = assets.with_paths(dedupe.mark_duplicates(_files(spark, sf_dir)), "out").join(text, "seq")
+    with scratch(spark) as folder:
+        named.select("file_path", "body").write.format("silkmill_files").mode("append").save(folder)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.js").load(folder)
+        return materialise(files.select(F.regexp_extract("path", "(out/.*)$", 1).alias("file_path"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size")))
+
+
+@query(f"""WITH {_RESOLVED_SQL} SELECT page_id, CAST(pos AS INT) AS pos, link, {_HOST.format('link')} AS host, {_IS_JS} AS is_js FROM r WHERE {_SCHEME.format('link')} IN ('http', 'https')""")
+def sql_links(spark, sf_dir):
+    """The table function and scalar functions in SQL text."""
+    sql.register(spark)
+    _pages(spark, sf_dir).createOrReplaceTempView("silkmill_pages")
+    return spark.sql("""SELECT p.page_id, l.pos, l.link, url_host(l.link) AS host, is_javascript_url(l.link) AS is_js
+      FROM silkmill_pages p, LATERAL extract_links(p.html, p.url) l WHERE url_scheme(l.link) IN ('http', 'https')""")
+
+
 @query(f"""WITH {_FILES_SQL} SELECT seq, to_json({{'url': url, 'size': size, 'hash': hash, 'crawl_mode': mode}})::VARCHAR AS entry FROM marked WHERE NOT is_duplicate""")
 def report_json(spark, sf_dir):
     f = dedupe.mark_duplicates(_files(spark, sf_dir)).where("NOT is_duplicate")

@@ -51,12 +51,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def stored(frame: DataFrame) -> Iterator[DataFrame]:
-    """``frame`` as a compressed table in the shared folder: computed once, read often, gone at the end."""
-    spark = frame.sparkSession
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new path in the shared folder; what is written there is gone at the end."""
     path = f"{shared_folder(spark).rstrip('/')}/silkmill-{uuid.uuid4().hex}"
     try:
-        frame.write.option("compression", "zstd").parquet(path)
-        yield spark.read.schema(frame.schema).parquet(path)
+        yield path
     finally:
         remove_folder(spark, path)
+
+
+@contextmanager
+def stored(frame: DataFrame) -> Iterator[DataFrame]:
+    """``frame`` as a compressed table in the shared folder: computed once, read often, gone at the end."""
+    with scratch(frame.sparkSession) as path:
+        frame.write.option("compression", "zstd").parquet(path)
+        yield frame.sparkSession.read.schema(frame.schema).parquet(path)
