@@ -18,6 +18,8 @@ long run and every match is the leftmost one; repetitions of groups are bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from silkmill.llm.common import materialise, stored
 MIN_CONTEXTS = 3
 MIN_SHARE = 0.5
 MIN_BITS = 3.0
-#: Tables of at most so many rows (one or two words and hashes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 20_000
+#: Tables of at most so many bytes are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 2 << 20
+#: Code points of the pieces that a text is cut into, so that a span is cut out without counting from the text's start.
+CHUNK = 1024
 #: Changes between a letter and a digit that make a run of ``SECRET`` a secret.
 SECRET_TURNS = 4
 
@@ -73,30 +77,36 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``join`` over an array: every pass joins what lies twice as far, so n values take n log n steps."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def once(a: Column, k: Column) -> Column:
+        def back(x: Column, i: Column) -> Column:
+            other = F.get(a, i - F.call_function("shiftleft", F.lit(1), k))
+            return F.when(other.isNull(), x).otherwise(join(other, x))
+
+        return F.transform(a, back)
+
+    return F.aggregate(passes, values, once)
+
+
 def spans(text: Column, pattern: Column, kind: str) -> Column:
     """Array of ``(start, kind_no, end, match)`` of a pattern's matches in a text."""
     number = ALL_KINDS.index(kind)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-    empty = F.array().cast(EMPTY)
-    return F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.char_length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + x["g"]).alias("start"), F.lit(number).alias("kind_no"),
-                        (a["at"] + x["g"] + F.char_length(x["m"])).alias("end"), x["m"].alias("match"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def placed(parts: Column) -> Column:
+        sizes = F.zip_with(parts["found"], F.slice(parts["between"], F.lit(1), F.size(parts["found"])), lambda m, g: (F.char_length(m) + F.char_length(g)).cast("long"))
+        return bound(sizes, lambda z: F.zip_with(parts["found"], scanned(z, lambda a, b: a + b), lambda m, end: F.struct(
+            (end - F.char_length(m)).alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), m.alias("match"))))
+
+    parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return bound(parts, placed).cast(EMPTY)
 
 
 def base_spans(text: Column) -> Column:
@@ -123,10 +133,54 @@ def _entity(s: Column) -> Column:
     return F.when(s["kind_no"] >= 2, _digits(s["match"])).otherwise(F.lower(s["match"]))
 
 
+def clear(found: Column, of: Column) -> Column:
+    """The spans of ``found``, which do not overlap each other, that overlap none of ``of``.
+
+    All lie in one order, a span of ``found`` where it ends and one of ``of`` where it starts; what starts before an end reaches
+    over the span's start if the furthest end so far does.
+    """
+    mine = F.transform(found, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("is_other"), t.alias("span")))
+    others = F.transform(of, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_other"), b.alias("span")))
+
+    def kept(order: Column) -> Column:
+        reach = scanned(F.transform(order, lambda e: F.when(e["is_other"] == 1, e["span"]["end"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+        told = F.zip_with(order, reach, lambda e, r: F.struct(e["span"].alias("span"), ((e["is_other"] == 0) & (r <= e["span"]["start"])).alias("keep")))
+        return F.transform(F.filter(told, lambda x: x["keep"]), lambda x: x["span"])
+
+    alone = (F.size(found) == 0) | (F.size(of) == 0)
+    return F.when(alone, found).otherwise(bound(F.array_sort(F.concat(mine, others)), kept))
+
+
+def between(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to before ``end`` of a text that lies in pieces of ``CHUNK``."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head = F.get(chunks, first)
+    own = F.substring(head, (start % CHUNK + 1).cast("int"), (end - start).cast("int"))
+    inner = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.coalesce(F.left(F.get(chunks, last), (end % CHUNK).cast("int")), F.lit(""))
+    return F.when(end <= start, "").when(first == last, own).otherwise(F.concat(F.substring(head, (start % CHUNK + 1).cast("int"), F.lit(CHUNK)), inner, tail))
+
+
+def sanitised(text: Column, every: Column, names: Column) -> Column:
+    """A text with each span, in order, replaced by its kind's name; overlapping spans become one, named by the first."""
+
+    def built(parts: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(parts["reach"], i - 1), F.lit(0).cast("long"))
+            return F.when(s["start"] >= before, F.concat(between(parts["chunks"], before, s["start"]), F.element_at(names, s["kind_no"] + 1)))
+
+        rest = between(parts["chunks"], F.element_at(parts["reach"], -1), F.char_length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(every, piece), ""), rest)
+
+    reach = scanned(F.transform(every, lambda s: s["end"]), F.greatest).alias("reach")
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks")
+    return F.when(F.size(every) == 0, text).otherwise(bound(F.struct(reach, chunks), built))
+
+
 def _small(frame: DataFrame) -> tuple[DataFrame, int]:
-    """A materialised table, marked for broadcast if its count is within the bound, and the count."""
-    n = frame.count()
-    return (F.broadcast(frame) if n <= BROADCAST_ROWS else frame), n
+    """A materialised table, marked for broadcast if it is within the bound, and its number of rows."""
+    size = frame.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return (F.broadcast(frame) if (size["bytes"] or 0) <= BROADCAST_BYTES else frame), size["n"]
 
 
 def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -188,11 +242,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     secrets = F.filter(spans(F.col("text"), F.lit(SECRET), "secret"), lambda s: F.regexp_count(s["match"], turns) >= SECRET_TURNS)
     secrets = F.when(F.col("text").rlike("[A-Za-z0-9]{20}"), secrets).otherwise(F.array().cast(EMPTY))
 
-    def clear(found: Column, of: str) -> Column:
-        return F.filter(found, lambda t: ~F.exists(of, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-
-    out = out.withColumn("secrets", clear(secrets, "base")).withColumn("sure", F.concat("base", "secrets"))
-    out = out.withColumn("found", clear(extra, "sure"))
+    out = out.withColumn("secrets", clear(secrets, F.col("base"))).withColumn("sure", F.concat("base", "secrets"))
+    out = out.withColumn("found", clear(extra, F.col("sure")))
     out = out.withColumn("every", F.array_sort(F.concat("sure", "found")))
 
     def count(n: int) -> Column:
@@ -206,22 +257,5 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     ]
     if real:
         names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
-        piece = "array<struct<from:bigint,to:bigint,kind_no:int>>"
-        pieces = F.aggregate(
-            "every",
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(piece).alias("out")),
-            lambda a, s: F.struct(
-                F.greatest(a["at"], s["end"]).alias("at"),
-                F.when(s["start"] < a["at"], a["out"]).otherwise(
-                    F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("to"), s["kind_no"])))
-                ).alias("out"),
-            ),
-            lambda a: F.struct(a["at"].alias("at"), F.transform(
-                a["out"],
-                lambda p: F.concat(F.substring("text", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), F.element_at(names, p["kind_no"] + 1)),
-            ).alias("out")),
-        )
-        out = out.withColumn("pieces", pieces)
-        rest = F.substring("text", (F.col("pieces.at") + 1).cast("int"), F.char_length("text"))
-        columns.append(F.concat(F.array_join("pieces.out", ""), rest).alias("sanitised"))
+        columns.append(sanitised(F.col("text"), F.col("every"), names).alias("sanitised"))
     return out.select(*columns)
