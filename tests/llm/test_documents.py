@@ -8,6 +8,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -325,6 +326,19 @@ def test_long_runs_are_quick(spark):
     assert {r.spans for r in personal_data(table(spark, rows)).collect()} == {""}
 
 
+def test_many_matches_in_one_text(spark):
+    """Work grows as the matches, not as their square: one text holds 10^5 of them, with what lies between and beside."""
+    n = 50_000
+    emails, mixed = "é a@b.co " * n, "+1 650 555 1234;4111 1111 1111 1111 a1b2c3d4e5f60718293a4b5c x@1.2.3.4 " * (n // 5)
+    begun = time.monotonic()
+    got = {r.doc_id: r for r in personal_data(table(spark, [(1, emails, None, None), (2, mixed * 2, None, None)]), real=True).collect()}
+    assert time.monotonic() - begun < 90
+    assert got[1].n_email == n and got[1].sanitised == "é [EMAIL] " * n and got[1].spans.endswith(f",email:{9 * n - 7}:{9 * n - 1}")
+    two = got[2]
+    assert (two.n_email, two.n_ip, two.n_card, two.n_phone, two.n_secret) == (n // 5 * 2,) * 5
+    assert two.sanitised == "[PHONE];[CARD] [SECRET] [EMAIL] " * (n // 5 * 2)
+
+
 def test_disclosing_terms(spark, words):
     r = random.Random(14)
     def some(n):
