@@ -44,34 +44,29 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
 
 
-def build_trie(context: np.ndarray, child: np.ndarray, code: np.ndarray) -> Trie:
-    """The trie of bigrams in rising order."""
-    first = runs(context)
-    return Trie(context[first], np.concatenate([first, [len(context)]]), child, code, int(child.max(initial=0)) + 1)
-
-
-def score_bigrams(
-    context: np.ndarray, child: np.ndarray, count: np.ndarray, context_count: np.ndarray, lower: np.ndarray
-) -> np.ndarray:
-    """Codes of all bigrams asked for, with the model learned from those with a count.
+def learned(context: np.ndarray, child: np.ndarray, count: np.ndarray, context_count: np.ndarray, lower: np.ndarray) -> Trie:
+    """The trie of all bigrams with a count.
 
     Each row is one bigram in one part of the corpus: its training count there, the whole count
     of its context, and log10 P(w); the rows of a bigram are all here.
     """
-    key_width = int(child.max(initial=0)) + 1
-    known, number = np.unique(context, return_inverse=True)
-    key = number * key_width + child
+    seen = np.flatnonzero(count)
+    width = int(child[seen].max(initial=0)) + 1
+    _, number = np.unique(context[seen], return_inverse=True)
+    key = number * width + child[seen]
     order = np.argsort(key, kind="stable")  # parts come sorted, so this merges them
     first = runs(key[order])
-    rows = order[first]
-    total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
-    seen = total > 0
-    at = rows[seen]
-    trie = build_trie(context[at], child[at], coded(log_bigram(total[seen], context_count[at], lower[at])))
-    place = trie.find(context[rows], child[rows])
-    code = coded(log_bigram(np.zeros(len(rows)), context_count[rows], lower[rows]))
+    total = np.add.reduceat(count[seen[order]], first) if len(first) else np.zeros(0, np.int64)
+    at = seen[order[first]]
+    begin = runs(context[at])
+    code = coded(log_bigram(total, context_count[at], lower[at]))
+    return Trie.build(context[at][begin], np.concatenate([begin, [len(at)]]).astype(np.int64), child[at], code, width)
+
+
+def answered(trie: Trie, context: np.ndarray, child: np.ndarray, context_count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Codes of bigrams: what the trie has, and for others what their context leaves."""
+    place = trie.find(context, child)
+    code = coded(log_bigram(np.zeros(len(place)), context_count, lower))
     hit = place >= 0
     code[hit] = trie.codes[place[hit]]
-    out = np.empty(len(key), np.uint16)
-    out[order] = np.repeat(code, np.diff(np.concatenate([first, [len(key)]])))
-    return out
+    return code

@@ -7,8 +7,8 @@ numbers.  Blocks ask, shards answer, twice:
    shards add up the counts of all blocks, number the words, and answer both.
 2. A block sends its bigrams, each with its counts and the counts of its two words, to the
    shards of their contexts; the bigrams of a frequent context are dealt to shards one by one.  A
-   shard builds its trie from all counts, searches every bigram in it, and answers the codes of their
-   probabilities.
+   shard learns from all counts and hands out its trie as bytes.  In later tasks the trie's levels are mapped into
+   memory, every bigram is searched in them as they are, and the codes of the probabilities go back.
 
 A word or a bigram travels once for each block, however often it occurs there, so no shard
 depends on one of them.  A block sends only runs that hold something: at most one row for each
@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silkmill.llm.common import stored
-from silkmill.llm.lm_model import decoded, log_unigram, runs, score_bigrams
+from silkmill.llm.elias_fano import Trie
+from silkmill.llm.lm_model import answered, decoded, learned, log_unigram, runs
 from silkmill.llm.text import utf8_words
 
 #: Text bytes per shard and per block.
@@ -38,7 +39,7 @@ SHARD_BYTES, BLOCK_BYTES = 12 << 20, 12 << 20
 #: Words that occur more often in all texts have their bigrams dealt to shards one by one.
 SPLIT_FROM = 200_000
 # Row kinds.
-TEXTS, ASKED, TOTALS, ANSWERED = range(4)
+TEXTS, ASKED, TOTALS, ANSWERED, LEVELS = range(5)
 ROW = "kind int, shard int, block long, payload binary"
 COLUMNS = ["kind", "shard", "block", "payload"]
 
@@ -230,22 +231,36 @@ def _ask_bigrams(ends: int, shards: int) -> Callable:
     return of
 
 
-def _answer_bigrams(tokens: int, types: int) -> Callable:
-    """A shard's bigrams to the codes of their probabilities, for each block in the order asked."""
+def _asked_bigrams(pdf: pd.DataFrame, tokens: int, types: int) -> tuple[list[int], list[np.ndarray]]:
+    """How many bigrams each block asks about, and for all: context, child, training count there, context's count, log10 P(w)."""
+    parts: list[list[np.ndarray]] = []
+    for payload in pdf["payload"]:
+        context, context_count, n, step, word_count, count = _unpack(payload)
+        n = n.astype(np.int64)
+        child = np.cumsum(step.astype(np.int64))
+        first = np.cumsum(n) - n
+        child -= np.repeat(child[first] - step[first], n)
+        parts.append([np.repeat(np.cumsum(context.astype(np.int64)), n), child, count, np.repeat(context_count, n), word_count])
+    context, child, count, context_count, word_count = (np.concatenate([x[k] for x in parts]) for k in range(5))
+    return [len(x[0]) for x in parts], [context, child, count.astype(np.int64), context_count, log_unigram(word_count, tokens, types)]
+
+
+def _learn_bigrams(tokens: int, types: int) -> Callable:
+    """A shard's trie: its levels as bytes."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts: list[list[np.ndarray]] = []
-        for payload in pdf["payload"]:
-            context, context_count, n, step, word_count, count = _unpack(payload)
-            n = n.astype(np.int64)
-            child = np.cumsum(step.astype(np.int64))
-            first = np.cumsum(n) - n
-            child -= np.repeat(child[first] - step[first], n)
-            parts.append([np.repeat(np.cumsum(context.astype(np.int64)), n), child, count, np.repeat(context_count, n), word_count])
-        sizes = [len(x[0]) for x in parts]
-        context, child, count, context_count, word_count = (np.concatenate([x[k] for x in parts]) for k in range(5))
-        del parts
-        codes = score_bigrams(context, child, count.astype(np.int64), context_count, log_unigram(word_count, tokens, types))
+        _, asked = _asked_bigrams(pdf, tokens, types)
+        return _frame([(LEVELS, int(pdf["shard"].iloc[0]), -1, learned(*asked).to_bytes())])
+
+    return of
+
+
+def _answer_bigrams(tokens: int, types: int) -> Callable:
+    """A shard's bigrams and its trie to the codes of their probabilities, for each block in the order asked."""
+
+    def of(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+        sizes, (context, child, _, context_count, lower) = _asked_bigrams(pdf, tokens, types)
+        codes = answered(Trie.mapped(levels["payload"].iloc[0]), context, child, context_count, lower)
         at = np.cumsum(sizes) - sizes
         return _frame([
             (ANSWERED, shard, block, _pack(codes[a : a + n])) for shard, block, a, n in zip(pdf["shard"], pdf["block"], at, sizes, strict=True)
@@ -295,8 +310,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tokens, types = tokens + ends, types + (ends > 0)
     known = blocks.where(F.col("kind") == TEXTS).union(words.where(F.col("kind") == ANSWERED))
     bigrams = known.groupBy("block").applyInPandas(_ask_bigrams(ends, shards), ROW)
-    answers = bigrams.groupBy("shard").applyInPandas(_answer_bigrams(tokens, types), ROW)
-    # The same exchange of ``known`` serves both steps.
+    tries = bigrams.groupBy("shard").applyInPandas(_learn_bigrams(tokens, types), ROW)
+    answers = bigrams.groupBy("shard").cogroup(tries.groupBy("shard")).applyInPandas(_answer_bigrams(tokens, types), ROW)
+    # The same exchange of ``known`` serves both of its steps, and that of ``bigrams`` learning and answering.
     return known.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _finish(tokens, types, ends, shards),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

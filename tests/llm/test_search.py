@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from silkmill.llm import anchors as anchor_module
 from silkmill.llm.bit_sliced import SlicedBlock, top_k
 from silkmill.llm.common import components
-from silkmill.llm.elias_fano import EliasFano
-from silkmill.llm.lm_model import build_trie, decoded, log_unigram, score_bigrams
+from silkmill.llm.elias_fano import EliasFano, Trie
+from silkmill.llm.lm_model import answered, decoded, learned, log_unigram
 from silkmill.llm.simhash import drop_near_duplicates, key_masks, links, near_duplicates
 from silkmill.llm.simhash_fp import fingerprint
 from silkmill.llm.suffix_array import common_prefixes, repeats, suffix_array
@@ -218,8 +218,17 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 5), (300, 40), (300, 10**9), (2000, 2000), (5000, 1 << 60)):
         values = np.sort(r.integers(0, top, n))
         ef = EliasFano.build(values)
-        for begin, end in [(0, n), (n // 2, n), (n // 3, n // 2), (n, n), *[(k, k + 1) for k in range(0, n, 97)]]:
-            assert list(ef.slice(begin, end)) == list(values[begin:end])
+        assert ef.access(np.arange(n)).tolist() == values.tolist()
+        asked = np.unique(np.concatenate([values, values + 1, np.maximum(values - 1, 0), r.integers(0, 2 * top, 500), [0, top, 1 << 61]]))
+        held = set(values.tolist())
+        at = ef.place(asked)
+        assert [(x, values[k] if k >= 0 else None) for x, k in zip(asked.tolist(), at.tolist(), strict=True)] == [(x, x if x in held else None) for x in asked.tolist()]
+        first = np.searchsorted(values, asked)
+        assert (at[at >= 0] == first[at >= 0]).all()  # of equal values the first
+        if n > 10:
+            begin, end = np.full(len(asked), 3), np.full(len(asked), n - 3)
+            within = ef.place(asked, begin, end)
+            assert [x >= 0 for x in within.tolist()] == [x in set(values[3 : n - 3].tolist()) for x in asked.tolist()] and within.max() < n - 3
 
 
 def test_trie_finds_what_it_holds():
@@ -228,7 +237,9 @@ def test_trie_finds_what_it_holds():
         pairs = np.unique(np.stack([r.integers(0, contexts, n), r.integers(0, width, n)], 1), axis=0)
         held = pairs[r.random(len(pairs)) < 0.6]
         codes = r.integers(0, 65536, len(held)).astype(np.uint16)
-        trie = build_trie(held[:, 0], held[:, 1], codes)
+        contexts_, begin = np.unique(held[:, 0], return_index=True)
+        trie = Trie.build(contexts_, np.append(begin, len(held)), held[:, 1], codes, int(held[:, 1].max(initial=0)) + 1)
+        trie = Trie.mapped(trie.to_bytes())
         where = {tuple(x): k for k, x in enumerate(held.tolist())}
         near = np.unique(np.concatenate([pairs, pairs + [0, 1], pairs + [1, 0]]), axis=0)
         assert trie.find(near[:, 0], near[:, 1]).tolist() == [where.get(tuple(x), -1) for x in near.tolist()]
@@ -244,10 +255,23 @@ def test_bigrams_are_a_distribution():
     for v in (1, 7):
         of = {w: bigrams[v, w] for w in range(vocabulary)}
         n = vocabulary
-        codes = score_bigrams(
-            np.full(n, v), np.arange(n), np.array([of[w] for w in range(n)]), np.full(n, sum(of.values())), np.array([log1[w] for w in range(n)])
-        )
+        asked = (np.full(n, v), np.arange(n), np.array([of[w] for w in range(n)]), np.full(n, sum(of.values())), np.array([log1[w] for w in range(n)]))
+        trie = learned(*asked)
+        assert len(trie.codes) == sum(x > 0 for x in of.values())
+        codes = answered(trie, asked[0], asked[1], *asked[3:])
         assert abs((10 ** decoded(codes)).sum() - 1) < 1e-3
+        none = learned(*(x[:0] for x in asked))
+        assert (10 ** decoded(answered(none, asked[0], asked[1], *asked[3:]))).sum() < 0.9  # all is in the trie: without it the bigrams are missing
+
+
+def test_levels_are_compact():
+    r = np.random.default_rng(3)
+    n = 200_000
+    context = r.integers(0, 1 << 20, n // 4)
+    pairs = np.unique(np.stack([context[r.integers(0, n // 4, n)], r.integers(0, 1 << 20, n)], 1), axis=0)
+    trie = learned(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), np.int64), np.full(len(pairs), 9), np.full(len(pairs), -4.0))
+    plain = pairs.nbytes + 2 * len(pairs)
+    assert len(trie.to_bytes()) < 0.5 * plain
 
 
 def test_crc_is_the_same_everywhere(spark):
