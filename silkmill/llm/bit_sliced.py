@@ -28,28 +28,42 @@ KEPT = 8
 
 
 class SlicedBlock:
-    """Bit-sliced index of one block of integer rows."""
+    """Bit-sliced index of one block of integer rows: ``slices`` of what is over each attribute's ``low``, and that itself."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        n, dims = rows.shape
-        self.low = rows.min(axis=0)
-        shifted = rows - self.low
-        self.bits = max(1, int(shifted.max()).bit_length())
-        self.dropped = max(0, self.bits - KEPT)
-        words = (n + 63) // 64
-        kept = self.bits - self.dropped
-        self.slices = np.zeros((dims, kept, words * 8), np.uint8)
-        for k in range(kept):
-            bit = ((shifted >> (self.dropped + k)) & 1).astype(np.uint8)
-            packed = np.packbits(bit.T, axis=1, bitorder="little")
-            self.slices[:, k, : packed.shape[1]] = packed
-        self.slices = self.slices.view(np.uint64)
-        valid = np.zeros(words * 8, np.uint8)
-        mask = np.packbits(np.ones(n, np.uint8), bitorder="little")
+    def __init__(self, low: np.ndarray, over: np.ndarray, bits: int, slices: np.ndarray):
+        self.low, self.over, self.bits, self.slices = low, over, bits, slices
+        self.dropped = max(0, bits - KEPT)
+        valid = np.zeros(slices.shape[2] * 8, np.uint8)
+        mask = np.packbits(np.ones(len(over), np.uint8), bitorder="little")
         valid[: len(mask)] = mask
         self.valid = valid.view(np.uint64)
 
+    @classmethod
+    def build(cls, rows: np.ndarray) -> SlicedBlock:
+        n, dims = rows.shape
+        low = rows.min(axis=0)
+        over = rows - low
+        bits = max(1, int(over.max()).bit_length())
+        dropped = max(0, bits - KEPT)
+        slices = np.zeros((dims, bits - dropped, (n + 63) // 64 * 8), np.uint8)
+        for k in range(bits - dropped):
+            packed = np.packbits(((over >> (dropped + k)) & 1).astype(np.uint8).T, axis=1, bitorder="little")
+            slices[:, k, : packed.shape[1]] = packed
+        narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if bits <= np.iinfo(t).bits - (t is np.int64))
+        return cls(low, over.astype(narrow), bits, slices.view(np.uint64))
+
+    def to_bytes(self) -> bytes:
+        head = np.array([*self.over.shape, self.bits, self.slices.shape[1], ord(self.over.dtype.char)], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.low, self.slices, self.over))
+
+    @classmethod
+    def from_bytes(cls, payload: bytes) -> SlicedBlock:
+        n, dims, bits, kept, char = np.frombuffer(payload, np.int64, 5).tolist()
+        low, words = np.frombuffer(payload, np.int64, dims, 40), (n + 63) // 64
+        slices = np.frombuffer(payload, np.uint64, dims * kept * words, 40 + 8 * dims)
+        over = np.frombuffer(payload, np.dtype(chr(char)), n * dims, 40 + 8 * (dims + len(slices)))
+        return cls(low, over.reshape(n, dims), bits, slices.reshape(dims, kept, words))
+
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, lowest first, of the sums of weighted upper slices; complements for negative weights."""
         weight = np.abs(query)
@@ -111,8 +125,8 @@ class SlicedBlock:
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best."""
-        if len(self.rows) <= k:
-            return np.arange(len(self.rows))
+        if len(self.over) <= k:
+            return np.arange(len(self.over))
         sums = self.sums(query)
         # A dropped part is 0 .. 2^dropped - 1 for each attribute, kept parts count 2^dropped.
         slack = int(np.abs(query).sum()) * ((1 << self.dropped) - 1) >> self.dropped
@@ -122,7 +136,7 @@ class SlicedBlock:
         """Rows and exact scores of the k best, ties to the smaller id; ``own`` marks rows that are left out."""
         at = self.candidates(query, k + int(own.sum()))
         at = at[~own[at]]
-        score = self.rows[at] @ query
+        score = (self.over[at].astype(np.int64) + self.low) @ query
         order = np.lexsort((ids[at], -score))[:k]
         return at[order], score[order]
 
@@ -154,40 +168,37 @@ def top_k(
     spot = F.xxhash64("row")
     placed = v.join(F.broadcast(sizes), "dims")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(pdf: pd.DataFrame, sliced: bool) -> pd.DataFrame:
         rows = np.stack(pdf["v"].to_numpy()).astype(np.int64)
-        ids = pdf["id"].to_numpy(np.int64)
+        ids = np.stack([pdf["row"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)])
         return pd.DataFrame({
-            "dims": [int(pdf["dims"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "n": [len(pdf)],
-            "payload": [b"".join(a.tobytes() for a in (pdf["row"].to_numpy(np.int64), ids, rows))],
+            "dims": [int(pdf["dims"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "ids": [ids.tobytes()],
+            "payload": [SlicedBlock.build(rows).to_bytes() if sliced else rows.tobytes()],
         })
 
-    packed = "dims int, block long, n int, payload binary"
-    index = placed.withColumn("block", F.pmod(spot, F.col("blocks"))).groupBy("dims", "block").applyInPandas(pack, packed)
+    packed = "dims int, block long, ids binary, payload binary"
+    index = placed.withColumn("block", F.pmod(spot, F.col("blocks"))).groupBy("dims", "block")
+    index = materialise(index.applyInPandas(lambda pdf: pack(pdf, True), packed))  # slices are made once, whatever number of query blocks reads them
     asked = placed.where("is_query").withColumn("block", F.pmod(spot, F.col("query_blocks")))
-    asked = asked.groupBy("dims", "block").applyInPandas(pack, packed)
+    asked = asked.groupBy("dims", "block").applyInPandas(lambda pdf: pack(pdf, False), packed)
     index = index.join(F.broadcast(sizes), "dims").where("query_blocks > 0").select(
-        "dims", F.col("n").alias("n_index"), F.col("payload").alias("index"),
+        "dims", F.col("ids").alias("index_ids"), F.col("payload").alias("index"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("block"),
     )
     meet = index.join(asked, ["dims", "block"])
 
-    def unpack(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = np.frombuffer(payload, np.int64)
-        return a[:n], a[n : 2 * n], a[2 * n :].reshape(n, -1)
-
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                row, ids, rows = unpack(r.index_, r.n_index)
-                q_row, q_ids, q_rows = unpack(r.payload, r.n)
-                block, found = SlicedBlock(rows), []
+            for dims, index_ids, index, ids, payload in pdf.itertuples(index=False):
+                row, own_ids = np.frombuffer(index_ids, np.int64).reshape(2, -1)
+                q_row, q_ids = np.frombuffer(ids, np.int64).reshape(2, -1)
+                queries, block, found = np.frombuffer(payload, np.int64).reshape(-1, dims), SlicedBlock.from_bytes(index), []
                 for n in range(len(q_row)):
-                    at, score = block.top(q_rows[n], ids, row == q_row[n], k)
-                    found.append(pd.DataFrame({"q": q_row[n], "query_id": q_ids[n], "vec_id": ids[at], "score": score}))
+                    at, score = block.top(queries[n], own_ids, row == q_row[n], k)
+                    found.append(pd.DataFrame({"q": q_row[n], "query_id": q_ids[n], "vec_id": own_ids[at], "score": score}))
                 yield pd.concat(found)
 
-    found = meet.select("n_index", F.col("index").alias("index_"), "n", "payload")
+    found = meet.select("dims", "index_ids", "index", "ids", "payload")
     local = found.mapInPandas(search, "q long, query_id long, vec_id long, score long")
     best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(

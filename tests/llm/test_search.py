@@ -114,7 +114,7 @@ def test_sliced_block(low, high):
     r = np.random.default_rng(5)
     rows = r.integers(low, high, (500, 16))
     ids = r.permutation(500)
-    block = SlicedBlock(rows)
+    block = SlicedBlock.from_bytes(SlicedBlock.build(rows).to_bytes())
     for n in range(0, 500, 25):
         score = rows @ rows[n]
         want = [x for x in np.lexsort((ids, -score)) if x != n][:10]
