@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from silkmill.functions import headers
 from silkmill.operators.crawl import Rules, replay
-from silkmill.plans import assets
+from silkmill.plans import reports
 from silkmill.session import session
 from silkmill.sources import config
 from silkmill.sources.responses import read_responses
@@ -70,7 +70,7 @@ def main(args: list[str] | None = None) -> None:
             rules = Rules(settings.crawl.depth, mode, settings.crawl.allow_cross_domain)
             asked = replay(responses, seeds, rules, f"{out}/state/{mode}", settings.crawl.resume).select(F.col("target").alias("target_url"), "url", F.lit(mode).alias("mode"))
             responses = responses.where(responses.mode != mode).unionByName(responses.where(responses.mode == mode).join(asked, ["target_url", "url", "mode"], "left_semi").select(responses.columns))
-    assets.run(responses, out)
+    reports.run(responses, out, settings.crawl)
 
 
 if __name__ == "__main__":

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from silkmill.functions.urls import host, path
 from silkmill.operators.dedupe import mode_rank
 from silkmill.operators.ordinal import running
+from silkmill.session import shared_folder
 
 
 def file_name(url: Column) -> Column:
@@ -84,12 +85,13 @@ def greedy_paths(files: DataFrame, out_dir: str, subdir: str, target: str = "tar
     numbered names of a family (one base and extension in a host) in which some name occurs twice.
     """
     known = [target, url, seq, *[c for c in tie if c in files.columns]]
+    shared_folder(files.sparkSession)
     rank = mode_rank(F.col("mode")) if "mode" in known else F.lit(0)
     name = file_name(F.col(url))
     rows = files.select(*known).distinct().select(
         F.struct(*known).alias("id"), F.struct(F.col(target).cast("string").alias("t"), source_host(F.col(url)).alias("h")).alias("at"),
         F.when(name == "/", "").otherwise(name).alias("n"), F.struct(rank.alias("r"), F.col(seq).alias("s"), F.col(url).alias("u"), F.struct(*known).alias("i")).alias("o"),
-    )
+    ).checkpoint()
     names = rows.groupBy("at", "n").agg(F.count(F.lit(1)).alias("c"), F.min("o").alias("o"))
     names = names.withColumn("family", F.regexp_replace("n", r"(?:_[0-9]+)+(?=(?:\.[^.]*)?\z)", "")).checkpoint()
     met = names.groupBy("at", "family").agg(F.max("c").alias("most"), F.count(F.lit(1)).alias("kinds")).where("most > 1 AND kinds > 1")

@@ -12,8 +12,8 @@ from silkmill.functions.cleanup import cleaned, decode_path, source_map_referenc
 from silkmill.functions.detect import is_javascript_content, is_obfuscated
 from silkmill.functions.urls import extension, is_javascript, resolve
 from silkmill.operators.dedupe import content_hash, first_by_url, mark_duplicates
+from silkmill.operators.graph import materialise
 from silkmill.operators.paths import decompressed, greedy_paths
-from silkmill.session import stored
 from silkmill.sources.responses import captured
 
 
@@ -21,14 +21,15 @@ def script_files(responses: DataFrame) -> DataFrame:
     """Script files of ``schemas.RESPONSES`` rows: unpacked, recognised, one per URL, duplicates marked.
 
     A static response needs a script's URL and valid content, a dynamic one is what a browser's capture keeps.
-    Order: URL rule and content type (cheap) before the body's sample, URL before content hash.
+    Order: URL rule and content type (cheap) before the body's sample, URL before content hash.  Bodies are unpacked once: what
+    passes the gates is checkpointed.
     """
     static = decompressed(responses.where((F.col("mode") == "static") & is_javascript(F.col("url"))))
     static = static.where(is_javascript_content(F.col("content_type"), F.col("plain")))
     dynamic = captured(responses.where(F.col("mode") == "dynamic")).withColumn("plain", F.col("body")).withColumn("decode_error", F.lit(None).cast("string"))
-    files = first_by_url(static.unionByName(dynamic).withColumn("target", F.col("target_url")))
-    files = files.withColumn("hash", content_hash(F.col("plain"))).withColumn("size", F.octet_length("plain").cast("long"))
-    files = mark_duplicates(files).withColumn("extension", extension(F.col("url")))
+    found = static.unionByName(dynamic).withColumn("target", F.col("target_url"))
+    found = materialise(found.withColumn("hash", content_hash(F.col("plain"))).withColumn("size", F.octet_length("plain").cast("long")))
+    files = mark_duplicates(first_by_url(found)).withColumn("extension", extension(F.col("url")))
     files = files.withColumn("code", F.try_validate_utf8(F.col("plain").cast("string"))).withColumn("id", stable_id("target", "mode", "url"))
     return files.withColumn("is_obfuscated", F.coalesce(is_obfuscated(F.col("code")), F.lit(False)))
 
@@ -127,26 +128,3 @@ def report(files: DataFrame, failed: DataFrame | None = None, maps: DataFrame |
             counts = more.groupBy(F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias(name))
             out = out.join(counts, F.col("target").eqNullSafe(F.col("_t")), "left").drop("_t").fillna(0, [name])
     return out
-
-
-def write_reports(files: DataFrame, failed: DataFrame, maps: DataFrame, out_dir: str) -> None:
-    """The three reports as JSON lines, a folder for each target: ``crawl_report``, ``success_files``, ``failed_files``."""
-    for name, frame in (("crawl_report", report(files, failed, maps)), ("success_files", success_files(files)), ("failed_files", failed)):
-        frame.write.mode("overwrite").partitionBy("target").json(f"{out_dir.rstrip('/')}/reports/{name}")
-
-
-def run(responses: DataFrame, out_dir: str) -> None:
-    """The dataflow with its writers: bodies, maps, cleaned code and reports under ``out_dir``.
-
-    Files are unpacked and marked once and kept as a table in the shared folder, which is removed at the end.
-    """
-    spark, out = responses.sparkSession, out_dir.rstrip("/")
-    with stored(script_files(responses).drop("body")) as files:
-        body = with_paths(files, out_dir).withColumnRenamed("plain", "body")
-        body.select("target", "mode", "url", "seq", "hash", "size", "is_obfuscated", "file_path", "body").write.mode("overwrite").partitionBy("target").parquet(f"{out}/encode/js")
-        failed, maps = failed_files(responses), source_map_files(files, responses, out_dir)
-        maps.write.mode("overwrite").partitionBy("target").parquet(f"{out}/encode/map")
-        kept = spark.read.schema("target string, mode string, url string, seq long, is_obfuscated boolean, file_path string, body binary").parquet(f"{out}/encode/js")
-        code = kept.withColumns({"code": F.try_validate_utf8(F.col("body").cast("string")), "is_duplicate": F.lit(False)})
-        cleaned_files(code, out_dir).write.mode("overwrite").partitionBy("target").parquet(f"{out}/decode/js")
-        write_reports(files, failed, maps.select("target", "url"), out_dir)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from silkmill.functions import cleanup, detect, headers, sql, urls
 from silkmill.operators import crawl, dedupe, extract, frontier, paths, registry, similarity, stats
 from silkmill.operators.graph import materialise
-from silkmill.plans import assets
+from silkmill.plans import assets, reports
 from silkmill.session import scratch, shared_folder
 from silkmill.sources import archive
+from silkmill.sources.config import CrawlConfig
 from silkmill.sources.url_list import valid_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,10 +641,26 @@ def script_files(spark, sf_dir):
 @query(f"""WITH {_CAPTURES_SQL} SELECT target, mode, url, file_path, replace(file_path, '/encode/js/', '/decode/js/') AS decode_path, sha256(replace(body, '0x1F', '31')) AS h
   FROM named WHERE is_obfuscated""")
 def cleaned_files(spark, sf_dir):
-    out = assets.cleaned_files(assets.script_files(_captures(spark, sf_dir)))
+    out = assets.cleaned_files(materialise(assets.script_files(_captures(spark, sf_dir))))
     return out.select("target", "mode", "url", "file_path", "decode_path", F.sha2("code", 256).alias("h"))
 
 
+@query(f"""WITH {_CAPTURES_SQL}, g AS (SELECT target, count(*) AS n_success, sha256(string_agg(url || ' ' || file_path, ',' ORDER BY url, mode, seq)) AS entries, count(*) FILTER (mode = 'static') AS static_files,
+    count(*) FILTER (is_obfuscated) AS deobfuscated_files, CAST(sum(size) AS BIGINT) AS total_size FROM named GROUP BY target)
+  SELECT target AS target_url, 0 AS part, regexp_replace(md5(coalesce(target, '')), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS task_id, CAST(n_success AS INT) AS n_success,
+    0 AS n_failed, entries, n_success AS total_files, static_files, deobfuscated_files, total_size, 2 AS depth, concat_ws('/', 'out', target, 'encode') AS encode_dir FROM g""")
+def crawl_reports(spark, sf_dir):
+    files = materialise(assets.script_files(_captures(spark, sf_dir)).drop("body", "plain", "code"))
+    failed = assets.failed_files(_captures(spark, sf_dir).where("mode = 'none'"))
+    stats_ = reports.statistics(files, failed, failed)
+    out = reports.crawl_reports(assets.with_paths(files), failed, stats_, CrawlConfig(), "out")
+    entries = F.array_join(F.transform("success_files", lambda x: F.concat_ws(" ", x["url"], x["file_path"])), ",")
+    return out.select(
+        "target_url", "part", "task_id", F.size("success_files").alias("n_success"), F.size("failed_files").alias("n_failed"), F.sha2(entries, 256).alias("entries"),
+        *[f"stats.{x}" for x in ("total_files", "static_files", "deobfuscated_files", "total_size")], "config.depth", "encode_dir",
+    )
+
+
 # Similar documents: every pair of different texts by its common runs of five words.
 _SIMILAR_SQL = r"""RECURSIVE ids AS (SELECT doc_id, strlen(text) AS size, min(doc_id) OVER (PARTITION BY text) AS class FROM documents),
   w AS (SELECT doc_id AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IN (SELECT class FROM ids)),
@@ -866,6 +883,23 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema("target string, hash string").parquet(f"{at}/out").groupBy("target", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_FILES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY target, hash ORDER BY mode DESC, seq) AS k FROM files) SELECT target, hash, mode, seq, url FROM o WHERE k = 1""")
+def stream_first_wins(spark, sf_dir):
+    """Files in batches, dynamic ones and late numbers first: the stream's winners are those of one batch."""
+    from silkmill.streaming.first_wins import first_wins
+
+    rows = _files(spark, sf_dir).select("target", "hash", "mode", "seq", "url", F.timestamp_seconds(F.col("seq") % 1000 + 86400).alias("time"))
+    end = spark.sql("SELECT '' AS target, cast(id AS string) AS hash, 'static' AS mode, id AS seq, '' AS url, timestamp_seconds(id * 100000) AS time FROM range(5, 7)")
+    with scratch(spark) as folder:
+        for n, part in enumerate([rows.where("mode = 'dynamic'"), rows.where("mode = 'static' AND seq % 3 > 0"), rows.where("mode = 'static' AND seq % 3 = 0"), end.where("seq = 5"), end.where("seq = 6")]):
+            part.coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        found = first_wins(stream, "time", "1 hour", 3600)
+        run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+        return materialise(spark.read.schema(found.schema).parquet(f"{folder}/out").where("target <> ''"))
+
+
 @query(f"""WITH c AS (SELECT doc_id, source, text, {_OBF['evals'].replace('code', 'text')} OR {_OBF['marks'].replace('code', 'text')} OR {_OBF['escs'].replace('code', 'text')} > 5 OR {_OBF['hexes'].replace('code', 'text')} > 10
   OR coalesce({_OBF['singles'].replace('code', 'text')} / nullif(strlen(text), 0) > 0.01, false) AS obf FROM documents), d AS (SELECT source AS target, strlen(text) AS size, obf,
   row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id % 2, doc_id) > 1 AS dup FROM c)

@@ -271,3 +271,26 @@ def test_recall_of_bands():
         a, b = (similarity.band_hashes(similarity.np.array(sorted(x), similarity.np.int64)) for x in (base, other))
         found += bool(set(a.tolist()) & set(b.tolist()))
     assert found == n
+
+
+def test_report_in_parts(spark, monkeypatch):
+    """No part of a report holds more entries than it may; all parts together hold all."""
+    from datetime import datetime
+
+    from silkmill import schemas
+    from silkmill.plans import reports
+    from silkmill.sources.config import CrawlConfig
+
+    monkeypatch.setattr(reports, "PART_ENTRIES", 4)
+    files = spark.createDataFrame([(t, "static", k, f"u{k:02}", f"p{k}", "h", 1, False, k % 2 == 0) for t, n in (("https://h/", 10), (None, 3)) for k in range(n)], "target string, mode string, seq long, url string, file_path string, hash string, size long, is_duplicate boolean, is_obfuscated boolean")
+    failed = spark.createDataFrame([("https://h/", "f1", "e", "m", 0), ("z", "f2", "e", "m", 0)], "target string, url string, error_type string, error_msg string, retries int")
+    stats = reports.statistics(files, failed, files.limit(0), visits=files.where("seq < 2"))
+    out = reports.crawl_reports(files, failed, stats, CrawlConfig(depth=3), "o", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 1))
+    rows = {(r.target_url, r.part): r for r in out.collect()}
+    assert sorted(rows, key=str) == sorted([("https://h/", 0), ("https://h/", 1), ("https://h/", 2), (None, 0), ("z", 0)], key=str)
+    assert [f.url for p in range(3) for f in rows["https://h/", p].success_files] == [f"u{k:02}" for k in range(10)]
+    one = rows["https://h/", 1]
+    assert (one.stats.total_files, one.stats.visited_urls, one.stats.failed_files, one.stats.deobfuscated_files, one.duration, one.domain, one.config.depth) == (10, 2, 1, 5, 60.0, "h", 3)
+    assert [f.url for f in rows["z", 0].failed_files] == ["f2"] and rows["z", 0].success_files == [] and len(rows[None, 0].success_files) == 3
+    assert ", ".join(f"{n} {k}" for n, k in out.drop("part").dtypes) == ", ".join(f"{n} {k}" for n, k in spark.createDataFrame([], schemas.REPORT).dtypes)
+    assert [f.name for f in reports.map_files(files.withColumn("js_file_url", F.lit("x"))).schema] == [x.split()[0] for x in schemas.MAP_FILES.split(", ")]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silkmill.operators import dedupe, extract, frontier, paths, stats
-from silkmill.plans import assets
+from silkmill.plans import assets, reports
 from silkmill.sources import config, responses
 from silkmill.sources.url_list import read_url_list
 from silkmill.streaming.dedupe import first_contents, landed
@@ -126,7 +126,12 @@ def test_whole_dataflow(spark, tmp_path):
     report = assets.report(files, failed, maps).first()
     assert (report.files, report.duplicates, report.failed_files, report.map_files) == (3, 2, 1, 1)
     assert [x.url for x in assets.success_files(files).collect()] == ["https://h/a.js"]
-    assets.run(r, str(tmp_path / "out"))
+    reports.run(r, str(tmp_path / "out"))
+    whole = spark.read.json(str(tmp_path / "out/reports/crawl_report")).first()
+    assert (whole.stats.total_files, whole.stats.map_files, whole.stats.failed_files, whole.config.depth) == (1, 1, 1, 2) and whole.duration > 0
+    assert [(x.url, x.hash[:4]) for x in whole.success_files] == [("https://h/a.js", files.first().hash[:4])] and [x.url for x in whole.failed_files] == ["https://h/c.js"]
+    record = spark.read.json(str(tmp_path / "out/reports/js_files")).first()
+    assert (record.url, record.has_map_file, record.map_file_url, record.is_obfuscated) == ("https://h/a.js", True, "https://h/m.map", True)
     assert spark.read.parquet(str(tmp_path / "out/encode/js")).count() == 1 and spark.read.json(str(tmp_path / "out/reports/failed_files")).count() == 1
     assert assets.cleaned_files(files, deobfuscate=lambda c: "own").first().code == "own"
     assert "a1 = 31" in assets.cleaned_files(files, deobfuscate=lambda c: 1 / 0).first().code
