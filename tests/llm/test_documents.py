@@ -446,6 +446,52 @@ def test_alignment_without_unique_lines():
             assert not set(a[i + 1 : k]) & set(b[j + 1 : n])  # nothing common is given up
 
 
+def slow_blocks(a, b):
+    """Aligned runs of two lists by plain recursion and quadratic search, apart from the operator's own code."""
+    found = set()
+
+    def part(i, n, j, m):
+        if i < n and j < m and a[i] == b[j]:
+            found.add((i, j))
+            return part(i + 1, n, j + 1, m)
+        if i < n and j < m and a[n - 1] == b[m - 1]:
+            found.add((n - 1, m - 1))
+            return part(i, n - 1, j, m - 1)
+        ours, theirs = a[i:n], b[j:m]
+        pairs = [(i + x, j + theirs.index(v)) for x, v in enumerate(ours) if ours.count(v) == 1 == theirs.count(v)]
+        if not pairs:  # the n-th of each line with the n-th there
+            pairs = [(i + x, j + y) for x, v in enumerate(ours) for y, w in enumerate(theirs) if v == w and ours[:x].count(v) == theirs[:y].count(v)]
+        rank = []
+        for x, (_, y) in enumerate(pairs):
+            rank.append(1 + max((rank[z] for z in range(x) if pairs[z][1] < y), default=0))
+        chain = []
+        for r in range(max(rank, default=0), 0, -1):  # the latest end, and before each the latest that leads to it
+            chain.append(max(x for x, y in enumerate(rank) if y == r and (not chain or x < chain[-1] and pairs[x][1] < pairs[chain[-1]][1])))
+        ends = [pairs[x] for x in reversed(chain)]
+        for (p, q), (r, s) in zip([(i - 1, j - 1), *ends], [*ends, (n, m)], strict=True):
+            if ends:
+                part(p + 1, r, q + 1, s)
+        found.update(ends)
+        return None
+
+    part(0, len(a), 0, len(b))
+    out = []
+    for i, j in sorted(found):
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
+        else:
+            out.append((i, j, 1))
+    return out
+
+
+def test_alignment_against_plain_recursion():
+    r = random.Random(21)
+    for kinds, most in ((4, 9), (9, 12), (30, 30)):
+        for _ in range(700):
+            a, b = ([r.randint(0, kinds) for _ in range(r.randint(0, most))] for _ in range(2))
+            assert common_blocks(a, b) == slow_blocks(a, b)
+
+
 def test_lines(spark, nasty):
     rows = [x for x in nasty if x[0] is not None]
     got = dedup_lines(table(spark, rows)).collect()
@@ -458,7 +504,7 @@ def test_lines(spark, nasty):
     for r in got:
         mine, gone = texts[r.doc_id], set()
         for other in {first[x] for x in mine if first.get(x, r.doc_id) < r.doc_id}:
-            for _, j, n in common_blocks(texts[other], mine):
+            for _, j, n in slow_blocks(texts[other], mine):
                 if any(len(WORD.findall(x)) >= 5 for x in mine[j : j + n]):
                     gone |= set(range(j, j + n))
         assert r._n_removed == len(gone)
@@ -484,7 +530,7 @@ def test_lines_against_all_earlier_documents(spark):
         mine, gone = t.split("\n"), set()
         for e, u, *_ in rows:
             if e < i and any(map(long_, set(u.split("\n")) & set(mine))):
-                for _, j, n in common_blocks(u.split("\n"), mine):
+                for _, j, n in slow_blocks(u.split("\n"), mine):
                     if any(map(long_, mine[j : j + n])):
                         gone |= set(range(j, j + n))
         want[i, "\n".join(x for k, x in enumerate(mine) if k not in gone)] = len(gone)
@@ -583,15 +629,67 @@ def test_executors_need_no_installed_package(tmp_path):
     assert "all ran" in got.stdout, got.stderr[-2000:]
 
 
+def kept_lines_by_hand(rows):
+    """Texts less what aligns with any earlier document, all of them compared; documents that lose every word go. Ids are not null."""
+    long_ = lambda x: len(WORD.findall(x)) >= 5
+    out = []
+    for i, t in rows:
+        mine, gone = (t or "").split("\n"), set()
+        for e, u in rows:
+            if e < i and any(map(long_, set((u or "").split("\n")) & set(mine))):
+                for _, j, n in slow_blocks((u or "").split("\n"), mine):
+                    if any(map(long_, mine[j : j + n])):
+                        gone |= set(range(j, j + n))
+        left = "\n".join(x for k, x in enumerate(mine) if k not in gone)
+        if not gone or WORD.search(left):
+            out.append((i, left if gone else t))
+    return out
+
+
 def test_pipeline(spark, nasty):
-    docs = table(spark, nasty, clash=False)
-    for n, (_, stage) in enumerate(stages.STAGES):
-        out = stage(spark, docs, SF)
-        if n < len(stages.STAGES) - 1:
-            assert out.columns == docs.columns
-            docs = spark.createDataFrame(out.collect(), out.schema)
-    ids = {r.doc_id for r in out.collect()}
-    assert 1 in ids and 2 not in ids and 4 not in ids
+    """Every stage against its rule, over what the stages before it kept; columns with the names that stages use, and others, stay."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_search import grouped, slow_fingerprint
+
+    docs = table(spark, [x for x in nasty if x[0] is not None]).withColumn("token_ids", F.lit("own")).withColumn("_n_removed", F.lit(1))
+    names, key = docs.columns, lambda f: sorted((r.doc_id, r.text) for r in f)
+    kept = [docs.collect()]
+    for name, stage in stages.STAGES[:-1]:
+        out = stage(spark, spark.createDataFrame(kept[-1], docs.schema), SF)
+        assert out.columns == names, name
+        kept.append(out.collect())
+    given, known, lines, near, mixed = kept
+    told = {(r.doc_id, r.text): r.rejected for r in identify(docs.select("doc_id", "text"), fit(docs)).collect()}
+    assert key(known) == sorted((r.doc_id, r.text) for r in given if not told[r.doc_id, r.text]) and 10 < len(known) < len(given)
+    assert key(lines) == sorted(kept_lines_by_hand([(r.doc_id, r.text) for r in known])) and lines != known
+    prints = {r.doc_id: slow_fingerprint(r.text) for r in lines}
+    every = sorted(set(prints.values()))
+    label = grouped([(x, y) for n, x in enumerate(every) for y in every[:n] if (x ^ y).bit_count() <= 4], every)
+    heads = {}
+    for i, x in prints.items():
+        heads[label[x]] = min(heads.get(label[x], i), i)
+    assert sorted(r.doc_id for r in near) == sorted(heads.values()) and len(near) < len(lines)
+    counts_ = lambda t: len(WORD.findall(t or ""))
+    taken = Counter()
+    for r in mixed:
+        taken[r.doc_id] += counts_(r.text)
+    want = {r.doc_id: r.taken for r in mix(spark.createDataFrame(near, docs.schema)).taken().collect()}
+    assert {k: v for k, v in want.items() if v} == dict(taken) and all(taken[r.doc_id] <= 3 * counts_(r.text) for r in near)
+    last = stages.STAGES[-1][1](spark, spark.createDataFrame(mixed, docs.schema), SF)
+    tokenizer = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    ids = [tokenizer.encode(r.text or "", add_special_tokens=False).ids for r in mixed]
+    assert sorted((r.doc_id, list(r.token_ids)) for r in last.collect()) == sorted((r.doc_id, x) for r, x in zip(mixed, ids, strict=True))
+    assert set(names) - {"text"} <= set(last.columns) and "text" not in last.columns
+
+
+def test_pipeline_of_an_empty_table(spark):
+    docs = table(spark, [])
+    for _, stage in stages.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
 
 
 def test_subpackage_is_apart():
