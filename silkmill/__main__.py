@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from silkmill.sources.responses import read_responses
 from silkmill.sources.url_list import read_url_list
 
 
+VERSION = "0.3"
+
+
 def parser() -> argparse.ArgumentParser:
     """Options; those of the crawl without a default leave the configuration's value."""
     p = argparse.ArgumentParser(prog="silkmill", description=__doc__)
@@ -26,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", "--url-file", help="only responses of the targets in this list")
     p.add_argument("-H", "--header", action="append", default=[], help="'Name: Value', may be repeated; checked")
     p.add_argument("--replay", action="store_true", help="only responses that a crawl of the targets asks for; its state stays in the output folder, where --resume finds it")
+    p.add_argument("--log-level", choices=("trace", "debug", "info", "warning", "error"), help="in the console and in the log folder's files")
+    p.add_argument("--version", action="version", version=f"silkmill {VERSION}")
     p.add_argument("--validate-config", action="store_true", help="check the configuration and stop")
     for flag, name, kind in (
         (("-d", "--depth"), "depth", int), (("-w", "--wait"), "wait_time", int), (("-m", "--mode"), "mode", str), (("--threads",), "max_workers", int),
@@ -52,6 +58,9 @@ def main(args: list[str] | None = None) -> None:
         return
     if not given.url and not given.url_file:
         parser().error("--url or --url-file is needed")
+    logging_ = replace(settings.logging, **({"level": given.log_level} if given.log_level else {}))
+    log = config.log_to(logging_)
+    log.info("responses of %s, mode %s, depth %d", given.url or given.url_file, settings.crawl.mode, settings.crawl.depth)
     spark = session()
     if given.header and (wrong := header_errors(spark, given.header)):
         parser().error("; ".join(wrong))
@@ -71,6 +80,7 @@ def main(args: list[str] | None = None) -> None:
             asked = replay(responses, seeds, rules, f"{out}/state/{mode}", settings.crawl.resume).select(F.col("target").alias("target_url"), "url", F.lit(mode).alias("mode"))
             responses = responses.where(responses.mode != mode).unionByName(responses.where(responses.mode == mode).join(asked, ["target_url", "url", "mode"], "left_semi").select(responses.columns))
     reports.run(responses, out, settings.crawl)
+    log.info("files and reports are in %s", out)
 
 
 if __name__ == "__main__":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,8 +60,3 @@ def cleanup_counts(files: DataFrame) -> DataFrame:
     return files.agg(
         F.count_if(F.col("is_obfuscated") & F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed")
     )
-
-
-def numbered(files: DataFrame, keys: tuple[str, ...], seq: str) -> DataFrame:
-    """``collision``: how many earlier files have the same keys."""
-    return files.withColumn("collision", F.row_number().over(W.partitionBy(*keys).orderBy(seq)) - 1)

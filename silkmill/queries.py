@@ -245,6 +245,29 @@ def cleanup_all(spark, sf_dir):
     return _code(spark, sf_dir).select("doc_id", F.sha2(cleanup.cleaned(F.col("code")), 256).alias("h"))
 
 
+# Numbers and escapes that differ from document to document: names that look like numbers, 63-bit limits, escapes that make escapes, surrogates.
+_VARIED_SQL = r"""v AS (SELECT doc_id, 'x=0x' || printf('%x', doc_id * 7919) || ';_0x' || printf('%x', doc_id) || ' 0x7fffffffffffffff 0x8000000000000000 0x' || repeat('0', doc_id % 30) || 'F ' ||
+    '\x' || printf('%02x', 32 + doc_id % 95) || '\u' || printf('%04X', (doc_id * 37) % 65536) || ' \ud83d\ude00 \x5cu0041 \x4 \u12g' AS code FROM documents),
+  n AS (SELECT doc_id, string_split_regex(code, '0x[0-9a-fA-F]+') AS g, regexp_extract_all(code, '0x[0-9a-fA-F]+') AS m FROM v),
+  d AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN length(ltrim(m[i][3:], '0')) > 16 OR length(ltrim(m[i][3:], '0')) = 16 AND ltrim(m[i][3:], '0') >= '8'
+    THEN m[i] ELSE CAST(CAST('0x0' || ltrim(m[i][3:], '0') AS UBIGINT) AS VARCHAR) END), '') AS code FROM n),
+  b AS (SELECT doc_id, string_split_regex(code, '\\x[0-9a-fA-F]{2}') AS g, regexp_extract_all(code, '\\x[0-9a-fA-F]{2}') AS m FROM d),
+  e AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' ELSE chr(CAST('0x' || m[i][3:] AS INT)) END), '') AS code FROM b),
+  u AS (SELECT doc_id, string_split_regex(code, '\\u[0-9a-fA-F]{4}') AS g, regexp_extract_all(code, '\\u[0-9a-fA-F]{4}') AS m FROM e),
+  f AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN upper(m[i][3:]) BETWEEN 'D800' AND 'DFFF' THEN chr(65533)
+    ELSE chr(CAST('0x' || m[i][3:] AS INT)) END), '') AS code FROM u)"""
+
+
+@query(f"WITH {_VARIED_SQL} SELECT doc_id, code FROM f")
+def clean_varied(spark, sf_dir):
+    i = F.col("doc_id")
+    code = F.concat(
+        F.lit("x=0x"), F.lower(F.hex(i * 7919)), F.lit(";_0x"), F.lower(F.hex(i)), F.lit(" 0x7fffffffffffffff 0x8000000000000000 0x"), F.repeat(F.lit("0"), (i % 30).cast("int")), F.lit("F "),
+        F.lit("\\x"), F.lower(F.lpad(F.hex(32 + i % 95), 2, "0")), F.lit("\\u"), F.lpad(F.hex(i * 37 % 65536), 4, "0"), F.lit(" \\ud83d\\ude00 \\x5cu0041 \\x4 \\u12g"),
+    )
+    return _t(spark, sf_dir, "documents").select("doc_id", cleanup.decode_escapes(cleanup.hex_to_decimal(code)).alias("code"))
+
+
 # Every page with more links at its end: other attributes first, single and no quotes, entities, relative and other hosts, scripts.
 _MORE = (
     """<a class="b" href="/more/{0}?a=1&amp;b=2#f">x</a><A HREF='//other.example/{0}'>x</A><a href=rel{0}.html>x</a><a name="n">x</a>"""

@@ -42,11 +42,6 @@ def write_bodies(files: DataFrame, path: str) -> None:
     files.withColumn("source_host", host(F.col("url"))).write.mode("overwrite").partitionBy("target", "source_host").parquet(path)
 
 
-def write_json(frame: DataFrame, path: str) -> None:
-    """One JSON object per line."""
-    frame.write.mode("overwrite").json(path)
-
-
 def save_checkpoint(frame: DataFrame, path: str) -> None:
     """A crawl's state, see ``schemas.CHECKPOINT``."""
     frame.write.mode("overwrite").json(path)
