@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from silkmill.functions.urls import _resolve, is_javascript
 
+#: Tags whose attributes are read.
+PARSED = frozenset({"a", "base", *HTMLParser.CDATA_CONTENT_ELEMENTS, *getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()), "plaintext"})
+TAG_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
 #: Shorter inline scripts are of no interest.
 INLINE_BYTES = 100
 
@@ -25,6 +29,13 @@ class _Page(HTMLParser):
         self.base: str | None = None
         self.code: list[str] | None = None
 
+    def parse_starttag(self, i: int) -> int:
+        """Where a tag ends; attributes are read of those tags only that matter here, or that begin what is no markup."""
+        name = TAG_NAME.match(self.rawdata, i + 1)
+        if name and name.group().lower() not in PARSED:
+            return self.check_for_whole_start_tag(i)
+        return super().parse_starttag(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         wanted = {"a": "href", "script": "src", "base": "href"}.get(tag)
         value = next((v for k, v in attrs if k == wanted and v is not None), None)
