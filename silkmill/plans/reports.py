@@ -102,7 +102,8 @@ def crawl_reports(
 
     out = joined(joined(joined(parts, good, "target", "part"), bad, "target", "part"), stats, "target")
     seconds = (ended - started).total_seconds() if started and ended else None
-    known = {k: v for k, v in asdict(config).items() if k in schemas.CONFIG}
+    given = asdict(config)
+    known = {k: given[k] for k in (x.split(": ")[0] for x in schemas.CONFIG.split(", "))}
     at = F.concat_ws("/", F.lit(out_dir), F.col("target"))
     counts = F.struct(*[(F.col(c) if c in stats.columns else F.lit(seconds if c == "duration" else None).cast(t)).alias(c) for c, t in (x.split(": ") for x in schemas.STATS.split(", "))])
     none = F.array()

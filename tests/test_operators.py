@@ -113,7 +113,7 @@ def test_whole_dataflow(spark, tmp_path):
     from silkmill.schemas import RESPONSES
 
     r = spark.createDataFrame(rows, RESPONSES)
-    files = assets.script_files(r)
+    files = assets.script_files(r).cache()
     assert {(x.mode, x.url): x.is_duplicate for x in files.collect()} == {
         ("static", "https://h/a.js"): False, ("static", "https://h/b.js"): True, ("dynamic", "https://h/a.js"): True
     }
