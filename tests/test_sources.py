@@ -152,9 +152,10 @@ def test_failed_requests(spark):
     assert sorted((r.url, r.error_type) for r in failed_requests(responses, visits).collect()) == [("https://h/bad", "download_failed"), ("https://h/none", "download_failed")]
 
 
-def test_command_line_headers_and_replay(spark, tmp_path, capsys):
+def test_command_line_headers_and_replay(spark, tmp_path, capsys, monkeypatch):
     from silkmill.__main__ import main
 
+    monkeypatch.chdir(tmp_path)  # the log folder is made here
     page = bytearray(b'<a href="/2">x</a><script src="/a.js"></script>')
     rows = [("https://h/", "https://h/", 0, "static", 1, 200, "text/html", None, page), ("https://h/", "https://h/a.js", 0, "static", 2, 200, "text/javascript", None, bytearray(b"var a")), ("https://h/", "https://h/other.js", 0, "static", 3, 200, "text/javascript", None, bytearray(b"var b"))]
     spark.createDataFrame(rows, RESPONSES).write.parquet(str(tmp_path / "r"))
@@ -165,3 +166,4 @@ def test_command_line_headers_and_replay(spark, tmp_path, capsys):
     assert "missing_colon" in said and "Host" in said
     main([*given, "-H", "X-A: b", "--replay", "--resume"])
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out" / "encode/js")).collect()] == ["https://h/a.js"]
+    assert "https://h/" in (tmp_path / "logs" / "silkmill.log").read_text()
