@@ -12,13 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkmill.llm.bpe_automaton import MergeAutomaton, load
-from silkmill.llm.common import as_doc, from_doc, share, small_batches
+from silkmill.llm.bpe_automaton import MergeAutomaton, compiled, load  # noqa: F401
+from silkmill.llm.common import as_doc, from_doc, pack, share, small_batches
 
-#: Words whose path is kept (some 250 bytes each); a full table starts anew.
+#: Words of a generation whose path is kept (some 250 bytes each); of a full one, those met again go on to the next.
 MEMO_WORDS = 60_000
 #: Longer words are encoded each time.
 MEMO_LENGTH = 64
@@ -71,6 +71,7 @@ class WordBpe:
         self.labels = labels
         self.decimal = [str(i) for i in range(len(labels))]
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.piece = regex.compile(PIECE, regex.V1)
         self.latin = re.compile(latin_pattern())
         self.at_special = regex.compile("(" + "|".join(regex.escape(x) for x, _ in special) + ")") if special else None
@@ -87,15 +88,18 @@ class WordBpe:
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a word."""
-        if (known := self.memo.get(word)) is not None:
-            return known
-        if word.isascii() and word.isprintable():
-            mapped = word
-        else:
-            mapped = "".join([self.letters[b] for b in word.encode("utf-8")])
-        out = tuple(self.automaton.encode_word(mapped))
+        if (out := self.memo.get(word)) is not None:
+            return out
+        if (out := self.older.get(word)) is None:
+            if word.isascii() and word.isprintable():
+                mapped = word
+            else:
+                mapped = "".join([self.letters[b] for b in word.encode("utf-8")])
+            out = tuple(self.automaton.encode_word(mapped))
         if len(word) <= MEMO_LENGTH:
-            if len(self.memo) >= MEMO_WORDS:
+            if len(self.memo) >= MEMO_WORDS:  # the dicts stay the same objects: callers hold their methods
+                self.older.clear()
+                self.older.update(self.memo)
                 self.memo.clear()
             self.memo[word] = out
         return out
@@ -124,6 +128,13 @@ class WordBpe:
             return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i] is not None])
 
 
+def packed_tokenizer(spark: SparkSession, path: str) -> bytes:
+    """The tokenizer of a file, compiled in a task: the driver has its packed bytes only."""
+    with open(path, "rb") as f:
+        file = f.read()
+    return spark.sparkContext.parallelize([file], 1).map(lambda x: pack(compiled(x))).first()
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: bool = False, decoded: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; where asked for, also ``token_ids`` and ``decoded``.
 
@@ -132,7 +143,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", token_ids: boo
     empty table an empty one.  Columns of the input stay, but for ones with these names.
     """
     small_batches(docs.sparkSession)
-    model = share(docs.sparkSession, load(path))
+    model = share(docs.sparkSession, packed_tokenizer(docs.sparkSession, path))
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     kinds |= {"token_ids": "array<int>"} if token_ids else {}
     kinds |= {"decoded": "string"} if decoded else {}

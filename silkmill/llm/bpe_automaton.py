@@ -11,8 +11,10 @@ its left part).  Numbered from the top, the youngest copies first, the states th
 reaches are one run of numbers, and so are the arcs: a gadget closes a rectangle of the
 table.  States with equal rows are one state in the end, arcs with equal columns one class.
 
-Every prefix of a word has exactly one path.  Encoding goes from left to right and finds the
-one arc by which each prefix is reached; the path is then read from the end.
+Every prefix of a word has exactly one path.  Encoding finds the one arc by which a prefix is
+reached; the path is then read from the end.  The arc depends on the prefix alone, so short words
+ask only for the prefixes that their ends need, and share what was found for them; in long words
+all prefixes are gone through from left to right.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ import json
 
 import numpy as np
 
+#: Letters of a short word.
+SHORT = 64
+#: Beginnings of short words whose last arc is kept (some 200 bytes each); a full table starts anew.
+PLACES = 60_000
+
 
 class _Forest:
     """Tokens below the part they copy, numbered from the top with the youngest copies first."""
@@ -87,6 +94,8 @@ class MergeAutomaton:
         #: Ends of arc labels, inside a word and at its end: the arc's number, or -1 for an end alone.
         self.inner = self._ends({x: i for x, i in live.items() if not x.endswith(suffix)})
         self.final = self._ends({x.removesuffix(suffix): i for x, i in live.items() if x.endswith(suffix)})
+        #: Beginnings of words with the arc that reaches their end, and from where.
+        self.places: dict[str, tuple[int, int]] = {}
 
     @staticmethod
     def _ends(labels: dict[str, int]) -> dict[str, int]:
@@ -125,8 +134,43 @@ class MergeAutomaton:
         column = self.column[label]
         return bool(self.table[self.row[last] + (column >> 3)] >> (column & 7) & 1)
 
+    def _last(self, word: str, ends: dict[str, int]) -> tuple[int, int]:
+        """The arc that reaches the end of a short word or beginning, and from where."""
+        labels, at = [], len(word) - 1
+        while at >= 0 and (label := ends.get(word[at:])) is not None:
+            if label >= 0:
+                labels.append((label, at))
+            at -= 1
+        while labels:  # the longest first: most often it is the one
+            label, at = found = labels.pop()
+            if not at:
+                return found
+            c = self.column[label]
+            if self.table[self.row[self._place(word[:at])[0]] + (c >> 3)] >> (c & 7) & 1:
+                return found
+        raise ValueError(f"no path for {word!r}")
+
+    def _place(self, begin: str) -> tuple[int, int]:
+        found = self.places.get(begin)
+        if found is None:
+            found = self._last(begin, self.inner)
+            if len(self.places) >= PLACES:
+                self.places.clear()
+            self.places[begin] = found
+        return found
+
     def encode_word(self, word: str) -> list[int]:
         """Token numbers of the word's path."""
+        if not 0 < len(word) <= SHORT:
+            return self._encode_long(word)
+        label, at = self._last(word, self.final)
+        path = [label]
+        while at:
+            label, at = self._place(word[:at])
+            path.append(label)
+        return path[::-1]
+
+    def _encode_long(self, word: str) -> list[int]:
         table, row, column = self.table, self.row, self.column
         n = len(word)
         reached, came = [-1] * (n + 1), [0] * (n + 1)  # the arc that reaches each place, and from where
@@ -158,8 +202,13 @@ class MergeAutomaton:
 
 def load(path: str) -> tuple[MergeAutomaton, list[tuple[str, int]], list[str | None]]:
     """The automaton of a tokenizer file, its special tokens, and the label of each id."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    with open(path, "rb") as f:
+        return compiled(f.read())
+
+
+def compiled(file: bytes) -> tuple[MergeAutomaton, list[tuple[str, int]], list[str | None]]:
+    """Like :func:`load`, from the file's bytes."""
+    data = json.loads(file)
     model = data["model"]
     merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
     special = [(x["content"], x["id"]) for x in data["added_tokens"]]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from silkmill.operators.graph import components, materialise
 from silkmill.session import shared_folder
 
-__all__ = ["Shared", "as_doc", "components", "from_doc", "hamming", "materialise", "share", "small_batches", "stored"]
+__all__ = ["Shared", "as_doc", "components", "from_doc", "hamming", "materialise", "pack", "share", "small_batches", "stored", "unpack"]
 
 #: Bytes of the Arrow batches that workers get, unless the session says otherwise.
 BATCH_BYTES = 4 << 20
@@ -36,20 +36,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def pack(value: object) -> bytes:
+    """An object of a class of this package as compressed bytes that carry the class along."""
+    return zlib.compress(cloudpickle.dumps(value), 1)
+
+
+def unpack(packed: bytes) -> object:
+    """The object that :func:`pack` got."""
+    return pickle.loads(zlib.decompress(packed))
+
+
 class Shared:
-    """A broadcast object of a class of this package: its bytes carry the class along, compressed, as workers keep them."""
+    """A broadcast object, packed, as workers keep it."""
 
-    def __init__(self, spark: SparkSession, value: object):
-        self.pickled = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))
+    def __init__(self, spark: SparkSession, packed: bytes):
+        self.packed = spark.sparkContext.broadcast(packed)
 
     def load(self) -> object:
         """The object; to be called once in a task."""
-        return pickle.loads(zlib.decompress(self.pickled.value))
+        return unpack(self.packed.value)
 
 
 def share(spark: SparkSession, value: object) -> Shared:
-    """Broadcasts ``value``, so that executors without this package can load it."""
-    return Shared(spark, value)
+    """Broadcasts ``value``, so that executors without this package can load it; bytes are one that a task has packed."""
+    return Shared(spark, value if isinstance(value, bytes) else pack(value))
 
 
 def as_doc(docs: DataFrame) -> Column:
