@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.llm.common import as_doc, from_doc, share, small_batches
+from silkmill.llm.common import as_doc, from_doc, pack, share, small_batches, unpack
 from silkmill.llm.langid_model import LanguageModels, letter_words
 
 #: Bound of the training sample: labelled documents per language (expected; a hash decides).
@@ -35,12 +35,19 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModels | None:
+    """The models of :func:`fit_packed`, unpacked."""
+    packed = fit_packed(docs, doc_id, text, lang)
+    return packed and unpack(packed)
+
+
+def fit_packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> bytes | None:
     """Models from a bounded sample of labelled documents outside the held-out part.
 
     The first scan counts labels (two narrow columns), the second takes documents whose
     hashed id falls under the language's share, ``SAMPLE_PER_LANGUAGE`` in expectation, and
     reads their whole texts.  Every label is learned; of a language whose texts would all be held
-    back, none is.  None if nothing is labelled.
+    back, none is.  The sample is learned in one task, so neither it nor the models unpacked
+    are in the driver.  None if nothing is labelled.
     """
     known = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         F.col("l").isNotNull() & ~held_out(F.col("i"))
@@ -51,17 +58,32 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     part = F.create_map(*chain(*[(F.lit(r["l"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"])) for r in counts]))
     spot = F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.where(spot < F.coalesce(F.try_element_at(part, F.col("l")), F.lit(0.0)))
-    words: dict[str, Counter] = {r["l"]: Counter() for r in counts}
-    back: dict[str, list[Counter]] = {r["l"]: [] for r in counts}
     turn = F.pmod(F.xxhash64(F.lit("back"), "i"), F.lit(HELD_BACK)).alias("turn")
-    for row in sample.select("l", "t", turn).toLocalIterator():
-        of = Counter(letter_words(row["t"]))
+    langs = [r["l"] for r in counts]
+
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = _learn(langs, ((row.l, row.t, row.turn) for pdf in batches for row in pdf.itertuples()))
+        if models:
+            yield pd.DataFrame({"models": [pack(models)]})
+
+    small_batches(docs.sparkSession)
+    rows = sample.select("i", "l", "t", turn).repartition(1).sortWithinPartitions("i", F.xxhash64("t"), "l")
+    found = rows.mapInPandas(learned, "models binary").collect()
+    return bytes(found[0]["models"]) if found else None
+
+
+def _learn(langs: list[str], sample: Iterable[tuple[str, str | None, int]]) -> LanguageModels | None:
+    """Models of a sample's languages, texts and turns; texts of turn 0 are held back."""
+    words: dict[str, Counter] = {x: Counter() for x in langs}
+    back: dict[str, list[Counter]] = {x: [] for x in langs}
+    for lang, text, turn in sample:
+        of = Counter(letter_words(text))
         if not of:
             continue
-        if row["turn"] == 0:
-            back[row["l"]].append(of)
+        if turn == 0:
+            back[lang].append(of)
         else:
-            words[row["l"]].update(of)
+            words[lang].update(of)
     for k, v in words.items():
         if not v and back[k]:
             for x in back.pop(k):
@@ -138,8 +160,8 @@ class Predictor:
         return self.models.langs[best], float(1 / odds.sum()), float(entropy[best]), bool(too_odd)
 
 
-def identify(docs: DataFrame, models: LanguageModels | None, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected`` to ``docs``.
+def identify(docs: DataFrame, models: LanguageModels | bytes | None, text: str = "text") -> DataFrame:
+    """Adds ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected`` to ``docs``; ``models``: packed ones or not.
 
     The language with the least cross-entropy per letter wins, the first in order on a tie.
     Null texts, texts without a letter and empty models give ``und``, 0, null and rejected.

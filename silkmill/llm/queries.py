@@ -28,10 +28,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from silkmill.llm.langid import fit, held_out, identify
+    from silkmill.llm.langid import fit_packed, held_out, identify
 
     docs = _table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), fit(docs))
+    out = identify(docs.select("doc_id", "text"), fit_packed(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 

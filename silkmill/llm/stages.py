@@ -10,10 +10,10 @@ from silkmill.llm.common import as_doc, from_doc
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rejected documents go."""
-    from silkmill.llm.langid import fit, identify
+    from silkmill.llm.langid import fit_packed, identify
 
     packed = docs.select(as_doc(docs), F.col("text"))
-    known = identify(packed, fit(docs))
+    known = identify(packed, fit_packed(docs))
     return known.where(~F.col("rejected")).select(*from_doc(docs))
 
 
