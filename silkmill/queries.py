@@ -12,7 +12,7 @@ from silkmill.functions import cleanup, detect, headers, sql, urls
 from silkmill.operators import crawl, dedupe, extract, frontier, paths, registry, similarity, stats
 from silkmill.operators.graph import materialise
 from silkmill.plans import assets, reports
-from silkmill.session import scratch, shared_folder
+from silkmill.session import scratch, shared_folder, stored
 from silkmill.sources import archive
 from silkmill.sources.config import CrawlConfig
 from silkmill.sources.url_list import valid_urls
@@ -912,14 +912,15 @@ def stream_first_wins(spark, sf_dir):
     from silkmill.streaming.first_wins import first_wins
 
     rows = _files(spark, sf_dir).select("target", "hash", "mode", "seq", "url", F.timestamp_seconds(F.col("seq") % 1000 + 86400).alias("time"))
-    end = spark.sql("SELECT '' AS target, cast(id AS string) AS hash, 'static' AS mode, id AS seq, '' AS url, timestamp_seconds(id * 100000) AS time FROM range(5, 7)")
-    with scratch(spark) as folder:
-        for n, part in enumerate([rows.where("mode = 'dynamic'"), rows.where("mode = 'static' AND seq % 3 > 0"), rows.where("mode = 'static' AND seq % 3 = 0"), end.where("seq = 5"), end.where("seq = 6")]):
-            part.coalesce(1).write.parquet(f"{folder}/in/{n}")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-        found = first_wins(stream, "time", "1 hour", 3600)
-        run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-        run.trigger(availableNow=True).start().awaitTermination()
+    end = spark.sql("SELECT '' AS target, '' AS hash, 'static' AS mode, 0L AS seq, '' AS url, timestamp_seconds(500000) AS time")
+    with scratch(spark) as folder, stored(rows) as files:
+        # Each part lands as a whole, then the stream goes on from where it stopped; the last row's time ends all others'.
+        for part in [files.where("mode = 'dynamic'"), files.where("mode = 'static' AND seq % 3 > 0"), files.where("mode = 'static' AND seq % 3 = 0").unionByName(end)]:
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            found = first_wins(stream, "time", "1 hour", 3600)
+            run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            run.trigger(availableNow=True).start().awaitTermination()
         return materialise(spark.read.schema(found.schema).parquet(f"{folder}/out").where("target <> ''"))
 
 

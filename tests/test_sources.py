@@ -136,6 +136,38 @@ def test_late_static_files_win(spark, tmp_path):
     assert sorted((r.target, r.hash, r.mode, r.url) for r in got.collect()) == [("t", "h1", "static", "b"), ("t", "h2", "dynamic", "d"), ("t", "h3", "static", "g"), ("u", "h1", "dynamic", "e")]
 
 
+def test_contents_of_one_key_wait_apart(spark, tmp_path):
+    """A time that is over hands out its own contents only; a content that comes again is a first one again."""
+    batches = [[("t", f"h{i}", "dynamic", i, "a", 100) for i in range(300)] + [("t", "late", "dynamic", 9, "b", 5_000)], [("t", "h7", "static", 900, "c", 2_000), ("t", "late", "static", 10, "d", 5_500)],
+               [("z", "end", "static", 1, "z", 9_000)], [("t", "h7", "dynamic", 5, "e", 6_000)], [("z", "end", "static", 1, "z", 100_000)]]
+    folder = str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, "target string, hash string, mode string, seq long, url string, at long").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("target string, hash string, mode string, seq long, url string, at long").parquet(folder)
+        out = first_wins(stream.withColumn("time", F.timestamp_seconds("at")), "time", "1 hour", 3600, buckets=1)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("target <> 'z'").collect()
+    assert sorted((r.hash, r.mode, r.url) for r in got if r.hash in ("h7", "late")) == [("h7", "dynamic", "e"), ("h7", "static", "c"), ("late", "static", "d")]
+    assert len(got) == 302
+
+
+def test_a_batch_asks_the_state_once():
+    """Calls to the state don't grow with the contents of a batch."""
+    import pandas as pd
+    from types import SimpleNamespace
+
+    from silkmill.streaming.first_wins import FirstWins
+
+    kept, timers = [], []
+    handle = SimpleNamespace(getListState=lambda *_: SimpleNamespace(appendList=kept.append), registerTimer=timers.append)
+    first = FirstWins()
+    first.init(handle)
+    rows = pd.DataFrame([("t", f"h{i % 500}", 1, i, "u", "dynamic", 5000 + i // 500) for i in range(1500)], columns=["target", "hash", "rank", "seq", "url", "mode", "end_ms"])
+    assert list(first.handleInputRows((0,), iter([rows[:700], rows[700:]]), None)) == []
+    assert len(kept) == 1 and sorted(x[3] for x in kept[0]) == list(range(500)) and timers == [5000]
+
+
 @pytest.mark.parametrize(("code", "want"), [
     ("a = 0x1F + _0x1a", "a = 31 + _26"), ("0x7FFFFFFFFFFFFFFF 0x8000000000000000 0x0 0x00", "9223372036854775807 0x8000000000000000 0 0"), (r"\x41B", "AB"), (r"\x5cu0041", "A"),
     (r"\ud83d\ude00 \u12 \xZZ", "�� \\u12 \\xZZ"), (None, None), ("", ""),
