@@ -3,7 +3,7 @@
 A text is the set of its runs of five words.  Equal texts are one class, known by its least id.  Of a
 class, ``BANDS`` bands of ``ROWS`` MinHash values are kept; two classes that share a band are candidates:
 at a similarity of 0.8 all but some 2 of a million such pairs are.  The exact similarity of candidates is
-computed from their sets.
+computed from their sets, which are made for the classes that share a band only.
 
 Groups don't need all pairs: first every class is compared with the least one of each of its bands, and only
 classes that share a band and are then still in different components are compared with each other.
@@ -29,7 +29,7 @@ BANDS, ROWS, SEED = 25, 4, 7
 #: Rows that meet one set of shingles in one task at most.
 SHARE_ROWS = 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-FEATURES = "struct<shingles: array<long>, bands: array<long>>"
+FEATURES = "struct<n: int, bands: array<long>>"
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -59,34 +59,51 @@ def band_hashes(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def features(text: Column, width: int = WIDTH) -> Column:
-    """Shingles and bands of a text."""
+    """The number of a text's shingles, and its bands."""
 
     @F.pandas_udf(FEATURES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_hashes(x, width) for x in batch]
-            yield pd.DataFrame({"shingles": sets, "bands": [band_hashes(x) for x in sets]})
+            yield pd.DataFrame({"n": [len(x) for x in sets], "bands": [band_hashes(x) for x in sets]})
 
     return of(text)
 
 
-def classes(files: DataFrame, key: str, text: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """``id, class`` of all files, and ``class, shingles, bands`` of the classes: equal texts, by their least id.
+def shingles(text: Column, width: int = WIDTH) -> Column:
+    """Shingles of a text."""
 
-    Rows without an id take no part.
-    """
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_hashes(x, width) for x in batch])
+
+    return of(text)
+
+
+def _rows(files: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, text, digest``; rows without an id take no part."""
     rows = files.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    least = rows.groupBy("digest").agg(F.min("id").alias("class"))
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``class, digest, n, bands`` of the classes of ``rows``: equal texts, by their least id.  Texts stay where they are read."""
+    each = rows.select("id", "digest", features(F.col("text"), width).alias("f"))
+    return materialise(each.groupBy("digest").agg(F.min("id").alias("class"), F.first("f").alias("f")).select("class", "digest", "f.n", "f.bands"))
+
+
+def shared_sets(rows: DataFrame, found: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``class, shingles`` of the classes of ``found`` that share a band: others are compared with none, so their sets, as large as the texts, are not kept."""
+    near = found.join(shared.select("class"), "class", "left_semi").select(F.col("class").alias("id"), "digest")
     # The first file of a class is met by id and digest together: no task gets all copies' texts.
-    own = rows.join(least, (rows["digest"] == least["digest"]) & (F.col("id") == F.col("class")), "left_semi").dropDuplicates(["id", "digest"])
-    sets = materialise(own.select(F.col("id").alias("class"), "digest", features(F.col("text"), width).alias("f")).select("class", "digest", "f.*"))
-    return rows.select("id", "digest").join(sets.select("digest", "class"), "digest").select("id", "class"), sets.drop("digest")
+    own = rows.join(near, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return materialise(own.select(F.col("id").alias("class"), shingles(F.col("text"), width).alias("shingles")))
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
+def _buckets(found: DataFrame) -> DataFrame:
     """``band, class, n`` and the least class, for the bands that two or more classes share; ``n``: shingles."""
-    each = sets.select("class", F.size("shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("band"))
+    each = found.select("class", "n", F.explode(F.array_distinct("bands")).alias("band"))
     shared = each.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least != most")
     return each.join(shared.select("band", "least"), "band")
 
@@ -122,8 +139,11 @@ def near_pairs(files: DataFrame, key: str = "url", text: str = "code", threshold
 
     Copies are members of their class (:func:`classes`) and are not expanded.  Texts without a word are similar to none.
     """
-    _, sets = classes(files, key, text, width)
-    left = materialise(_buckets(sets)).select("band", F.col("class").alias("a"), F.col("n").alias("na"))
+    rows = _rows(files, key, text)
+    each = classes(rows, width)
+    shared = materialise(_buckets(each))
+    sets = shared_sets(rows, each, shared, width)
+    left = shared.select("band", F.col("class").alias("a"), F.col("n").alias("na"))
     right = left.select("band", F.col("a").alias("b"), F.col("na").alias("nb"))
     found = left.join(right, "band").where((F.col("a") < F.col("b")) & _may_be(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
     return compared(materialise(found), sets).where(F.col("similarity") >= threshold)
@@ -134,8 +154,10 @@ def members(files: DataFrame, key: str = "url", text: str = "code", threshold: f
 
     A file that is similar to no other one is its own group; copies have similarity 1.
     """
-    of_class, sets = classes(files, key, text, width)
-    shared = materialise(_buckets(sets))
+    rows = _rows(files, key, text)
+    each = classes(rows, width)
+    shared = materialise(_buckets(each))
+    sets = shared_sets(rows, each, shared, width)
     star = materialise(shared.where(F.col("class") != F.col("least")).select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
     tied = materialise(compared(star, sets).where(F.col("similarity") >= threshold))
     label = components(tied).select(F.col("node").alias("class"), "label")
@@ -144,10 +166,11 @@ def members(files: DataFrame, key: str = "url", text: str = "code", threshold: f
     rest = left.join(right, "band").where((F.col("la") < F.col("lb")) & _may_be(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
     more = compared(materialise(rest), sets).where(F.col("similarity") >= threshold)
     group = components(reduce(DataFrame.unionByName, [tied, more])).select(F.col("node").alias("class"), F.col("label").alias("group_id"))
-    grouped = sets.select("class").join(group, "class", "left").withColumn("group_id", F.coalesce("group_id", "class"))
+    grouped = each.select("class").join(group, "class", "left").withColumn("group_id", F.coalesce("group_id", "class"))
     apart = materialise(grouped.where("class != group_id").select(F.col("group_id").alias("a"), F.col("class").alias("b")))
     near = compared(apart, sets).select(F.col("b").alias("class"), "similarity")
     told = materialise(grouped.join(near, "class", "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))))
+    of_class = rows.select("id", "digest").join(each.select("digest", "class"), "digest")
     return of_class.join(told, "class").select("id", "group_id", "similarity")
 
 

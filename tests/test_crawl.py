@@ -261,6 +261,23 @@ def test_similar_files(spark, texts, threshold):
     assert similarity.near_pairs(f.limit(0)).count() == 0
 
 
+def test_sets_of_candidates_only(spark, monkeypatch):
+    """Sets of shingles, as large as the texts, are kept for the classes that share a band, not for all."""
+    kept, plain = {}, similarity.materialise
+
+    def materialise(frame):
+        out = plain(frame)
+        if "shingles" in frame.columns and "a" not in frame.columns:
+            kept["classes"] = sorted(x["class"] for x in out.collect())
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", materialise)
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(30)]
+    rows = [(f"u{k:02}", x) for k, x in enumerate([*texts, texts[3] + " more", texts[5]])] + [("u30", texts[9]), (None, texts[8])]
+    got = {x.id: x.group_id for x in similarity.members(spark.createDataFrame(rows, "url string, code string")).where("id != 'u30'").collect()}
+    assert kept["classes"] == ["u03", "u30"] and got["u31"] == "u05" and len(got) == 31
+
+
 def test_recall_of_bands():
     """Pairs just above the threshold share a band nearly always."""
     r, found, n = random.Random(1), 0, 400
