@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from silkmill.llm.common import as_doc, components, from_doc, hamming, materialise, small_batches
 from silkmill.llm.simhash_fp import fingerprint
+from silkmill.operators.graph import SHUFFLED
 
 MAX_BITS = 4
 #: (lowest bit, width) around the ring.
@@ -96,19 +97,19 @@ def links(prints: DataFrame) -> DataFrame:
     keyed = prints.select("fp", F.explode(keys).alias("key")).select("fp", "key.n", "key.k")
     pivots = keyed.groupBy("n", "k").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"))
     pivots = pivots.where("pivot != other").drop("other")
-    shared = materialise(keyed.join(pivots, ["n", "k"]))
+    shared = materialise(keyed.join(pivots.hint(SHUFFLED), ["n", "k"]))
     star = shared.where(F.col("fp") != F.col("pivot")).where(_linked(F.col("fp"), F.col("pivot")))
     tied = components(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     tied = tied.select(F.col("node").alias("fp"), "label")
-    known = shared.select("n", "k", "fp").join(tied, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    known = shared.select("n", "k", "fp").join(tied.hint(SHUFFLED), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     left = known.select("n", "k", F.col("fp").alias("fa"), F.col("label").alias("la"))
     right = known.select("n", "k", F.col("fp").alias("fb"), F.col("label").alias("lb"))
-    rest = left.join(right, ["n", "k"]).where(
+    rest = left.join(right.hint(SHUFFLED), ["n", "k"]).where(
         (F.col("la") < F.col("lb")) & _linked(F.col("fa"), F.col("fb"))
     )
     merged = components(rest.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("last"))
-    ends = tied.join(merged, "label", "full_outer").select(
+    ends = tied.join(merged.hint(SHUFFLED), "label", "full_outer").select(
         F.coalesce("fp", "label").alias("fp"), F.coalesce("last", "label").alias("label")
     )
     # A label that is itself a lone fingerprint comes only from `merged`.
@@ -119,7 +120,7 @@ def _labelled(prints: DataFrame) -> DataFrame:
     """``fp, label`` for every fingerprint of ``prints``; alone, a fingerprint is its own label."""
     each = prints.select("fp").distinct()
     linked = materialise(links(each))
-    return each.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return each.join(linked.hint(SHUFFLED), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,10 +133,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     prints = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    placed = least.join(_labelled(prints), "fp")
+    placed = least.join(_labelled(prints).hint(SHUFFLED), "fp")
     heads = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = placed.select("fp", "label").join(heads, "label").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
+    of_print = placed.select("fp", "label").join(heads.hint(SHUFFLED), "label").select("fp", "component_id")
+    return prints.join(of_print.hint(SHUFFLED), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -150,7 +151,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"),
     )
     prints = materialise(fingerprints(keyed.select("o", "h", "text")).drop("text"))
-    placed = prints.join(_labelled(prints), "fp")
+    placed = prints.join(_labelled(prints).hint(SHUFFLED), "fp")
     heads = placed.groupBy("label").agg(F.min(F.struct("o", "h")).alias("head")).select("head.o", "head.h")
-    kept = keyed.drop("text").join(heads, ["o", "h"], "left_semi").dropDuplicates(["o", "h"])
+    kept = keyed.drop("text").join(heads.hint(SHUFFLED), ["o", "h"], "left_semi").dropDuplicates(["o", "h"])
     return kept.select(*from_doc(docs))

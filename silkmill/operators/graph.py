@@ -9,6 +9,8 @@ from silkmill.session import shared_folder
 
 #: Rounds after which component search gives up; each at least halves the longest chain.
 MAX_ROUNDS = 60
+#: Hint of joins whose sides grow with the input: the driver builds no table of them, whatever the session lets it broadcast.
+SHUFFLED = "merge"
 
 
 def materialise(frame: DataFrame) -> DataFrame:
@@ -48,12 +50,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.where(F.col("v") > F.col("u"))
-            .join(least, "u")
+            .join(least.hint(SHUFFLED), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        small = large.join(small_least.hint(SHUFFLED), "u")
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small_least.select("u", F.col("m").alias("v")))

@@ -37,6 +37,14 @@ def grouped(links_, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_near_duplicates_build_no_table_in_the_driver(spark):
+    """Joins of fingerprints are shuffled, whatever the session lets the driver broadcast."""
+    out = near_duplicates(spark.createDataFrame([(i, f"a b c d e {i % 5}") for i in range(40)], "doc_id long, text string"))
+    assert len(out.collect()) == 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(n, n + 1) for n in range(1000, 1040)] + [(0, n) for n in range(1, 30)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
