@@ -5,22 +5,22 @@ class, ``BANDS`` bands of ``ROWS`` MinHash values are kept; two classes that sha
 at a similarity of 0.8 all but some 2 of a million such pairs are.  The exact similarity of candidates is
 computed from their sets, which are made for the classes that share a band only.
 
-Groups don't need all pairs: first every class is compared with the least one of each of its bands, and only
-classes that share a band and are then still in different components are compared with each other.
+Classes that are candidates of each other, directly or by way of others, are a family.  Sets are brought together
+by families, not by pairs, whose number grows with the square of a family: a task compares the candidates of many
+small families, or of two blocks of a large one.  Groups don't need all pairs: what is linked already is not compared.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkmill.operators.graph import components, materialise
+from silkmill.operators.graph import SHUFFLED, components, materialise
 
 #: Words of a shingle, similarity from which on files are similar.
 WIDTH, THRESHOLD = 5, 0.8
@@ -28,6 +28,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS, SEED = 25, 4, 7
 #: Rows that meet one set of shingles in one task at most.
 SHARE_ROWS = 4096
+#: Shingles and classes of a block of a large family at most, about; shingles of a lot of small ones; bits of the map of candidates.
+BLOCK_SHINGLES, BLOCK_CLASSES, LOT_SHINGLES, BITS = 1 << 20, 4096, 1 << 18, 1 << 24
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FEATURES = "struct<n: int, bands: array<long>>"
 
@@ -70,13 +72,14 @@ def features(text: Column, width: int = WIDTH) -> Column:
     return of(text)
 
 
-def shingles(text: Column, width: int = WIDTH) -> Column:
-    """Shingles of a text."""
+def sets(text: Column, width: int = WIDTH) -> Column:
+    """Shingles of a text, and its bands."""
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<bands: array<long>, shingles: array<long>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([shingle_hashes(x, width) for x in batch])
+            found = [shingle_hashes(x, width) for x in batch]
+            yield pd.DataFrame({"bands": [band_hashes(x) for x in found], "shingles": found})
 
     return of(text)
 
@@ -93,19 +96,129 @@ def classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return materialise(each.groupBy("digest").agg(F.min("id").alias("class"), F.first("f").alias("f")).select("class", "digest", "f.n", "f.bands"))
 
 
-def shared_sets(rows: DataFrame, found: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``class, shingles`` of the classes of ``found`` that share a band: others are compared with none, so their sets, as large as the texts, are not kept."""
-    near = found.join(shared.select("class"), "class", "left_semi").select(F.col("class").alias("id"), "digest")
-    # The first file of a class is met by id and digest together: no task gets all copies' texts.
-    own = rows.join(near, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    return materialise(own.select(F.col("id").alias("class"), shingles(F.col("text"), width).alias("shingles")))
+def _edges(found: DataFrame) -> DataFrame:
+    """``a, b``: the least class of every band that two or more classes share, and another one of them."""
+    each = found.select("class", F.explode(F.array_distinct("bands")).alias("band")).where("class IS NOT NULL AND band IS NOT NULL").repartition("band")  # one shuffle serves both sides
+    least = each.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least != most").select("band", "least")
+    return each.join(least.hint(SHUFFLED), "band").where("class != least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def placed(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, digest, family, blocks, block, lot`` of the classes with ``edges``: a family is a component of them, cut into blocks if it is large.
+
+    Families of one block share lots, by a hash.
+    """
+    family = components(edges).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    own = materialise(found.select("class", "digest", "n").join(family.hint(SHUFFLED), "class"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int")
+    families = materialise(own.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("all")))
+    lots = max(1, (families.where("blocks = 1").agg(F.sum("all")).first()[0] or 0) // LOT_SHINGLES)
+    return own.join(families.drop("all").hint(SHUFFLED), "family").select(
+        F.col("class").alias("id"), "digest", "family", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(lots))).otherwise(F.lit(-1)).cast("long").alias("lot"),
+    )
+
 
+def passing(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``ids``, without a shuffle: by a bitmap of hashes, of ``BITS`` bits whatever the number of ids."""
+    words = np.zeros(BITS // 64, np.int64)
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    marks = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("bits")).toArrow()
+    words[marks["word"].to_numpy()] = marks["bits"].to_numpy()
 
-def _buckets(found: DataFrame) -> DataFrame:
-    """``band, class, n`` and the least class, for the bands that two or more classes share; ``n``: shingles."""
-    each = found.select("class", "n", F.explode(F.array_distinct("bands")).alias("band"))
-    shared = each.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least != most")
-    return each.join(shared.select("band", "least"), "band")
+    @F.pandas_udf("boolean")
+    def may_be(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series((words[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.where(may_be(spot))
+
+
+def shared_sets(rows: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``class, family, blocks, block, lot, bands, shingles`` of the classes of ``found`` that share a band: others are compared with none, so their
+    sets, as large as the texts, are not kept, and most of their texts not shuffled."""
+    near = materialise(placed(found, materialise(_edges(found))))
+    # The first file of a class is met by id and digest together: no task gets all copies' texts.
+    own = passing(rows, near).join(near.hint(SHUFFLED), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    return materialise(own.select(F.col("id").alias("class"), "family", "blocks", "block", "lot", sets(F.col("text"), width).alias("f")).select("*", "f.*").drop("f"))
+
+
+class _Lot:
+    """Classes of one lot, or of one or two blocks of a family: their sets as codes, one after the other, and who shares a band."""
+
+    def __init__(self, rows: pd.DataFrame):
+        order = sorted(range(len(rows)), key=rows["class"].tolist().__getitem__)
+        rows = rows.iloc[order]
+        self.ids, self.block = rows["class"].tolist(), rows["block"].to_numpy()
+        self.size = np.array([len(x) for x in rows["shingles"]], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        kinds, self.codes = np.unique(np.concatenate(rows["shingles"].tolist()), return_inverse=True)
+        self.marked = np.zeros(len(kinds), bool)
+        _, bands = np.unique(np.concatenate(rows["bands"].tolist()), return_inverse=True)
+        holder = np.repeat(np.arange(len(rows)), [len(x) for x in rows["bands"]])
+        by_band = np.argsort(bands, kind="stable")
+        self.holders, ends = holder[by_band], np.cumsum(np.bincount(bands))[bands[by_band]]
+        places = np.flatnonzero(np.arange(1, len(ends) + 1) < ends)  # of holders that are not their band's last
+        places = places[np.argsort(self.holders[places], kind="stable")]
+        cuts = np.searchsorted(self.holders[places], np.arange(len(rows) + 1))
+        self.later = [list(zip(places[i:j] + 1, ends[places[i:j]])) for i, j in zip(cuts, cuts[1:])]
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Classes after ``k`` that share a band with it."""
+        return np.unique(np.concatenate([self.holders[i:j] for i, j in self.later[k]])) if self.later[k] else np.zeros(0, np.int64)
+
+    def similarity(self, k: int, to: np.ndarray) -> np.ndarray:
+        """Exact Jaccard similarity of ``k`` to the classes ``to``, which are not empty."""
+        own = self.codes[self.start[k] : self.start[k] + self.size[k]]
+        size = self.size[to]
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self.start[to] - begin, size)
+        self.marked[own] = True
+        both = np.add.reduceat(self.marked[self.codes[at]], begin, dtype=np.int64)
+        self.marked[own] = False
+        return both / (self.size[k] + size - both)
+
+
+def links(rows: pd.DataFrame, threshold: float, every: bool, across: bool) -> list[tuple]:
+    """``a, b, similarity, settled`` of a lot, or (``across``) of pairs of different blocks of a family.
+
+    All links if ``every``; else, for families of one block, each member of a group with its least one (settled), for others
+    links enough to join what is linked.
+    """
+    lot, out = _Lot(rows), []
+    whole = not every and rows["blocks"].iat[0] == 1
+    root = np.arange(len(lot.ids))
+    for k in range(len(lot.ids)):
+        to = lot.candidates(k)
+        least, most = np.minimum(lot.size[to], lot.size[k]), np.maximum(lot.size[to], lot.size[k])
+        to = to[(least / most >= threshold) & (every | (root[to] != root[k])) & ((lot.block[to] != lot.block[k]) | (not across))]
+        if not len(to):
+            continue
+        alike = lot.similarity(k, to)
+        for b, x in zip(to[alike >= threshold], alike[alike >= threshold]):
+            if every or root[b] != root[k]:
+                if not whole:
+                    out.append((lot.ids[k], lot.ids[b], float(x), False))
+                first, second = sorted((root[b], root[k]))
+                root[root == second] = first
+    if whole:
+        for k in np.unique(root[root != np.arange(len(root))]):
+            to = np.flatnonzero(root == k)[1:]
+            out += [(lot.ids[k], lot.ids[b], float(x), True) for b, x in zip(to, lot.similarity(k, to))]
+    return out
+
+
+def linked(near: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """:func:`links` of the classes of ``near`` (:func:`shared_sets`).  A set is shuffled once for each block of its family, not once for each candidate."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = near.select("class", "block", "blocks", "lot", F.when(F.col("blocks") > 1, F.col("family")).alias("family"), "bands", "shingles", other)
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    kind = near.schema["class"].dataType.simpleString()
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(links(rows, threshold, every, bool(rows["i"].iat[0] != rows["j"].iat[0])), columns=["a", "b", "similarity", "settled"])
+
+    return dealt.groupBy("lot", "family", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double, settled boolean")
 
 
 def with_set(pairs: DataFrame, sets: DataFrame, key: str, to: str) -> DataFrame:
@@ -129,24 +242,13 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
 
 
-def _may_be(a: Column, b: Column, threshold: float) -> Column:
-    """Sets of these sizes can be that similar."""
-    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
-
-
 def near_pairs(files: DataFrame, key: str = "url", text: str = "code", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``a, b, similarity``: every found pair of different texts with a similarity of ``threshold`` or more, by least ids, a < b.
 
     Copies are members of their class (:func:`classes`) and are not expanded.  Texts without a word are similar to none.
     """
     rows = _rows(files, key, text)
-    each = classes(rows, width)
-    shared = materialise(_buckets(each))
-    sets = shared_sets(rows, each, shared, width)
-    left = shared.select("band", F.col("class").alias("a"), F.col("n").alias("na"))
-    right = left.select("band", F.col("a").alias("b"), F.col("na").alias("nb"))
-    found = left.join(right, "band").where((F.col("a") < F.col("b")) & _may_be(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
-    return compared(materialise(found), sets).where(F.col("similarity") >= threshold)
+    return linked(shared_sets(rows, classes(rows, width), width), threshold, True).drop("settled")
 
 
 def members(files: DataFrame, key: str = "url", text: str = "code", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -156,20 +258,14 @@ def members(files: DataFrame, key: str = "url", text: str = "code", threshold: f
     """
     rows = _rows(files, key, text)
     each = classes(rows, width)
-    shared = materialise(_buckets(each))
-    sets = shared_sets(rows, each, shared, width)
-    star = materialise(shared.where(F.col("class") != F.col("least")).select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
-    tied = materialise(compared(star, sets).where(F.col("similarity") >= threshold))
-    label = components(tied).select(F.col("node").alias("class"), "label")
-    known = materialise(shared.select("band", "class", "n").join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
-    left, right = (known.select("band", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    rest = left.join(right, "band").where((F.col("la") < F.col("lb")) & _may_be(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
-    more = compared(materialise(rest), sets).where(F.col("similarity") >= threshold)
-    group = components(reduce(DataFrame.unionByName, [tied, more])).select(F.col("node").alias("class"), F.col("label").alias("group_id"))
-    grouped = each.select("class").join(group, "class", "left").withColumn("group_id", F.coalesce("group_id", "class"))
-    apart = materialise(grouped.where("class != group_id").select(F.col("group_id").alias("a"), F.col("class").alias("b")))
-    near = compared(apart, sets).select(F.col("b").alias("class"), "similarity")
-    told = materialise(grouped.join(near, "class", "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))))
+    near = shared_sets(rows, each, width)
+    found = materialise(linked(near, threshold, False))
+    label = components(found.where("NOT settled"))
+    apart = materialise(label.where("node != label").select(F.col("label").alias("a"), F.col("node").alias("b")))
+    late = compared(apart, near.where("blocks > 1").select("class", "shingles"))  # of families in several blocks
+    told = found.where("settled").drop("settled").unionByName(late).select(F.col("b").alias("class"), F.col("a").alias("group_id"), "similarity")
+    told = each.select("class").join(told, "class", "left")
+    told = materialise(told.select("class", F.coalesce("group_id", "class").alias("group_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
     of_class = rows.select("id", "digest").join(each.select("digest", "class"), "digest")
     return of_class.join(told, "class").select("id", "group_id", "similarity")
 

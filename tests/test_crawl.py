@@ -278,6 +278,38 @@ def test_sets_of_candidates_only(spark, monkeypatch):
     assert kept["classes"] == ["u03", "u30"] and got["u31"] == "u05" and len(got) == 31
 
 
+def test_families_in_blocks(spark, texts, monkeypatch):
+    """Families cut into blocks, small lots and a full map of candidates give what whole families give."""
+    f = spark.createDataFrame([(f"u{k:02}", x, 1) for k, x in enumerate(texts)], "url string, code string, size long")
+    results = []
+    for block_classes, block_shingles, lot, bits in ((4096, 1 << 20, 1 << 18, 1 << 24), (3, 1 << 20, 64, 64), (100, 500, 64, 64)):
+        for name, value in (("BLOCK_CLASSES", block_classes), ("BLOCK_SHINGLES", block_shingles), ("LOT_SHINGLES", lot), ("BITS", bits)):
+            monkeypatch.setattr(similarity, name, value)
+        pairs = [tuple(x) for x in similarity.near_pairs(f).collect()]
+        assert len(pairs) == len(set(pairs)) > 10
+        results.append((sorted(pairs), sorted(tuple(x) for x in similarity.members(f).collect())))
+    assert results[0] == results[1] == results[2]
+
+
+def test_candidates_are_not_listed(spark, monkeypatch):
+    """Of a family whose members share bands but are not similar no list of pairs is made, which would grow with its square."""
+    rows, plain = [], similarity.materialise
+
+    def materialise(frame):
+        out = plain(frame)
+        if "a" in frame.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", materialise)
+    r = random.Random(3)
+    base, n = [f"w{k}" for k in range(400)], 60
+    texts = [" ".join(f"x{k}" if i in changed else w for i, w in enumerate(base)) for k in range(n) for changed in [set(r.sample(range(400), 10))]]
+    got = similarity.members(spark.createDataFrame(list(enumerate([*texts, texts[7] + " more"])), "url long, code string")).collect()
+    assert {x.id: x.group_id for x in got} == {**{k: k for k in range(n)}, n: 7}
+    assert rows and max(rows) <= 10 * n
+
+
 def test_recall_of_bands():
     """Pairs just above the threshold share a band nearly always."""
     r, found, n = random.Random(1), 0, 400
