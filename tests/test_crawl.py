@@ -310,6 +310,17 @@ def test_candidates_are_not_listed(spark, monkeypatch):
     assert rows and max(rows) <= 10 * n
 
 
+def test_map_of_candidates(spark, monkeypatch):
+    """No candidate is lost before the shuffle of texts, most others stay out of it."""
+    rows = spark.range(4000).selectExpr("concat('u', id) AS id")
+    ids = rows.where("crc32(id) % 40 = 0")
+    want = {x.id for x in ids.collect()}
+    got = {x.id for x in similarity.passing(rows, ids).collect()}
+    assert want <= got and len(got) < len(want) + 20
+    monkeypatch.setattr(similarity, "BITS", 64)  # full: all may be
+    assert similarity.passing(rows, ids).count() > 2000 and similarity.passing(rows, ids.limit(0)).count() == 0
+
+
 def test_recall_of_bands():
     """Pairs just above the threshold share a band nearly always."""
     r, found, n = random.Random(1), 0, 400
